@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermarc.llm import bpe, license_scan, quality_rules, sharding
+from thermarc.llm import bpe, license_scan, near_dedup, quality_rules, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +46,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), k=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_byte_bpe, op4_quality_rules, op6_sharding, op9_license_scan)
+    f.__name__: f for f in (op2_byte_bpe, op4_quality_rules, op6_sharding, op9_license_scan, op10_minhash_near_dedup)
 }
 
 OP4_SQL = r"""
