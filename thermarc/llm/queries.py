@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermarc.llm import bpe, license_scan, near_dedup, quality_rules, sharding
+from thermarc.llm import bpe, license_scan, line_dedup, near_dedup, quality_rules, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def _vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = _vocabulary()
     coded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern)
@@ -51,15 +55,15 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_byte_bpe, op4_quality_rules, op6_sharding, op9_license_scan, op10_minhash_near_dedup)
+    f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op4_quality_rules, op6_sharding, op9_license_scan, op10_minhash_near_dedup)
 }
 
 OP4_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 w as (
   select doc_id, t,
-    list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') as ws,
-    list_filter(string_split(t, chr(10)), x -> length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) > 0) as ls
+    list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
+    list_filter(string_split(t, chr(10)), lambda x: length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) > 0) as ls
   from d),
 m as (
   select doc_id, ws, len(ws)::bigint as n_words, len(ls)::bigint as n_lines,
@@ -86,4 +90,30 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from b
 """
 
-ORACLES: dict[str, str] = {"op4_quality_rules": OP4_SQL}
+OP1_SQL = r"""
+with d as (select doc_id, text, coalesce(text, '') as t from documents),
+l as (select distinct doc_id, unnest(string_split(t, chr(10))) as line from d where doc_id is not null),
+w as (select doc_id, line, list_transform(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''),
+        lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as ws from l),
+p as (select doc_id, line, ws, len(ws) as n, len(ws) - 3 as m from w where len(ws) >= 3),
+s as (select doc_id, line, n, ws[1:3] as s0,
+        ws[4:3 + m // 4] as s1, ws[4 + m // 4:3 + 2 * m // 4] as s2, ws[4 + 2 * m // 4:3 + 3 * m // 4] as s3, ws[4 + 3 * m // 4:] as s4 from p),
+k as (
+  select doc_id, line, unnest([
+    {'n': n, 'v': 0, 'a': s0, 'b': s1, 'c': s2, 'd': s3, 'e': s4},
+    case when n >= 11 then {'n': n, 'v': 1, 'a': s0, 'b': []::varchar[], 'c': s2, 'd': s3, 'e': s4} end,
+    case when n >= 11 then {'n': n, 'v': 2, 'a': s0, 'b': s1, 'c': []::varchar[], 'd': s3, 'e': s4} end,
+    case when n >= 11 then {'n': n, 'v': 3, 'a': s0, 'b': s1, 'c': s2, 'd': []::varchar[], 'e': s4} end,
+    case when n >= 11 then {'n': n, 'v': 4, 'a': s0, 'b': s1, 'c': s2, 'd': s3, 'e': []::varchar[]} end]) as k
+  from s),
+f as (select k, min(doc_id) as first_doc from k where k is not null group by k having min(doc_id) < max(doc_id)),
+g as (select distinct doc_id, line from k join f using (k) where first_doc < doc_id),
+x as (select doc_id, text, string_split(t, chr(10)) as ls, (select list(line) from g where g.doc_id = d.doc_id) as gone from d),
+y as (select doc_id, text, ls, list_filter(ls, lambda z: gone is null or not list_contains(gone, z)) as st from x)
+select doc_id, len(ls)::bigint as n_lines, (len(ls) - len(st))::bigint as n_dropped,
+  len(ls) = len(st) or length(regexp_replace(array_to_string(st, chr(10)), '[\x20\x09-\x0D]+', '', 'g')) > 0 as kept,
+  case when text is not null then array_to_string(st, chr(10)) end as text
+from y
+"""
+
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL}
