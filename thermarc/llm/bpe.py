@@ -105,7 +105,7 @@ def _encode_long(docs: DataFrame, ranks: Broadcast, pattern: str, chunk: int, ov
     """Row id and ids of texts of several chunks. Input: _row, _text."""
     parts = docs.mapInArrow(_chunks(chunk, overlap), "_row long, _k int, _part string")
     # Chunks of one long text go to other tasks.
-    parts = parts.repartition("_row", "_k").mapInArrow(_boundaries(pattern, chunk, overlap), T.StructType([*parts.schema.fields, *T._parse_datatype_string("_head array<int>, _tail array<int>").fields]))
+    parts = parts.repartition("_row", "_k").mapInArrow(_boundaries(pattern, chunk, overlap), T.StructType([*parts.schema.fields, *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("_head", "_tail"))]))
     order = Window.partitionBy("_row").orderBy("_k")
     cut = F.array_min(F.array_intersect(F.col("_head"), F.lag("_tail").over(order)))
     parts = parts.withColumn("_from", F.when(F.col("_k") == 0, 0).otherwise(cut))
