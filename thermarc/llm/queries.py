@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermarc.llm import bpe, decontamination, license_scan, line_dedup, near_dedup, quality_rules, sharding
+from thermarc.llm import bpe, decontamination, license_scan, line_dedup, near_dedup, quality_classifier, quality_rules, sharding, toxicity
+from thermarc.llm.text import crc_mod
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(coded, path, pattern))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    index = toxicity.fit(docs, labels, crc_mod(F.col("doc_id"), 4) != 2)
+    held_out = (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out")
+    return toxicity.score(docs, index).select("doc_id", held_out, "score", "predicted", "evidence", "evidence_words")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality_rules.ledger(documents(spark, sf_dir).select("doc_id", "text"))
     base = F.lit(quality_rules.POLICIES["base"])
@@ -41,6 +49,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades from the two labels: 0 bad, 1 good but toxic, 2 good. Kept: P(grade >= 1) of 0.5 or more."""
+    docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    grades = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2).alias("grade"))
+    model = quality_classifier.fit(docs, grades, crc_mod(F.col("doc_id"), 4) != 2, n_grades=3)
+    held_out = (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out")
+    return quality_classifier.grade(docs, model).select("doc_id", held_out, "expected_grade", "tail_probability", "kept")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), 8)
 
@@ -60,7 +77,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op4_quality_rules, op6_sharding, op7_decontamination, op9_license_scan, op10_minhash_near_dedup)
+    f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_quality_classifier, op6_sharding, op7_decontamination, op9_license_scan, op10_minhash_near_dedup)
 }
 
 OP4_SQL = r"""
