@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermarc.llm import bpe, decontamination, license_scan, line_dedup, near_dedup, quality_classifier, quality_rules, sharding, toxicity
+from thermarc.llm import bpe, decontamination, license_scan, line_dedup, lm_scoring, near_dedup, quality_classifier, quality_rules, sharding, toxicity
 from thermarc.llm.text import crc_mod
 
 
@@ -67,6 +67,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(documents(spark, sf_dir).select("doc_id", "text"), benchmark).drop("text")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = lm_scoring.score(docs, crc_mod(F.col("doc_id"), 7) != 2)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -77,7 +83,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_quality_classifier, op6_sharding, op7_decontamination, op9_license_scan, op10_minhash_near_dedup)
+    f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_quality_classifier, op6_sharding, op7_decontamination, op8_lm_scoring, op9_license_scan, op10_minhash_near_dedup)
 }
 
 OP4_SQL = r"""
