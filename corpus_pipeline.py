@@ -1,7 +1,8 @@
 """A document pipeline of the training-data operators.
 
 STAGES are applied in order; each one's result is written as Parquet in the shared
-folder and read again as the next one's documents.
+folder and read again as the next one's documents. All but the last return the columns
+of documents.
 """
 
 from __future__ import annotations
@@ -9,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from thermarc.cluster import stored
-from thermarc.llm import quality_rules
+from thermarc.llm import bpe, decontamination, line_dedup, near_dedup, quality_rules
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -21,7 +23,38 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_documents(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines whose template an earlier document has go, and documents that they leave without a word. n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs).where("kept")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that with the smallest id."""
+    return near_dedup.deduplicate(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak an item of the benchmark go."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of the byte-level BPE in place of the text."""
+    import public_tokenizers
+
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("minhash_near_dedup", near),
+    ("decontamination", benchmark),
+    ("byte_bpe", encode),
+]
 
 #: Byte-pair encoding and the latent search are no SQL; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
