@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermarc.operators import census, detect, events, healthy, quality, residuals, rules, split, stats
+from thermarc.operators import census, detect, events, healthy, models, quality, residuals, rules, split, stats
 from thermarc.plans import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -679,3 +679,83 @@ def tornado(spark, sf_dir):
     n = long.agg(*[F.count_if(F.abs("raw_residual") > p).cast("double").alias(f"threshold_{p}") for p in (20, 40, 60)])
     rows = n.unpivot([], [f"threshold_{p}" for p in (20, 40, 60)], "parameter", "outcome").unionByName(spark.sql("select 'threshold_20' as parameter, 100.0d as outcome"))
     return stats.tornado(rows)
+
+
+# ---- models
+
+
+def schema_of_events():
+    from thermarc.schema import Schema, Variable
+
+    return Schema(
+        "1.0.0",
+        (
+            Variable("timestamp", "timestamp"), Variable("turbine_id", "turbine_id"),
+            *(Variable(c, "predictor", "", *BOUNDS[c]) for c in A.PREDICTORS), *(Variable(c, "target") for c in A.TARGETS),
+        ),
+    )
+
+
+def _features(*predictors: str, targets=tuple(A.TARGETS)):
+    from thermarc.guards import FeatureConfig
+
+    return FeatureConfig(predictors or tuple(A.PREDICTORS), tuple(targets))
+
+
+def complete(spark, sf_dir) -> DataFrame:
+    return models.known_rows(A.scada(spark, sf_dir), *A.PREDICTORS, *A.TARGETS)
+
+
+@query(W + A.SCADA + """, k as (select * from scada where wind_speed is not null and gearbox_oil_temperature is not null), c as (select regr_slope(gearbox_oil_temperature, wind_speed) as b, regr_intercept(gearbox_oil_temperature, wind_speed) as a from k)
+select turbine_id, timestamp, round(a + b * wind_speed, 5) + 0.0 as prediction from k, c""")
+def ols_baseline_single(spark, sf_dir):
+    rows = models.known_rows(A.scada(spark, sf_dir), "wind_speed", "gearbox_oil_temperature")
+    m = models.create("linear").fit(rows, _features("wind_speed", targets=["gearbox_oil_temperature"]), schema_of_events())
+    return m.predict(rows).select("turbine_id", "timestamp", (F.round("prediction_gearbox_oil_temperature", 5) + F.lit(0.0)).alias("prediction"))
+
+
+@query()
+def ols_baseline_multi(spark, sf_dir):
+    m = models.create("linear", "baseline").fit(complete(spark, sf_dir), _features(), schema_of_events())
+    return m.predict(A.scada(spark, sf_dir)).select("turbine_id", "timestamp", *[F.round(f"baseline_{t}", 5).alias(f"baseline_{t}") for t in A.TARGETS])
+
+
+@query()
+def gbt_nbm(spark, sf_dir):
+    m = models.create("gbt", n_estimators=5, max_depth=3).fit(complete(spark, sf_dir), _features(), schema_of_events())
+    return m.predict(A.scada(spark, sf_dir)).select("turbine_id", "timestamp", *[F.round(f"prediction_{t}", 5).alias(f"prediction_{t}") for t in A.TARGETS])
+
+
+@query()
+def tuning_grid(spark, sf_dir):
+    rows = split.by_fractions(complete(spark, sf_dir), "timestamp", ["turbine_id"]).persist()
+    train, validation = rows.where("partition = 'train'"), rows.where("partition = 'validation'")
+    base = models.create("linear", "baseline").fit(train, _features(), schema_of_events())
+    errors = models.target_rmse(base.predict(validation), tuple(A.TARGETS), "baseline")
+    candidates = [{"max_depth": d, "learning_rate": 0.1} for d in (2, 3)]
+    _, trials = models.tune(train, validation, _features(), schema_of_events(), candidates, errors, n_estimators=3)
+    rows.unpersist()
+    return spark.createDataFrame([(t["max_depth"], t["learning_rate"], t["score"]) for t in trials], "max_depth int, learning_rate double, score double")
+
+
+@query()
+def predictor_ablation(spark, sf_dir):
+    """Errors of the baseline with all predictors and without each."""
+    rows, out = complete(spark, sf_dir).persist(), []
+    for drop in [None, *A.PREDICTORS]:
+        use = [p for p in A.PREDICTORS if p != drop]
+        m = models.create("linear").fit(rows, _features(*use), schema_of_events())
+        out += [(drop or "none", t, round(e, 6)) for t, e in models.target_rmse(m.predict(rows), tuple(A.TARGETS), "prediction").items()]
+    rows.unpersist()
+    return spark.createDataFrame(out, "without string, target string, rmse double")
+
+
+@query()
+def pipeline_end_to_end(spark, sf_dir):
+    """Metrics of an experiment: both models, validation and test."""
+    from thermarc.config import Config, Model
+    from thermarc.plans import experiment
+
+    config = Config(model=Model(name="linear"))
+    got = experiment.run(A.scada(spark, sf_dir), config, schema_of_events(), A.exclusion_windows(spark, sf_dir).drop("window_id"))
+    return spark.createDataFrame([(m["model"], m["partition"], m["target"], m["n"], m["rmse"], m["bias"]) for m in got.metrics], "model string, partition string, target string, n long, rmse double, bias double")
