@@ -119,7 +119,7 @@ def preceding_stats(measured: DataFrame, occurrences: DataFrame, value: str, day
     o = occurrences.select(occurrence_id, "turbine_id", F.col("start").alias("_b"), (F.col("start") - F.make_dt_interval(F.lit(days))).alias("_a"))
     o = o.withColumn("_cell", F.explode(F.sequence(cell("_a"), cell("_b"))))
     hit = measured.withColumn("_cell", cell("timestamp")).join(o, ["turbine_id", "_cell"]).where((F.col("timestamp") >= F.col("_a")) & (F.col("timestamp") < F.col("_b")))
-    n = hit.groupBy(occurrence_id).agg(F.count("*").alias("n"), F.count(value).alias("n_known"), F.round(F.avg(value), 4).alias("mean"))
+    n = hit.groupBy(occurrence_id).agg(F.count("*").alias("n"), F.count(value).alias("n_known"), F.avg(value).alias("mean"))
     return occurrences.select(occurrence_id).join(n, occurrence_id, "left").na.fill(0, ["n", "n_known"])
 
 

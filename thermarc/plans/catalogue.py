@@ -544,9 +544,10 @@ def occurrence_gaps(spark, sf_dir):
     return rounded(census.occurrence_gaps(A.status_log(spark, sf_dir), ["occurrence_id"]).select("occurrence_id", "gap_hours"), "gap_hours")
 
 
-@query(W + A.SCADA + _JAN + """ select occurrence_id, count(s.timestamp) as n, count(s.gearbox_oil_temperature) as n_known, round(avg(s.gearbox_oil_temperature), 4) as mean from lg left join scada s on s.turbine_id = lg.turbine_id and s.timestamp >= lg.start - interval 5 day and s.timestamp < lg.start group by 1""")
+@query(W + A.SCADA + _JAN + """ select occurrence_id, count(s.timestamp) as n, count(s.gearbox_oil_temperature) as n_known, round(sum(s.gearbox_oil_temperature), 6) as total from lg left join scada s on s.turbine_id = lg.turbine_id and s.timestamp >= lg.start - interval 5 day and s.timestamp < lg.start group by 1""")
 def preceding_window_stats(spark, sf_dir):
-    return census.preceding_stats(A.scada(spark, sf_dir), january(spark, sf_dir), "gearbox_oil_temperature", 5, cell_days=5)
+    found = census.preceding_stats(A.scada(spark, sf_dir), january(spark, sf_dir), "gearbox_oil_temperature", 5, cell_days=5)
+    return found.select("occurrence_id", "n", "n_known", F.round(F.col("mean") * F.col("n_known"), 6).alias("total"))
 
 
 @query(W + A.STATUS + """, t as (select turbine_id, min(start) - interval 20 day as a, max(start) + interval 20 day as b from log where code = '1-URGENT' and occurrence_id % 50 = 0 group by 1) select occurrence_id from log join t using (turbine_id) where start between a and b""")
