@@ -10,7 +10,10 @@ coordinates give candidate buckets: a pair at 0.8 shares none of the 48 with pro
 No pairs within large groups: texts with equal sets are one node. In each bucket the
 others are compared with one pivot; components then join what is linked. Buckets with
 several components get further pivots while their open pairs exceed a few times their
-rows, and finally all pairs across components, so no link is lost to a cap.
+rows. What is still open is settled exactly: pairs across components in buckets of up to
+SMALL members, and in larger ones pairs that share one of their rarest shingles (of sets that
+similar, one of the 20 % + 1 rarest is common) with enough shingles left after it in both. So no
+link is lost to a cap.
 
 Defined results: empty and null texts have an empty set and are linked with nothing; rows with
 a null id stand alone with a null component and are kept; rows with equal ids are one node; ties go to the
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermarc.cluster import ship, stored
@@ -36,6 +39,8 @@ BANDS = BINS // ROWS
 SHINGLE, PERCENT = 5, 80
 #: Star rounds at most, and open pairs a row above which another one is worth it.
 STARS, OPEN = 6, 4
+#: Members of a bucket up to which its open pairs are taken as they are: so many rows a member at most.
+SMALL = 16
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -134,6 +139,29 @@ def _labelled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFram
     return stored(rows.join(several, "key"), "members"), label
 
 
+def _open_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of different components that may be linked and share a bucket of `rows`."""
+
+    def across(left: DataFrame, on: str, more: Column) -> DataFrame:
+        other = left.select(on, F.col("x").alias("y"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("place").alias("at"))
+        hit = left.join(other, on).where((F.col("x") < F.col("y")) & (F.col("label") != F.col("other")) & _close_sizes(F.col("n"), F.col("m"), percent) & more)
+        return hit.select("x", "y")
+
+    size = rows.groupBy("key").agg(F.count("*").alias("_c"))
+    sized = rows.select("key", "x", "n", "label").join(size, "key")
+    small = across(sized.where(F.col("_c") <= SMALL).drop("_c").withColumn("place", F.lit(0)), "key", F.lit(True))
+    # Larger buckets: by the rarest shingles of their members. A set of n needs that many of them looked at.
+    many = stored(sized.where(F.col("_c") > SMALL).select("x", "n", "label").distinct(), "crowded")
+    shingles = stored(many.join(sets.withColumnRenamed("node", "x"), "x").select("x", "n", "label", F.explode("set").alias("s")), "shingles")
+    common = shingles.groupBy("s").agg(F.count("*").alias("f"), (F.min("label") < F.max("label")).alias("several"))
+    rank = F.row_number().over(Window.partitionBy("x").orderBy("f", "s"))
+    first = shingles.join(common, "s").withColumn("place", rank).where("several").where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    # The first common shingle of a linked pair, in this order, has the rest of what they share behind it.
+    left = 1 + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at"))
+    enough = (100 + percent) * left >= percent * (F.col("n") + F.col("m"))
+    return _pairs(small.unionByName(across(stored(first.select("s", "x", "n", "label", "place"), "rarest"), "s", enough)))
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept (the component's smallest id) of every row."""
     sig = stored(signatures(docs, k, doc_id, text), "signatures")
@@ -162,10 +190,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, d
             break
         links = links.unionByName(more)
         rows, label = _labelled(rows, links)
-    # All pairs of a bucket that are still in different components.
-    other = rows.select("key", F.col("x").alias("y"), F.col("n").alias("m"), F.col("label").alias("other"))
-    rest = rows.join(other, "key").where((F.col("x") < F.col("y")) & (F.col("label") != F.col("other")) & _close_sizes(F.col("n"), F.col("m"), percent))
-    more = stored(_linked(_pairs(rest.select("x", "y")), sets, percent), "links")
+    rest = _open_pairs(rows, sets, percent)
+    more = stored(_linked(rest, sets, percent), "links")
     if not more.isEmpty():
         label = components(links.unionByName(more))
     ids = nodes.select("set_key", "x").join(label.withColumnRenamed("node", "x"), "x", "left").select("set_key", F.coalesce("label", "x").alias("component_id"))
