@@ -21,12 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thermarc.cluster import ship
+from thermarc.llm.tokens import text_slices
 
 CHUNK, OVERLAP = 16_384, 512
 #: Characters before a chunk's end where a boundary may depend on what follows (the longest contraction has three).
@@ -48,24 +50,44 @@ def _encoding(ranks_file: bytes, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _ids(values: list[list[int]]) -> pa.Array:
+def _ids(values: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
-    flat = np.concatenate([np.asarray(v, dtype=np.int32) for v in values]) if values else np.empty(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
+    flat = np.concatenate(values).view(np.int32) if values else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
 def _encode_rows(ranks: Broadcast, pattern: str, text: str):
+    """Slices of a few MB of text, and ids as arrays: a worker's memory doesn't follow the batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(ranks.value, pattern)
-        for b in batches:
-            k = b.schema.get_field_index(text)
-            ids = _ids([enc.encode_ordinary(t or "") for t in b.column(k).to_pylist()])
-            rest = [i for i in range(b.num_columns) if i != k]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), ids], names=[*(b.schema.names[i] for i in rest), "ids"])
+        for whole in batches:
+            k = whole.schema.get_field_index(text)
+            rest = [i for i in range(whole.num_columns) if i != k]
+            for b in text_slices(whole, text):
+                ids = _ids([enc.encode_to_numpy(t.as_py() or "", disallowed_special=()) for t in b.column(k)])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), ids], names=[*(b.schema.names[i] for i in rest), "ids"])
 
     return run
 
 
+def _id_slices(batch: pa.RecordBatch, ids: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about `most` ids (a longer row alone)."""
+    start, held = 0, 0
+    for k, n in enumerate(pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_pylist()):
+        if k > start and held + n > most:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def _rows_of(column: pa.Array) -> Iterator[np.ndarray]:
+    for v in column:
+        yield v.values.to_numpy() if v.is_valid else np.empty(0, np.int32)
+
+
 def _chunks(chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,21 +166,27 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", ou
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(ranks.value, pattern)
-        for b in batches:
-            k = b.schema.get_field_index(ids)
-            got = [enc.decode_bytes(v.values.to_numpy().tolist() if v.is_valid else []) for v in b.column(k)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], names=[*b.schema.names, out])
+        for whole in batches:
+            for b in _id_slices(whole, ids):
+                got = [enc.decode_bytes(v.tolist()) for v in _rows_of(b.column(ids))]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], names=[*b.schema.names, out])
 
     return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
-def digests(coded: DataFrame, ids: str = "ids", data: str = "bytes") -> DataFrame:
-    """doc_id, the number of ids and the SHA-256 of the ids (little-endian unsigned 32-bit) and of the bytes."""
+def digests(coded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids") -> DataFrame:
+    """n_tokens, and the SHA-256 of the ids (little-endian unsigned 32-bit) and of the decoded bytes, in place of the ids."""
+    ranks = vocabulary(coded.sparkSession, ranks_path)
+    keep = [c for c in coded.columns if c != ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            shas = [hashlib.sha256(v.values.to_numpy().astype("<u4").tobytes() if v.is_valid else b"").hexdigest() for v in b.column("ids")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n"), pa.array(shas, pa.string()), b.column("sha")], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    small = coded.select("doc_id", F.size(ids).cast("long").alias("n"), F.col(ids).alias("ids"), F.sha2(data, 256).alias("sha"))
-    return small.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        enc = _encoding(ranks.value, pattern)
+        for whole in batches:
+            for b in _id_slices(whole, ids):
+                rows = [(len(v), hashlib.sha256(v.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(enc.decode_bytes(v.tolist())).hexdigest()) for v in _rows_of(b.column(ids))]
+                n, of_ids, of_bytes = (list(x) for x in zip(*rows, strict=True))
+                cols = [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return coded.mapInArrow(run, T.StructType([*coded.select(*keep).schema.fields, *added]))

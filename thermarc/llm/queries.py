@@ -28,7 +28,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = _vocabulary()
     coded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern)
-    return bpe.digests(bpe.decode(coded, path, pattern))
+    return bpe.digests(coded, path, pattern)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
