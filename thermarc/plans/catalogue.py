@@ -292,7 +292,7 @@ def ewma_time_varying_limits(spark, sf_dir):
 
 
 @query(BASE + """ select turbine_id, target, count(*) as n_points, count(*) filter (state <> 0) as n_exceed, round(max(ewma), 6) as max_ewma, round(count(*) filter (state <> 0) / count(*), 6) as empirical_rate,
-round(0.0026997960632601965, 6) as theoretical_rate, round(count(*) filter (state <> 0) / count(*) / 0.0026997960632601965, 4) as inflation, count(*) filter (state <> 0) / count(*) / 0.0026997960632601965 > 2.0 as material from st group by 1, 2""")
+round(0.0026997960632601965::double, 6) as theoretical_rate, round(count(*) filter (state <> 0) / count(*) / 0.0026997960632601965::double, 4) as inflation, count(*) filter (state <> 0) / count(*) / 0.0026997960632601965::double > 2.0 as material from st group by 1, 2""")
 def in_control_report(spark, sf_dir):
     """The flagship: exceedances of each stream, with the empirical and the theoretical rate."""
     return residuals.in_control_report(states(spark, sf_dir))
