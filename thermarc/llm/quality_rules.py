@@ -24,7 +24,7 @@ RULES: list[tuple[str, str]] = [
     ("few_words", "n_words < 20"),
     ("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("duplicate_lines", "100 * n_dup_lines > 40 * n_lines"),
     ("short_or_long_words", "word_chars < 2 * n_words or word_chars > 25 * n_words"),
     ("shouting", "100 * n_upper > 50 * word_chars"),
 ]

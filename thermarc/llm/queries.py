@@ -109,7 +109,7 @@ j as (select m.*, coalesce(c.n_repeat_words, 0)::bigint as n_repeat_words from m
 b as (
   select *,
     (case when n_words < 20 then 1 else 0 end + case when 100 * n_repeat_words > 30 * n_words then 2 else 0 end
-     + case when 10 * n_symbols > n_words then 4 else 0 end + case when 100 * n_dup_lines > 30 * n_lines then 8 else 0 end
+     + case when 10 * n_symbols > n_words then 4 else 0 end + case when 100 * n_dup_lines > 40 * n_lines then 8 else 0 end
      + case when word_chars < 2 * n_words or word_chars > 25 * n_words then 16 else 0 end
      + case when 100 * n_upper > 50 * word_chars then 32 else 0 end)::bigint as failure_bits
   from j)
