@@ -225,6 +225,12 @@ def test_lm_weights_recover_a_mixture():
     assert w[5, 0] > 0.95 and w[1, 0] < 0.05 and np.allclose(w.sum(axis=1), 1)
 
 
+def test_packed_keys_come_back():
+    r = np.random.default_rng(2)
+    for keys in (np.empty(0, np.uint64), np.array([0], np.uint64), np.array([2**64 - 1], np.uint64), np.sort(r.integers(0, 2**63, 5000).astype(np.uint64))):
+        assert (lm_scoring.unpack(lm_scoring.pack(keys)) == keys).all()
+
+
 def test_lcs_of_bits():
     r = random.Random(4)
     for _ in range(200):

@@ -58,51 +58,68 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[first], np.diff(np.concatenate([first, [len(s)]]))
 
 
-def _distinct(uni: np.ndarray, bi: np.ndarray) -> np.ndarray:
-    return np.union1d(_counted(uni)[0], _counted(bi)[0])
-
-
 def _texts_of(table: pa.Table) -> pa.Array:
     c = table.column("text").combine_chunks()
     return pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c
 
 
-def _in_rows(train: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.repeat(train, np.diff(at))
+def _counted_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, unigram and bigram keys of a block's tokens, its distinct keys in order, their training counts)."""
+    at, uni, bi = _keys(_texts_of(table))
+    keys = np.union1d(_counted(uni)[0], _counted(bi)[0])
+    learn = np.repeat(table.column("train").to_numpy(), np.diff(at))
+    some, n = _counted(np.concatenate([uni[learn], bi[learn]]))
+    counts = np.zeros(len(keys), np.int32)
+    counts[np.searchsorted(keys, some)] = n
+    return at, uni, bi, keys, counts
+
+
+def pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences of the least fixed number of bytes: the first byte, then the differences."""
+    d = np.diff(keys, prepend=np.uint64(0))
+    width = max(1, -(-int(d.max()).bit_length() // 8)) if len(d) else 1
+    return bytes([width]) + d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    width = data[0]
+    d = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    d[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(d.view("<u8")[:, 0], dtype=np.uint64)
 
 
 def _emit(ranges: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        at, uni, bi = _keys(_texts_of(table))
-        keys = _distinct(uni, bi)
-        learn = _in_rows(table.column("train").to_numpy(), at)
-        some, n = _counted(np.concatenate([uni[learn], bi[learn]]))
-        counts = np.zeros(len(keys), np.int64)
-        counts[np.searchsorted(keys, some)] = n
+        *_, keys, counts = _counted_keys(table)
         cuts = np.searchsorted((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
         full = np.flatnonzero(np.diff(cuts))
         ends = pa.array(np.concatenate([cuts[full], cuts[-1:]]).astype(np.int32))
-        cols = [pa.array(full.astype(np.int32)), pa.array([key[0].as_py()] * len(full), pa.int32())]
-        return pa.table([*cols, pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(counts))], names=["range", "block", "keys", "counts"])
+        # The first difference of a range would be its place; the range's start is left out.
+        low = [(np.uint64(r) << np.uint64(32)) // np.uint64(ranges) << np.uint64(32) for r in full.tolist()]
+        packed = [pack(keys[cuts[r] : cuts[r + 1]] - x) for r, x in zip(full, low, strict=True)]
+        cols = [pa.array(full.astype(np.int32)), pa.array([key[0].as_py()] * len(full), pa.int32()), pa.array(packed, pa.binary())]
+        return pa.table([*cols, pa.ListArray.from_arrays(ends, pa.array(counts))], names=["range", "block", "keys", "counts"])
 
     return run
 
 
 def _add_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """For each block and key, what the other blocks counted: mostly nothing, so it packs well."""
     table = table.combine_chunks()
     part = lambda c: table.column(c).chunk(0)
-    lists, counts = part("keys"), part("counts").flatten().to_numpy()
-    keys = lists.flatten().to_numpy().view(np.uint64)
+    own = part("counts").flatten().to_numpy().astype(np.int64)
+    keys = np.concatenate([unpack(x.as_py()) for x in part("keys")])
     order = np.argsort(keys, kind="stable")
     s = keys[order]
     new = np.concatenate([[True], s[1:] != s[:-1]])
-    sums = np.add.reduceat(counts[order], np.flatnonzero(new))
-    totals = np.empty(len(keys), np.int64)
-    totals[order] = sums[np.cumsum(new) - 1]
+    sums = np.add.reduceat(own[order], np.flatnonzero(new))
+    others = np.empty(len(keys), np.int64)
+    others[order] = sums[np.cumsum(new) - 1]
+    others -= own
     words = sums[(s[new] & np.uint64(1)) == 1]
-    sizes = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int32)
-    out = pa.table([part("range"), part("block"), pa.ListArray.from_arrays(pa.array(sizes), pa.array(totals))], names=["range", "block", "totals"])
-    about = pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([-1], pa.int32()), pa.array([[int((words > 0).sum()), int(words.sum())]], pa.list_(pa.int64()))], names=["range", "block", "totals"])
+    sizes = np.concatenate([[0], np.cumsum(part("counts").value_lengths().to_numpy())]).astype(np.int32)
+    out = pa.table([part("range"), part("block"), pa.ListArray.from_arrays(pa.array(sizes), pa.array(others))], names=["range", "block", "others"])
+    about = pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([-1], pa.int32()), pa.array([[int((words > 0).sum()), int(words.sum())]], pa.list_(pa.int64()))], names=["range", "block", "others"])
     return pa.concat_tables([out, about])
 
 
@@ -114,11 +131,10 @@ def _look_up(texts: pa.Table, totals: pa.Table) -> pa.Table:
     lists = pa.list_(pa.int64())
     if not texts.num_rows:  # the ranges' (V, N)
         n = totals.num_rows
-        return pa.table([pa.nulls(n, texts.schema.field("doc_id").type), pa.nulls(n, pa.bool_()), pa.nulls(n, lists), pa.nulls(n, lists), totals.column("totals")], names=names)
-    at, uni, bi = _keys(_texts_of(texts))
-    keys = _distinct(uni, bi)
+        return pa.table([pa.nulls(n, texts.schema.field("doc_id").type), pa.nulls(n, pa.bool_()), pa.nulls(n, lists), pa.nulls(n, lists), totals.column("others")], names=names)
+    at, uni, bi, keys, own = _counted_keys(texts)
     totals = totals.sort_by("range").combine_chunks()
-    total = totals.column("totals").chunk(0).flatten().to_numpy()
+    total = own + totals.column("others").chunk(0).flatten().to_numpy()
     found = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(total[np.searchsorted(keys, k)])) for k in (uni, bi)]
     return pa.table([texts.column("doc_id"), texts.column("train"), *found, pa.nulls(texts.num_rows, lists)], names=names)
 
@@ -131,8 +147,8 @@ def token_counts(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: s
     rows = docs.select(
         F.pmod(F.xxhash64(doc_id, text), F.lit(blocks)).cast("int").alias("block"), F.col(doc_id).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text")
     )
-    sent = rows.groupBy("block").applyInArrow(_emit(blocks), "range int, block int, keys array<long>, counts array<long>")
-    totals = sent.groupBy("range").applyInArrow(_add_up, "range int, block int, totals array<long>")
+    sent = rows.groupBy("block").applyInArrow(_emit(blocks), "range int, block int, keys binary, counts array<int>")
+    totals = sent.groupBy("range").applyInArrow(_add_up, "range int, block int, others array<long>")
     found = rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_look_up, FOUND.format(id=rows.schema["doc_id"].dataType.simpleString()))
     found = stored(found, "counts")
     about = found.where("size is not null").agg(F.sum(F.col("size")[0]).alias("v"), F.sum(F.col("size")[1]).alias("n")).first()
@@ -149,6 +165,13 @@ def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return ends, c1, c2, context
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows: a worker's memory doesn't follow Spark's batch size."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def bucket(context: np.ndarray) -> np.ndarray:
     """0 for an unseen context, else 1 + the logarithm of its count to base 2."""
     return np.minimum(BUCKETS - 1, np.frexp(context.astype(float))[1])
@@ -166,7 +189,7 @@ def held_out_histogram(counts: DataFrame, v: int, n: int) -> DataFrame:
     """(cell, tokens): training tokens by bucket and ratios to 1/(V+1), each left out of its own counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             _, c1, c2, context = _flat(b)
             left = context - 1
             r2 = np.where(left > 0, (c2 - 1) / np.maximum(left, 1), 0.0) * (v + 1)
@@ -207,7 +230,7 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
         weights[:] = [0.0, 0.0, 1.0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             ends, c1, c2, context = _flat(b)
             w = weights[bucket(context)]
             p = w[:, 0] * c2 / np.maximum(context, 1) + w[:, 1] * c1 / max(n, 1) + w[:, 2] / (v + 1)
