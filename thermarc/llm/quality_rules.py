@@ -135,4 +135,6 @@ def ablation(led: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
 def filter_documents(docs: DataFrame, policy: str = DEFAULT_POLICY, text: str = "text") -> DataFrame:
     """The documents that the policy keeps, with their own columns."""
     led = ledger(docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_text")), "_text")
-    return led.where(kept(policy)).select("_doc.*")
+    # The row number keeps the condition above the measurements; pushed down, it would repeat them many times over.
+    led = led.withColumn("_row", F.monotonically_increasing_id())
+    return led.where(kept(policy) & (F.col("_row") >= 0)).select("_doc.*")
