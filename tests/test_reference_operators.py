@@ -1,3 +1,4 @@
+import dataclasses
 import json
 import math
 from datetime import datetime, timedelta
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thermarc import guards
-from thermarc.config import Config, Detection, Model, dump_config, load_config
+from thermarc.config import Config, Detection, Model, Tuning, dump_config, load_config
 from thermarc.errors import ConfigError, ConflictError, FitError, GuardError, IngestError, RuleError, SchemaError, SplitError, StoreError
 from thermarc.functions import timeutil
 from thermarc.operators import detect, events, healthy, models, quality, residuals, rules, split, stats
@@ -321,6 +322,24 @@ def test_experiment_store_and_reproduction(spark, tmp_path):
     assert json.loads((tmp_path / "store" / exp / "metadata.json").read_text())["config_sha256"] == config.sha256()
 
 
+def test_experiment_searches_the_configured_candidates(spark, monkeypatch):
+    made, create = [], models.create
+
+    def counted(name, prefix="prediction", **settings):
+        made.append((name, settings))
+        return create(name, prefix, **settings)
+
+    monkeypatch.setattr(models, "create", counted)
+    tuning = Tuning(depths=(1, 2), rates=(0.3,), subsamples=(1.0,), n_estimators=2, colsample=0.7)
+    df = synthetic(spark, 300)
+    got = experiment.run(df, Config(model=Model(tuning=tuning)), DEFAULT)
+    assert [(t["max_depth"], t["learning_rate"], t["subsample"]) for t in got.trials] == [(1, 0.3, 1.0), (2, 0.3, 1.0)]
+    assert [s for n, s in made if n == "gbt"] == [{"n_estimators": 2, "colsample": 0.7, **c} for c in tuning.candidates()]
+    made.clear()
+    assert experiment.run(df, Config(model=Model(tuning=dataclasses.replace(tuning, enabled=False))), DEFAULT).trials == []
+    assert [s for n, s in made if n == "gbt"] == [{"n_estimators": 2, "colsample": 0.7}]
+
+
 def test_models_are_guarded_and_kept(spark, tmp_path):
     df = synthetic(spark, 300)
     f = guards.FeatureConfig(("wind_speed", "active_power"), ("gearbox_oil_temperature",))

@@ -10,6 +10,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thermarc.cluster import shared_folder
 from thermarc.errors import FitError
 from thermarc.guards import FeatureConfig, check_features
 from thermarc.schema import Schema
@@ -71,6 +72,10 @@ class LeastSquares(NormalBehaviour):
 
 
 class BoostedTrees(NormalBehaviour):
+    def fit(self, train: DataFrame, config: FeatureConfig, schema: Schema, seed: int = 42) -> NormalBehaviour:
+        shared_folder(train.sparkSession)  # each tree lengthens the lineage, which Spark cuts only with a checkpoint folder
+        return super().fit(train, config, schema, seed)
+
     def regressor(self, target: str, seed: int):
         s = self.settings
         return GBTRegressor(featuresCol=FEATURES, labelCol=target, predictionCol=f"_raw_{target}", maxIter=s.get("n_estimators", 20), maxDepth=s.get("max_depth", 4), stepSize=s.get("learning_rate", 0.1), subsamplingRate=s.get("subsample", 1.0), featureSubsetStrategy=str(s.get("colsample", "auto")), seed=seed)

@@ -67,10 +67,13 @@ def run(df: DataFrame, config: Config, schema: Schema, windows: DataFrame | None
     base = models.create("linear", "baseline").fit(train, features, schema, m.seed)
     with_base = base.predict(h)
     base_rmse = models.target_rmse(base.predict(models.known_rows(validation, *m.targets)), features.targets, "baseline")
+    fixed = {"n_estimators": m.tuning.n_estimators, "colsample": m.tuning.colsample}
+    if candidates is None and m.tuning.enabled and m.name == "gbt":
+        candidates = m.tuning.candidates()
     if candidates:
-        main, trials = models.tune(train, validation, features, schema, candidates, base_rmse, m.tuning.selection, m.seed)
+        main, trials = models.tune(train, validation, features, schema, candidates, base_rmse, m.tuning.selection, m.seed, **fixed)
     else:
-        main, trials = models.create(m.name).fit(train, features, schema, m.seed), []
+        main, trials = models.create(m.name, **fixed).fit(train, features, schema, m.seed), []
     predicted = main.predict(with_base)
     long = residuals.unpivot(predicted, ["turbine_id", "timestamp", "partition", "reason"], list(m.targets)).where("raw_residual is not null")
     source = long.where((F.col("partition") == "train") & F.col("reason").isNull())
