@@ -340,6 +340,20 @@ def test_experiment_searches_the_configured_candidates(spark, monkeypatch):
     assert [s for n, s in made if n == "gbt"] == [{"n_estimators": 2, "colsample": 0.7}]
 
 
+def test_metrics_keep_main_and_baseline_apart(spark):
+    df = synthetic(spark, 300)
+    got = experiment.run(df, Config(model=Model(name="linear")), DEFAULT)
+    assert sorted((m["role"], m["partition"], m["target"]) for m in got.metrics) == [(a, b, c) for a in ("baseline", "main") for b in ("test", "validation") for c in sorted(Model().targets)]
+    assert sum(m["n"] for m in got.metrics if m["role"] == "main" and m["target"] == "gearbox_oil_temperature") == got.predictions.where("partition <> 'train'").count()
+
+
+def test_end_to_end_query_fits_boosted_trees(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(experiment, "run", lambda df, config, *_: seen.append(config) or experiment.Result(df, df, df, df, df, [{"model": "gbt", "partition": "test", "target": "x", "n": 1, "rmse": 0.0, "bias": 0.0}], [], []))
+    catalogue.pipeline_end_to_end(spark, "/root/testdata/sf0.001")
+    assert seen[0].model == Model()
+
+
 def test_models_are_guarded_and_kept(spark, tmp_path):
     df = synthetic(spark, 300)
     f = guards.FeatureConfig(("wind_speed", "active_power"), ("gearbox_oil_temperature",))

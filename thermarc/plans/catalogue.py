@@ -754,9 +754,8 @@ def predictor_ablation(spark, sf_dir):
 @query()
 def pipeline_end_to_end(spark, sf_dir):
     """Metrics of an experiment: both models, validation and test."""
-    from thermarc.config import Config, Model
+    from thermarc.config import Config
     from thermarc.plans import experiment
 
-    config = Config(model=Model(name="linear"))
-    got = experiment.run(A.scada(spark, sf_dir), config, schema_of_events(), A.exclusion_windows(spark, sf_dir).drop("window_id"))
+    got = experiment.run(A.scada(spark, sf_dir), Config(), schema_of_events(), A.exclusion_windows(spark, sf_dir).drop("window_id"))
     return spark.createDataFrame([(m["model"], m["partition"], m["target"], m["n"], m["rmse"], m["bias"]) for m in got.metrics], "model string, partition string, target string, n long, rmse double, bias double")

@@ -81,8 +81,10 @@ def run(df: DataFrame, config: Config, schema: Schema, windows: DataFrame | None
     normal = residuals.normalize(long, center)
     sigmas = residuals.sigmas_of(normal.where((F.col("partition") == "train") & F.col("reason").isNull()))
     state = residuals.with_limits(residuals.ewma(normal, d.lam, keys=("turbine_id", "target", "partition")), sigmas, d.lam, d.control_limit_sigma, d.time_varying)
-    both = long.withColumn("model", F.lit(m.name)).unionByName(residuals.unpivot(with_base, ["turbine_id", "timestamp", "partition", "reason"], list(m.targets), "baseline_{}").where("raw_residual is not null").withColumn("model", F.lit("linear")))
-    metrics = [r.asDict() for r in stats.regression_metrics(both.where("partition <> 'train'"), ["model", "partition", "target"]).orderBy("model", "partition", "target").collect()]
+    of_base = residuals.unpivot(with_base, ["turbine_id", "timestamp", "partition", "reason"], list(m.targets), "baseline_{}").where("raw_residual is not null")
+    both = long.withColumns({"role": F.lit("main"), "model": F.lit(m.name)}).unionByName(of_base.withColumns({"role": F.lit("baseline"), "model": F.lit("linear")}))
+    by = ["model", "role", "partition", "target"]
+    metrics = [r.asDict() for r in stats.regression_metrics(both.where("partition <> 'train'"), by).orderBy(*by).collect()]
     control = residuals.in_control_report(state.where((F.col("partition") == "validation") & F.col("reason").isNull()), d.control_limit_sigma, ("target",))
     return Result(state, normal, predicted, audit, healthy.report(h), metrics, [r.asDict() for r in control.orderBy("target").collect()], trials)
 
