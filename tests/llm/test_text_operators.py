@@ -164,6 +164,43 @@ def test_license_scan_base_matches_brute_force(spark):
         assert (d, *license_base(t)) in got
 
 
+def matches_of(parsed):
+    """Texts that a parsed pattern matches: every branch, option and letter of a set, the first of a range."""
+    out = [""]
+    for op, x in parsed:
+        match str(op):
+            case "LITERAL":
+                some = [chr(x)]
+            case "IN":
+                some = [chr(v if str(o) == "LITERAL" else v[0]) for o, v in x]
+            case "BRANCH":
+                some = [m for b in x[1] for m in matches_of(b)]
+            case "SUBPATTERN":
+                some = matches_of(x[3])
+            case "MAX_REPEAT":
+                some = [m * n for m in matches_of(x[2]) for n in {x[0], x[1]}]
+            case "ASSERT":
+                some = [""]
+        out = [a + b for a in out for b in dict.fromkeys(some)]
+    return out
+
+
+def test_license_keywords_are_in_every_match():
+    gate = license_scan.gate_words()
+    for r in license_scan.rules():
+        for m in matches_of(re._parser.parse(r["pattern"])):
+            assert re.fullmatch(r["pattern"], m + " ") or re.match(r["pattern"], m + " "), m
+            assert f" {r['keyword']}" in m and any(g in m for g in gate), (r, m)
+
+
+def test_license_scan_reads_both_spellings(spark):
+    docs = [(1, "GNU Lesser General Public Licence v2.1"), (2, "GNU General Public Licence version 3"), (3, "Common Development and Distribution Licence 1.0"), (4, "under the General Public Licence")]
+    both = [*docs, *[(10 + d, t.replace("Licence", "License")) for d, t in docs]]
+    got = {r["doc_id"]: (r["labels"].split(","), r["score"]) for r in license_scan.scan(frame(spark, both).select("doc_id", "text")).collect()}
+    assert [got[d] for d in (1, 2, 3, 4)] == [(["lgpl-2.1"], 1.0), (["gpl-3"], 1.0), (["cddl-1.0"], 1.0), (["gpl"], 0.5)]
+    assert all("gpl" in got[10 + d][0] or got[10 + d] == got[d] for d in (1, 2, 3, 4)) and all(got[10 + d][1] == got[d][1] for d in (1, 2, 3, 4))
+
+
 def test_license_rules_outrank_and_suppress(spark):
     docs = [(1, "Licensed under the Apache License, Version 2.0."), (2, "GNU Lesser General Public License v2.1"), (3, "released under CC BY-NC-SA 4.0"), (4, "nothing"), (5, "GPL-3.0-or-later")]
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(frame(spark, docs).select("doc_id", "text")).collect()}

@@ -28,9 +28,9 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 
 #: Families with versions: label, keyword, pattern of the name, versions.
 VERSIONED = [
-    ("gpl", "general public license", "gnu general public licen[cs]e", ["1", "2", "3"]),
+    ("gpl", "general public licen", "gnu general public licen[cs]e", ["1", "2", "3"]),
     ("gpl", "gpl", "(?:gnu )?gpl", ["1", "2", "3"]),
-    ("lgpl", "general public license", "gnu (?:lesser|library) general public licen[cs]e", ["2", "2.1", "3"]),
+    ("lgpl", "general public licen", "gnu (?:lesser|library) general public licen[cs]e", ["2", "2.1", "3"]),
     ("lgpl", "lgpl", "(?:gnu )?lgpl", ["2", "2.1", "3"]),
     ("agpl", "affero", "(?:gnu )?affero general public licen[cs]e", ["1", "3"]),
     ("agpl", "agpl", "(?:gnu )?agpl", ["1", "3"]),
@@ -39,7 +39,7 @@ VERSIONED = [
     ("mpl", "mozilla", "mozilla public licen[cs]e", ["1.0", "1.1", "2.0"]),
     ("mpl", "mpl", "mpl", ["1.0", "1.1", "2.0"]),
     ("epl", "eclipse", "eclipse public licen[cs]e", ["1.0", "2.0"]),
-    ("cddl", "distribution license", "common development and distribution licen[cs]e", ["1.0", "1.1"]),
+    ("cddl", "development and distribution", "common development and distribution licen[cs]e", ["1.0", "1.1"]),
     ("cddl", "cddl", "cddl", ["1.0", "1.1"]),
     ("eupl", "european union", "european union public licen[cs]e", ["1.0", "1.1", "1.2"]),
     ("eupl", "eupl", "eupl", ["1.0", "1.1", "1.2"]),
@@ -83,7 +83,7 @@ NAMED = [
     ("0bsd", "0bsd", "0bsd", 2),
     ("bsd", "bsd", "bsd(?: style)? licen[cs]e", 1),
     ("bsd", "redistribution and use", "redistribution and use in source and binary forms", 1),
-    ("gpl", "general public license", "general public license", 1),
+    ("gpl", "general public licen", "general public licen[cs]e", 1),
     ("cc", "creative commons", "creative commons", 1),
     ("proprietary", "all rights reserved", "all rights reserved", 1),
     ("public-domain", "public domain", "public domain", 1),
