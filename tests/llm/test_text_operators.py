@@ -325,6 +325,27 @@ def test_toxicity_search_is_exact():
         assert np.allclose(cosines, best)
 
 
+def test_toxicity_keeps_words_of_a_fixed_phrase_and_counts_near_copies_once(spark):
+    r = random.Random(4)
+    vocabulary = [f"word{k}" for k in range(500)]
+    docs, labels = [], []
+    for d in range(400):
+        w = [r.choice(vocabulary) for _ in range(40)]
+        if d % 5 == 0:
+            w[20:20] = ["utterly", "vile"]
+        docs.append((d, " ".join(w)))
+        labels.append((d, int(d % 5 == 0)))
+    copied = [r.choice(vocabulary) for _ in range(80)] + ["copied"]
+    for d in range(1000, 1030):
+        docs.append((d, " ".join([f"new{d}", *copied])))
+        labels.append((d, 1))
+    index = toxicity.fit(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int"), F.col("doc_id") % 4 != 2)
+    assert "vile" in index.words and "copied" not in index.words
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.score(frame(spark, docs), index).collect()}
+    held = [d for d in range(400) if d % 4 == 2]
+    assert sum(got[d] == int(d % 5 == 0) for d in held) >= 0.98 * len(held)
+
+
 def test_toxicity_on_planted_words(spark):
     r = random.Random(8)
     vocabulary = [f"word{k}" for k in range(500)]
