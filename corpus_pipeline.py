@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template an earlier document has go, and documents that they leave without a word. n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).where("kept")
+    """Lines, and long sentences of lines, whose template an earlier document has go, and documents that they leave without a word. n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs, sentences=True).where("kept")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)

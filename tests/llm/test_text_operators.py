@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import corpus_pipeline
 import tests.llm.brute as brute
 from thermarc.llm import bpe, decontamination, license_scan, line_dedup, lm_scoring, near_dedup, quality_classifier, quality_rules, sharding, toxicity
 
@@ -305,6 +306,15 @@ def test_decontamination_finds_leaks_only(spark):
     assert decontamination.decontaminate(frame(spark, []), bench).count() == 0
 
 
+def test_pipeline_drops_passages_inside_longer_lines(spark):
+    passage = "one two three four five six seven eight nine ten eleven twelve."
+    docs = [(1, f"The first begins.  {passage} It ends."), (2, f"Another opens!\t{passage}  And more follows.\n\nlast line"), (3, f"{passage} "), (4, "Short one here. Same here."), (5, "Same here. Short one here.")]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, frame(spark, docs), "").collect()}
+    assert got == {1: docs[0][1], 2: "Another opens!\tAnd more follows.\n\nlast line", 4: docs[3][1], 5: docs[4][1]}
+    only = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, docs)).collect()}
+    assert only == dict(docs)
+
+
 def test_toxicity_search_is_exact():
     r = np.random.default_rng(3)
     index = toxicity.Index({f"w{k}": k for k in range(60)}, np.ones(60), rate=0.1)

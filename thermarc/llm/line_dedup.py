@@ -7,6 +7,9 @@ enough, its path with one run left variable; so lines of equal length that diffe
 run, or only in numbers, share a template. A template in MIN_DOCS documents or more recurs:
 the document with the smallest id keeps the line, the others lose it.
 
+With `sentences`, the sentences of a line of several, where of LONG tokens or more, go down the same tree
+as lines of their own, so a passage repeated inside a longer line is found; the rest of the line stays as it is.
+
 Columns and joins only. Templates are 96-bit hashes, one row for each document and template, counted before
 the shuffle; a very common line meets no single task, as plain joins on it can be split.
 
@@ -27,18 +30,31 @@ DEPTH, RUNS, MIN_TOKENS, MIN_DOCS = 3, 4, 3, 2
 #: Tokens from which on one run may vary: two a run at least.
 LONG = DEPTH + 2 * RUNS
 VARIABLE = "<*>"
+#: Between a sentence's end with its spaces and the next sentence; nothing is cut away.
+CUT = r"(?<=[.!?][\x20\x09\x0B-\x0D]{1,8})(?![\x20\x09\x0B-\x0D])"
 
 
 def line_hash(line: Column) -> Column:
     return F.xxhash64(line)
 
 
-def templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(line: Column) -> Column:
+    """The sentences of a line, with their separators."""
+    return F.split(line, CUT, -1)
+
+
+def templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: bool = False) -> DataFrame:
     """(doc_id, line, t, c): the templates of each distinct line; (t, c) is the template, line its text's hash."""
-    lines = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(F.split(whole_text(text), "\n", -1))).alias("_line"))
-    lines = lines.where(F.col("doc_id").isNotNull() & (F.length("_line") >= 2 * MIN_TOKENS - 1))
-    lines = lines.select("doc_id", line_hash(F.col("_line")).alias("line"), words(F.col("_line")).alias("_words"))
-    lines = lines.where(F.size("_words") >= MIN_TOKENS)
+    whole = F.split(whole_text(text), "\n", -1)
+    least = lambda n: lambda x: F.struct(x.alias("_line"), F.lit(n).alias("_least"))
+    units = F.transform(F.array_distinct(whole), least(MIN_TOKENS))
+    if sentences:
+        cut = F.filter(F.transform(whole, pieces), lambda p: F.size(p) > 1)
+        units = F.concat(units, F.transform(F.array_distinct(F.flatten(cut)), least(LONG)))
+    lines = docs.select(F.col(doc_id).alias("doc_id"), F.inline(units))
+    lines = lines.where(F.col("doc_id").isNotNull() & (F.length("_line") >= 2 * F.col("_least") - 1))
+    lines = lines.select("doc_id", "_least", line_hash(F.col("_line")).alias("line"), words(F.col("_line")).alias("_words"))
+    lines = lines.where(F.size("_words") >= F.col("_least"))
     lines = lines.select(
         "doc_id", "line", F.size("_words").alias("_n"), F.transform("_words", lambda w: F.when(w.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(w)).alias("_t")
     )
@@ -64,18 +80,22 @@ def recurring(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return (found.where(F.col("n_docs") >= min_docs) if more else found).select("t", "c", "first_doc")
 
 
-def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, lines): hashes of the lines that each document loses."""
-    rows = stored(templates(docs, doc_id, text), "templates")
+def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, sentences: bool = False) -> DataFrame:
+    """(doc_id, lines): hashes of the lines (and sentences) that each document loses."""
+    rows = stored(templates(docs, doc_id, text, sentences), "templates")
     lost = rows.join(recurring(rows, min_docs), ["t", "c"]).where("first_doc < doc_id")
     return lost.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """All rows with their text without the dropped lines, and n_lines, n_dropped, kept."""
-    lost = dropped_lines(docs, doc_id, text, min_docs).select(F.col("doc_id").alias("_id"), F.col("lines").alias("_lost"))
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, sentences: bool = False) -> DataFrame:
+    """All rows with their text without the dropped lines, and n_lines, n_dropped, kept. A line that loses all its sentences is a dropped one."""
+    lost = dropped_lines(docs, doc_id, text, min_docs, sentences).select(F.col("doc_id").alias("_id"), F.col("lines").alias("_lost"))
     df = docs.join(lost, docs[doc_id] == F.col("_id"), "left").withColumn("_lines", F.split(whole_text(text), "\n", -1))
-    stay = F.filter("_lines", lambda x: ~F.array_contains("_lost", line_hash(x)))
+    stays = lambda x: ~F.array_contains("_lost", line_hash(x))
+    stay = F.filter("_lines", stays)
+    if sentences:
+        rest = lambda x: F.array_join(F.filter(pieces(x), stays), "")
+        stay = F.filter(F.transform(stay, lambda x: F.when(F.length(x) > 0, F.nullif(rest(x), F.lit(""))).otherwise(x)), lambda x: x.isNotNull())
     df = df.withColumn("_stay", F.when(F.col("_lost").isNull(), F.col("_lines")).otherwise(stay))
     short = F.array_join("_stay", "\n")
     out = {
