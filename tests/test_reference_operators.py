@@ -354,6 +354,17 @@ def test_end_to_end_query_fits_boosted_trees(spark, monkeypatch):
     assert seen[0].model == Model()
 
 
+def test_model_queries_take_the_configured_sizes(spark, monkeypatch):
+    seen, t = [], Tuning()
+    monkeypatch.setattr(models, "tune", lambda *a, **fixed: seen.append((a[4], fixed)) or (None, [{**c, "score": 1.0} for c in a[4]]))
+    assert catalogue.tuning_grid(spark, "/root/testdata/sf0.1").count() == len(t.candidates())
+    assert seen == [(t.candidates(), {"n_estimators": t.n_estimators, "colsample": t.colsample})]
+    create = models.create
+    monkeypatch.setattr(models, "create", lambda name, **settings: seen.append(settings) or create("linear"))
+    catalogue.gbt_nbm(spark, "/root/testdata/sf0.1")
+    assert seen[1] == {"n_estimators": t.n_estimators, "colsample": t.colsample, **t.candidates()[0]}
+
+
 def test_models_are_guarded_and_kept(spark, tmp_path):
     df = synthetic(spark, 300)
     f = guards.FeatureConfig(("wind_speed", "active_power"), ("gearbox_oil_temperature",))

@@ -723,20 +723,25 @@ def ols_baseline_multi(spark, sf_dir):
 
 @query()
 def gbt_nbm(spark, sf_dir):
-    m = models.create("gbt", n_estimators=5, max_depth=3).fit(complete(spark, sf_dir), _features(), schema_of_events())
+    from thermarc.config import Tuning
+
+    t = Tuning()
+    m = models.create("gbt", n_estimators=t.n_estimators, colsample=t.colsample, **t.candidates()[0]).fit(complete(spark, sf_dir), _features(), schema_of_events())
     return m.predict(A.scada(spark, sf_dir)).select("turbine_id", "timestamp", *[F.round(f"prediction_{t}", 5).alias(f"prediction_{t}") for t in A.TARGETS])
 
 
 @query()
 def tuning_grid(spark, sf_dir):
+    from thermarc.config import Tuning
+
+    t = Tuning()
     rows = split.by_fractions(complete(spark, sf_dir), "timestamp", ["turbine_id"]).persist()
     train, validation = rows.where("partition = 'train'"), rows.where("partition = 'validation'")
     base = models.create("linear", "baseline").fit(train, _features(), schema_of_events())
     errors = models.target_rmse(base.predict(validation), tuple(A.TARGETS), "baseline")
-    candidates = [{"max_depth": d, "learning_rate": 0.1} for d in (2, 3)]
-    _, trials = models.tune(train, validation, _features(), schema_of_events(), candidates, errors, n_estimators=3)
+    _, trials = models.tune(train, validation, _features(), schema_of_events(), t.candidates(), errors, t.selection, n_estimators=t.n_estimators, colsample=t.colsample)
     rows.unpersist()
-    return spark.createDataFrame([(t["max_depth"], t["learning_rate"], t["score"]) for t in trials], "max_depth int, learning_rate double, score double")
+    return spark.createDataFrame([(x["max_depth"], x["learning_rate"], x["subsample"], x["score"]) for x in trials], "max_depth int, learning_rate double, subsample double, score double")
 
 
 @query()
