@@ -43,6 +43,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Spark's setting to free a query's shuffle files when the query ends, and not when the driver's garbage collector finds them.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    conf = df.sparkSession.conf
+    held = conf.get(FREE_SHUFFLES, None)
+    conf.set(FREE_SHUFFLES, "true")  # what the table needed is in the table: no later step reads its shuffles
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(FREE_SHUFFLES) if held is None else conf.set(FREE_SHUFFLES, held)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Scratch:
     """Tables of one job in the shared folder, by name. `put` writes and reads one back, `drop` frees those that nothing reads any more."""
 
@@ -50,8 +65,7 @@ class Scratch:
         self.spark, self.folder = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{self.folder}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+        return _written(df, f"{self.folder}/{name}")
 
     def drop(self, *names: str) -> None:
         for name in names:
@@ -59,8 +73,47 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Folder:
+    """Small text files of a folder on any file system that Spark reaches, by Hadoop's interface."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, str(root).rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def at(self, name: str = "") -> str:
+        return f"{self.root}/{name}" if name else self.root
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._path(self.at(name)))
+
+    def names(self, pattern: str) -> list[str]:
+        """Paths below the folder that match a glob, sorted."""
+        found = self._fs.globStatus(self._path(self.at(pattern))) or []
+        below = self._path(self.root).toUri().getPath().rstrip("/") + "/"
+        return sorted(f.getPath().toUri().getPath().removeprefix(below) for f in found)
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._path(self.at(name)))
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        stream = self._fs.create(self._path(self.at(name)), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
+    def rename(self, old: str, new: str) -> bool:
+        return self._fs.rename(self._path(self.at(old)), self._path(self.at(new)))
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._path(self.at(name)), True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: later stages don't repeat what made it, and a lost executor loses none of it."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
