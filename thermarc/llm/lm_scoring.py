@@ -6,13 +6,15 @@ on held-out counts: each training token is left out of the counts that predict i
 
 Texts are dealt to blocks by hash. A block sends its distinct unigrams and bigrams, sorted and cut by
 key range, with its training counts; each range adds up the blocks' counts and returns the totals in the
-same order, so only counts travel back. Nothing grows on a common word: it is one key of a block. All
-counts are exact, up to equal 63-bit hashes. EM sees a histogram of the training tokens' probability ratios, in
+same order, so only counts travel back. More than FAN blocks are added up in levels, FAN to one, so neither the
+number of ranges nor a range's records grow with the square of the blocks. Nothing grows on a common word: it is one
+key of a block. All counts are exact, up to equal 55-bit hashes. EM sees a histogram of the training tokens' probability ratios, in
 steps of 1/8 of a natural logarithm: its size depends on the range of counts, not on the corpus.
 
 Tokens are words in lower case (A-Z) and one end for each text, which is also the context of the first word.
 Defined results: null and empty texts are one end token. Without training tokens every probability is 1/(V+1) = 1.
-Repeated rows count and score each; null ids hash as the empty text. Other columns are not kept.
+Repeated rows count and score each (rows equal in id and text share a block); null ids hash as the empty text. A very
+long text is a block of its own size. Ids may be of any type; other columns are not kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermarc.cluster import ship, stored
+from thermarc.cluster import Scratch, ship
 from thermarc.llm.tokens import GOLD, hash_words, mix, word_codes
 
 BLOCK_BYTES = 8_000_000
+#: Blocks whose counts meet in one step.
+FAN = 1024
+#: Bits of a key: the lowest tells unigrams from bigrams.
+KEY_BITS = 56
 #: Steps of a natural logarithm in EM's histogram, and the level of ratio 1.
 STEPS, ONE = 8, 400
 BUCKETS, ROUNDS = 48, 60
@@ -49,13 +55,19 @@ def _keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before = np.empty_like(h)
     before[1:] = h[:-1]
     before[at[:-1]] = END
-    return at, h | np.uint64(1), mix(before * GOLD + h) & ~np.uint64(1)
+    least = np.uint64(64 - KEY_BITS)
+    return at, h >> least | np.uint64(1), mix(before * GOLD + h) >> least & ~np.uint64(1)
 
 
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    s = np.sort(keys)
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
-    return s[first], np.diff(np.concatenate([first, [len(s)]]))
+def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, sum of each, place of each given key among them)."""
+    order = np.argsort(keys, kind="stable")
+    s = keys[order]
+    new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.empty(0, bool)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return s[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0], place
 
 
 def _texts_of(table: pa.Table) -> pa.Array:
@@ -63,96 +75,153 @@ def _texts_of(table: pa.Table) -> pa.Array:
     return pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c
 
 
-def _counted_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(offsets, unigram and bigram keys of a block's tokens, its distinct keys in order, their training counts)."""
+def _counted_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, the distinct keys of a block's tokens in order, their training counts, places of the unigrams and then the bigrams among the keys)."""
     at, uni, bi = _keys(_texts_of(table))
-    keys = np.union1d(_counted(uni)[0], _counted(bi)[0])
-    learn = np.repeat(table.column("train").to_numpy(), np.diff(at))
-    some, n = _counted(np.concatenate([uni[learn], bi[learn]]))
-    counts = np.zeros(len(keys), np.int32)
-    counts[np.searchsorted(keys, some)] = n
-    return at, uni, bi, keys, counts
+    learn = np.repeat(table.column("train").to_numpy(), np.diff(at)).astype(np.int64)
+    return at, *_sums(np.concatenate([uni, bi]), np.concatenate([learn, learn]))
 
 
-def pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences of the least fixed number of bytes: the first byte, then the differences."""
-    d = np.diff(keys, prepend=np.uint64(0))
-    width = max(1, -(-int(d.max()).bit_length() // 8)) if len(d) else 1
-    return bytes([width]) + d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def pack_ints(values: np.ndarray) -> bytes:
+    """Whole numbers in the least fixed number of bytes, named by the first byte."""
+    width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def unpack(data: bytes) -> np.ndarray:
+def unpack_ints(data: bytes) -> np.ndarray:
     width = data[0]
     d = np.zeros(((len(data) - 1) // width, 8), np.uint8)
     d[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    return np.cumsum(d.view("<u8")[:, 0], dtype=np.uint64)
+    return d.view("<u8")[:, 0]
+
+
+def pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return pack_ints(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack_ints(data), dtype=np.uint64)
+
+
+SENT = "range long, block long, keys binary, counts binary"
+TOTALS = "range long, block long, others binary, v long, n long"
+
+
+def _start(r: int, ranges: int) -> np.uint64:
+    return np.uint64(((r << 32) // ranges) << (KEY_BITS - 32))
+
+
+def _cut(keys: np.ndarray, counts: np.ndarray, ranges: int, block: int) -> pa.Table:
+    """A block's sorted keys as a record for each key range that it has; keys are told from the range's start."""
+    place = (keys >> np.uint64(KEY_BITS - 32)) * np.uint64(ranges) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(keys) else np.empty(0, np.int64)
+    full = place[first].astype(np.int64).tolist()
+    parts = [(pack(keys[a:b] - _start(r, ranges)), pack_ints(counts[a:b])) for r, a, b in zip(full, first, [*first[1:], len(keys)], strict=True)]
+    cols = [pa.array(full, pa.int64()), pa.array([block] * len(full), pa.int64()), pa.array([k for k, _ in parts], pa.binary()), pa.array([c for _, c in parts], pa.binary())]
+    return pa.table(cols, names=["range", "block", "keys", "counts"])
+
+
+def _gathered(table: pa.Table, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, counts, offsets of the records) of records of _cut."""
+    keys = [unpack(k.as_py()) + _start(r, ranges) for r, k in zip(table.column("range").to_pylist(), table.column("keys"), strict=True)]
+    counts = [unpack_ints(c.as_py()).astype(np.int64) for c in table.column("counts")]
+    return np.concatenate(keys), np.concatenate(counts), np.cumsum([0, *map(len, keys)])
+
+
+def _others(table: pa.Table, total: np.ndarray, own: np.ndarray, ends: np.ndarray) -> pa.Table:
+    """For each record and key, what the other blocks counted: mostly nothing, so it packs well."""
+    rest = [pack_ints((total[a:b] - own[a:b]).astype(np.uint64)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    none = pa.nulls(table.num_rows, pa.int64())
+    return pa.table([table.column("range"), table.column("block"), pa.array(rest, pa.binary()), none, none], names=["range", "block", "others", "v", "n"])
 
 
 def _emit(ranges: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        *_, keys, counts = _counted_keys(table)
-        cuts = np.searchsorted((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
-        full = np.flatnonzero(np.diff(cuts))
-        ends = pa.array(np.concatenate([cuts[full], cuts[-1:]]).astype(np.int32))
-        # The first difference of a range would be its place; the range's start is left out.
-        low = [(np.uint64(r) << np.uint64(32)) // np.uint64(ranges) << np.uint64(32) for r in full.tolist()]
-        packed = [pack(keys[cuts[r] : cuts[r + 1]] - x) for r, x in zip(full, low, strict=True)]
-        cols = [pa.array(full.astype(np.int32)), pa.array([key[0].as_py()] * len(full), pa.int32()), pa.array(packed, pa.binary())]
-        return pa.table([*cols, pa.ListArray.from_arrays(ends, pa.array(counts))], names=["range", "block", "keys", "counts"])
+        _, keys, counts, _ = _counted_keys(table)
+        return _cut(keys, counts, ranges, key[0].as_py())
 
     return run
 
 
-def _add_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """For each block and key, what the other blocks counted: mostly nothing, so it packs well."""
-    table = table.combine_chunks()
-    part = lambda c: table.column(c).chunk(0)
-    own = part("counts").flatten().to_numpy().astype(np.int64)
-    keys = np.concatenate([unpack(x.as_py()) for x in part("keys")])
-    order = np.argsort(keys, kind="stable")
-    s = keys[order]
-    new = np.concatenate([[True], s[1:] != s[:-1]])
-    sums = np.add.reduceat(own[order], np.flatnonzero(new))
-    others = np.empty(len(keys), np.int64)
-    others[order] = sums[np.cumsum(new) - 1]
-    others -= own
-    words = sums[(s[new] & np.uint64(1)) == 1]
-    sizes = np.concatenate([[0], np.cumsum(part("counts").value_lengths().to_numpy())]).astype(np.int32)
-    out = pa.table([part("range"), part("block"), pa.ListArray.from_arrays(pa.array(sizes), pa.array(others))], names=["range", "block", "others"])
-    about = pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([-1], pa.int32()), pa.array([[int((words > 0).sum()), int(words.sum())]], pa.list_(pa.int64()))], names=["range", "block", "others"])
-    return pa.concat_tables([out, about])
+def _add_up(ranges: int):
+    """All blocks' records of a range: the others' counts of each, and a record of the range's distinct training words and their tokens."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, own, ends = _gathered(table, ranges)
+        distinct, sums, place = _sums(keys, own)
+        words = sums[(distinct & np.uint64(1)) == 1]
+        about = {"range": table.column("range")[:1], "block": pa.array([-1], pa.int64()), "others": pa.nulls(1, pa.binary()), "v": pa.array([int((words > 0).sum())]), "n": pa.array([int(words.sum())])}
+        return pa.concat_tables([_others(table, sums[place], own, ends), pa.table(about)])
+
+    return run
+
+
+def _merge(ranges: int):
+    """The records of a group of blocks in one range, as those of one block in finer ranges."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        keys, own, _ = _gathered(table, ranges)
+        distinct, sums, _ = _sums(keys, own)
+        return _cut(distinct, sums, ranges * FAN, key[1].as_py())
+
+    return run
+
+
+def _share_out(ranges: int):
+    """What other groups counted comes back to the blocks of a group."""
+
+    def run(blocks: pa.Table, above: pa.Table) -> pa.Table:
+        keys, own, ends = _gathered(blocks, ranges)
+        _, sums, place = _sums(keys, own)
+        sums = sums + np.concatenate([unpack_ints(x.as_py()) for x in above.sort_by("range").column("others")]).astype(np.int64)
+        return _others(blocks, sums[place], own, ends)
+
+    return run
+
+
+def _totals(scratch: Scratch, sent: DataFrame, blocks: int, ranges: int) -> DataFrame:
+    """TOTALS of SENT. Up to FAN blocks meet in a range; of more, FAN at a time become one, in levels, so that records stay of one size."""
+    if blocks <= FAN:
+        return scratch.put(f"totals{ranges}", sent.groupBy("range").applyInArrow(_add_up(ranges), TOTALS))
+    groups = -(-blocks // FAN)
+    sent = scratch.put(f"sent{ranges}", sent).withColumn("group", F.col("block") % groups)
+    above = _totals(scratch, sent.groupBy("range", "group").applyInArrow(_merge(ranges), SENT), groups, ranges * FAN)
+    back = above.where("block >= 0").withColumns({"of": F.floor(F.col("range") / FAN), "group": F.col("block")})
+    shared = sent.groupBy("range", "group").cogroup(back.groupBy("of", "group")).applyInArrow(_share_out(ranges), TOTALS)
+    totals = scratch.put(f"totals{ranges}", shared.unionByName(above.where("block < 0")))
+    scratch.drop(f"sent{ranges}", f"totals{ranges * FAN}")
+    return totals
 
 
-FOUND = "doc_id {id}, train boolean, c1 array<long>, c2 array<long>, size array<long>"
+FOUND = "doc_id {id}, train boolean, c1 array<long>, c2 array<long>"
 
 
 def _look_up(texts: pa.Table, totals: pa.Table) -> pa.Table:
-    names = ["doc_id", "train", "c1", "c2", "size"]
-    lists = pa.list_(pa.int64())
-    if not texts.num_rows:  # the ranges' (V, N)
-        n = totals.num_rows
-        return pa.table([pa.nulls(n, texts.schema.field("doc_id").type), pa.nulls(n, pa.bool_()), pa.nulls(n, lists), pa.nulls(n, lists), totals.column("others")], names=names)
-    at, uni, bi, keys, own = _counted_keys(texts)
-    totals = totals.sort_by("range").combine_chunks()
-    total = own + totals.column("others").chunk(0).flatten().to_numpy()
-    found = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(total[np.searchsorted(keys, k)])) for k in (uni, bi)]
-    return pa.table([texts.column("doc_id"), texts.column("train"), *found, pa.nulls(texts.num_rows, lists)], names=names)
+    at, _, own, place = _counted_keys(texts)
+    others = np.concatenate([unpack_ints(x.as_py()) for x in totals.sort_by("range").column("others")])
+    count = (own + others.astype(np.int64))[place]
+    found = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(c)) for c in np.split(count, 2)]
+    return pa.table([texts.column("doc_id"), texts.column("train"), *found], names=["doc_id", "train", "c1", "c2"])
 
 
 def token_counts(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int, int]:
     """Rows (doc_id, train, c1, c2): training counts of each token and of it after the one before; and V, N. Stored."""
     ship(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     size = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1)).first()[0] or 1
     blocks = max(8, -(-size // BLOCK_BYTES))
+    ranges = min(FAN, max(8, blocks // 3))
     rows = docs.select(
-        F.pmod(F.xxhash64(doc_id, text), F.lit(blocks)).cast("int").alias("block"), F.col(doc_id).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text")
+        F.pmod(F.xxhash64(doc_id, text), F.lit(blocks)).alias("block"), F.col(doc_id).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text")
     )
-    sent = rows.groupBy("block").applyInArrow(_emit(blocks), "range int, block int, keys binary, counts array<int>")
-    totals = sent.groupBy("range").applyInArrow(_add_up, "range int, block int, others array<long>")
-    found = rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_look_up, FOUND.format(id=rows.schema["doc_id"].dataType.simpleString()))
-    found = stored(found, "counts")
-    about = found.where("size is not null").agg(F.sum(F.col("size")[0]).alias("v"), F.sum(F.col("size")[1]).alias("n")).first()
-    return found.where("size is null").drop("size"), about["v"] or 0, about["n"] or 0
+    totals = _totals(scratch, rows.groupBy("block").applyInArrow(_emit(ranges), SENT), blocks, ranges)
+    about = totals.agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
+    back = totals.where("block >= 0").select("block", "range", "others")
+    found = rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_look_up, FOUND.format(id=rows.schema["doc_id"].dataType.simpleString()))
+    found = scratch.put("counts", found)
+    scratch.drop(f"totals{ranges}")
+    return found, about["v"] or 0, about["n"] or 0
 
 
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
