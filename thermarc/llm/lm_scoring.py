@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from thermarc.cluster import Scratch, ship
 from thermarc.llm.tokens import GOLD, hash_words, mix, word_codes
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 6_000_000
 #: Blocks whose counts meet in one step.
 FAN = 1024
 #: Bits of a key: the lowest tells unigrams from bigrams.
@@ -211,7 +211,7 @@ def token_counts(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: s
     scratch = Scratch(docs.sparkSession)
     size = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1)).first()[0] or 1
     blocks = max(8, -(-size // BLOCK_BYTES))
-    ranges = min(FAN, max(8, blocks // 3))
+    ranges = min(FAN, blocks)
     rows = docs.select(
         F.pmod(F.xxhash64(doc_id, text), F.lit(blocks)).alias("block"), F.col(doc_id).alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text")
     )
