@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermarc.cluster import stored
+from thermarc.cluster import Scratch
 from thermarc.llm.text import whole_text, words
 
 DEPTH, RUNS, MIN_TOKENS, MIN_DOCS = 3, 4, 3, 2
@@ -43,8 +43,8 @@ def pieces(line: Column) -> Column:
     return F.split(line, CUT, -1)
 
 
-def templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: bool = False) -> DataFrame:
-    """(doc_id, line, t, c): the templates of each distinct line; (t, c) is the template, line its text's hash."""
+def templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: bool = False, patterns: bool = False) -> DataFrame:
+    """(doc_id, line, t, c): the templates of each distinct line; (t, c) is the template, line its text's hash. With patterns, also n and pattern: tokens, and the template as text."""
     whole = F.split(whole_text(text), "\n", -1)
     least = lambda n: lambda x: F.struct(x.alias("_line"), F.lit(n).alias("_least"))
     units = F.transform(F.array_distinct(whole), least(MIN_TOKENS))
@@ -61,16 +61,17 @@ def templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sente
     rest = F.col("_n") - DEPTH
     cut = lambda j: F.floor(rest * j / RUNS).cast("int")
     parts = [F.slice("_t", 1, DEPTH), *[F.slice("_t", cut(j) + DEPTH + 1, cut(j + 1) - cut(j)) for j in range(RUNS)]]
-    lines = lines.select("doc_id", "line", "_n", *[F.xxhash64(p).alias(f"_x{j}") for j, p in enumerate(parts)], *[F.hash(p).alias(f"_m{j}") for j, p in enumerate(parts)])
+    lines = lines.select("doc_id", "line", "_n", *[F.xxhash64(p).alias(f"_x{j}") for j, p in enumerate(parts)], *[F.hash(p).alias(f"_m{j}") for j, p in enumerate(parts)], *([F.array_join(p, " ").alias(f"_p{j}") for j, p in enumerate(parts)] if patterns else []))
 
     def template(without: int) -> Column:
         kept = [j for j in range(RUNS + 1) if j != without]
         key = lambda h, f: h(F.lit(without), F.col("_n"), *[F.col(f"{f}{j}") for j in kept])
-        return F.struct(key(F.xxhash64, "_x").alias("t"), key(F.hash, "_m").alias("c"))
+        shown = [F.filter(F.array(*[F.lit("<...>") if j == without else F.col(f"_p{j}") for j in range(RUNS + 1)]), lambda p: F.length(p) > 0)] if patterns else []
+        return F.struct(key(F.xxhash64, "_x").alias("t"), key(F.hash, "_m").alias("c"), *[F.array_join(x, " ").alias("pattern") for x in shown])
 
     loose = F.array(*[template(j) for j in range(1, RUNS + 1)])
     all_of = F.when(F.col("_n") >= LONG, F.concat(F.array(template(-1)), loose)).otherwise(F.array(template(-1)))
-    return lines.select("doc_id", "line", F.inline(all_of))
+    return lines.select("doc_id", "line", *([F.col("_n").alias("n")] if patterns else []), F.inline(all_of))
 
 
 def recurring(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -80,11 +81,21 @@ def recurring(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return (found.where(F.col("n_docs") >= min_docs) if more else found).select("t", "c", "first_doc")
 
 
+def recurring_templates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, sentences: bool = False) -> DataFrame:
+    """(pattern, n_tokens, n_docs, first_doc) of the templates that recur, as text: `<*>` for a variable token, `<...>` for a variable run."""
+    rows = templates(docs, doc_id, text, sentences, patterns=True)
+    found = rows.groupBy("t", "c").agg(F.min("pattern").alias("pattern"), F.min("n").alias("n_tokens"), F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    return found.where(F.col("n_docs") >= max(2, min_docs)).select("pattern", "n_tokens", "n_docs", "first_doc")
+
+
 def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, sentences: bool = False) -> DataFrame:
-    """(doc_id, lines): hashes of the lines (and sentences) that each document loses."""
-    rows = stored(templates(docs, doc_id, text, sentences), "templates")
-    lost = rows.join(recurring(rows, min_docs), ["t", "c"]).where("first_doc < doc_id")
-    return lost.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    """(doc_id, lines): hashes of the lines (and sentences) that each document loses. Stored."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.put("templates", templates(docs, doc_id, text, sentences))
+    lost = rows.join(recurring(rows, min_docs).hint("merge"), ["t", "c"]).where("first_doc < doc_id")
+    lost = scratch.put("lost", lost.groupBy("doc_id").agg(F.collect_set("line").alias("lines")))
+    scratch.drop("templates")
+    return lost
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, sentences: bool = False) -> DataFrame:
