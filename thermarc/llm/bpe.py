@@ -5,11 +5,12 @@ chunks, rows of their own that other tasks pre-tokenise. In the overlap of two
 neighbours the first boundary that both found, after a character that is no white
 space, is the cut: the split pattern never looks back, so from a common boundary on
 both go on alike. The pieces between cuts are encoded in parallel and their ids
-joined in order. A text with an overlap without such a boundary (one endless
-pre-token, say) is encoded as a whole.
+joined in order. Chunks whose overlap has no such boundary (one endless
+pre-token, say) are encoded as one piece.
 
 Defined results: a null text counts as empty and has no ids; strings of special
-tokens are ordinary text; repeated rows are encoded each. Extra columns stay.
+tokens are ordinary text; repeated rows are encoded each, so ties don't matter. Extra columns stay, but one named
+as the ids (or, in decode and digests, as their results) is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -131,16 +132,14 @@ def _encode_long(docs: DataFrame, ranks: Broadcast, pattern: str, chunk: int, ov
     order = Window.partitionBy("_row").orderBy("_k")
     cut = F.array_min(F.array_intersect(F.col("_head"), F.lag("_tail").over(order)))
     parts = parts.withColumn("_from", F.when(F.col("_k") == 0, 0).otherwise(cut))
-    parts = parts.withColumns({"_next": F.lead("_from").over(order), "_last": F.lead("_k").over(order).isNull(), "_lost": F.max(F.col("_from").isNull()).over(Window.partitionBy("_row"))})
-    # A piece runs to the next chunk's cut; without cuts the chunks stay as they are, to be joined below.
-    n = F.length("_part")
-    start = F.when(F.col("_lost"), 0).otherwise(F.col("_from"))
-    end = F.when(F.col("_lost"), F.least(n, F.lit(chunk))).when(F.col("_last"), F.least(n, F.lit(chunk))).otherwise(F.col("_next") + chunk)
-    pieces = parts.select("_row", "_k", "_lost", F.substring(F.col("_part"), start + 1, F.greatest(F.lit(0), end - start)).alias("_part"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_part"))), lambda x: x["_part"]), "")
-    lost = pieces.where("_lost").groupBy("_row").agg(whole.alias("_part")).select("_row", F.lit(0).alias("_k"), "_part")
-    todo = pieces.where("not _lost").select("_row", "_k", "_part").unionByName(lost)
-    coded = todo.mapInArrow(_encode_rows(ranks, pattern, "_part"), "_row long, _k int, ids array<int>")
+    # A piece runs from a chunk's cut to the next cut; chunks without a cut between them are one piece.
+    parts = parts.withColumns({"_next": F.lead("_from").over(order), "_more": F.lead("_k").over(order).isNotNull(), "_piece": F.count("_from").over(order)})
+    end = F.when(F.col("_more"), F.coalesce("_next", F.lit(0)) + chunk).otherwise(F.length("_part"))
+    start = F.coalesce("_from", F.lit(0))
+    own = F.substring(F.col("_part"), start + 1, F.greatest(F.lit(0), end - start))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", own.alias("_own")))), lambda x: x["_own"]), "")
+    todo = parts.groupBy("_row", "_piece").agg(joined.alias("_part")).select("_row", F.col("_piece").alias("_k"), "_part")
+    coded = todo.mapInArrow(_encode_rows(ranks, pattern, "_part"), "_row long, _k long, ids array<int>")
     return coded.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_k", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
@@ -171,13 +170,14 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", ou
                 got = [enc.decode_bytes(v.tolist()) for v in _rows_of(b.column(ids))]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], names=[*b.schema.names, out])
 
+    coded = coded.drop(out)
     return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
 def digests(coded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """n_tokens, and the SHA-256 of the ids (little-endian unsigned 32-bit) and of the decoded bytes, in place of the ids."""
     ranks = vocabulary(coded.sparkSession, ranks_path)
-    keep = [c for c in coded.columns if c != ids]
+    keep = [c for c in coded.columns if c not in (ids, "n_tokens", "ids_sha256", "decoded_sha256")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(ranks.value, pattern)

@@ -9,7 +9,8 @@ and has no exchange.
 
 Defined results: null and empty texts have grade 0 for certain. Without graded rows of two grades the
 grades' rates are everyone's probabilities. Null grades and ids are left out; of several grades of an id the
-least counts. Repeated rows are scored each. Other columns stay.
+least counts. Repeated rows are scored each, ties in the fit go by the order of ids. Ids may be of any type. Texts are taken whole. Other columns
+stay, those of the result's names are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from thermarc.cluster import ship
 from thermarc.llm.tokens import hash_words, text_slices
 
 MAX_ROWS = 10_000
-WORD_BITS, SHAPE_BITS = 13, 10
+WORD_BITS, SHAPE_BITS = 16, 12
 WIDTH = (1 << WORD_BITS) + (1 << SHAPE_BITS) + 2
 KEEP = 0.5
 PULL, STEPS, RATE = 1e-4, 250, 0.05
@@ -39,11 +40,11 @@ _marks = re.compile(r"[\W_]+")
 def shape(word: str) -> str:
     """The runs of kinds of characters: 'Word,' is 'Aa,', 'WORD!!' is 'A!'."""
     out = ""
-    for c in word[:64]:
+    for c in word:
         k = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c if not c.isalpha() else "o"
         if not out.endswith(k):
             out += k
-    return out[:12]
+    return out
 
 
 def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -137,7 +138,7 @@ def fit(docs: DataFrame, grades: DataFrame, train: Column, n_grades: int, max_ro
                 cols = [pa.array([p for p, _ in got], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in got], pa.list_(pa.float32()))]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), *cols], names=["doc_id", "grade", "place", "value"])
 
-    table = rows.mapInArrow(run, "doc_id long, grade int, place array<int>, value array<float>").orderBy("doc_id").toArrow()  # max_rows short rows
+    table = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, grade int, place array<int>, value array<float>").orderBy("doc_id").toArrow()  # max_rows short rows
     place, value = table.column("place").combine_chunks(), table.column("value").combine_chunks()
     if not isinstance(place, pa.ListArray) or not len(place):
         return Model(np.zeros(WIDTH), np.zeros(n_grades - 1))

@@ -8,7 +8,8 @@ moves keys only into or out of the subtrees whose weights changed.
 Defined results: a null key is hashed as the text 'null key', a null text has size
 1; equal keys share a shard. An empty table gives an empty result. Slots number the rows of a shard
 from 0 without gaps in the order (bucket, key, checksum, size); exact repeats may
-swap their slots, which leaves the result the same as a set of rows.
+swap their slots, which leaves the result the same as a set of rows. Keys may be of any type; texts are only measured, whatever
+their length; other columns are not kept.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from thermarc.llm.text import whole_text
 #: Buckets a shard for numbering: slots of one bucket are numbered in one task, so this
 #: bounds a task at rows / (shards * BUCKETS). The table of offsets has shards * BUCKETS rows at most.
 BUCKETS = 1024
+#: Shards that a tree is founded with, at most.
+FOUNDED = 8
 
 
 @dataclass(frozen=True)
@@ -49,17 +52,23 @@ def tree(shards: dict[tuple[str, str, int], float]) -> Node:
     return Node("", sum(x.weight for x in top), None, tuple(top))
 
 
-def even_layout(n: int, per_rack: int = 2, racks: int = 2, first: int = 8) -> dict[tuple[str, str, int], float]:
-    """Equal weights: the first eight shards fill regions of two racks of two; each later one
-    opens a region of its own, so that no other subtree's weight changes when it joins."""
+def even_layout(n: int, founded: int | None = None, per_rack: int = 2, racks: int = 2) -> dict[tuple[str, str, int], float]:
+    """Equal weights: the shards that a tree was founded with (FOUNDED at most) fill regions of two racks of two; each later one
+    opens a region of its own, so that no other subtree's weight changes when it joins, and rows move only into it."""
+    founded = min(n, FOUNDED) if founded is None else founded
     out = {}
     for k in range(n):
-        region = f"r{k // (per_rack * racks)}" if k < first else f"x{k}"
-        rack = f"k{k // per_rack % racks}" if k < first else "k0"
+        region = f"r{k // (per_rack * racks)}" if k < founded else f"x{k}"
+        rack = f"k{k // per_rack % racks}" if k < founded else "k0"
         out[region, rack, k] = 1.0
     return out
 
 
+def weighted_layout(weights: list[float]) -> dict[tuple[str, str, int], float]:
+    """even_layout with the shards' own weights."""
+    return {place: w for place, w in zip(even_layout(len(weights)), weights, strict=True)}
+
+
 def _draw(key: Column, node: Node) -> Column:
     h = F.xxhash64(key, F.lit(node.name))
     u = (F.shiftrightunsigned(h, 11).cast("double") + 0.5) * float(2**-53)
@@ -109,10 +118,13 @@ def number(rows: DataFrame, shard: str, key: str, order: list[str], buckets: int
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Shard, slot, size and checksum of each document, and its shard if one more shard joined. Law: the key and the shard count decide."""
+    """Shard, slot, size and checksum of each document, its shard if one more shard joined the tree, and its shard if the second half of the shards weighed
+    twice as much. Law: the key and the shard count decide. One more shard takes rows only into itself, whatever the count (of fewer than FOUNDED
+    shards, the tree is founded with what there is)."""
     t = whole_text(text).cast("binary")
     rows = docs.select(F.col(key).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("text_crc32"))
     rows = assign(rows, "doc_id", even_layout(n_shards))
-    rows = assign(rows, "doc_id", even_layout(n_shards + 1), "grown_shard")
+    rows = assign(rows, "doc_id", even_layout(n_shards + 1, min(n_shards, FOUNDED)), "grown_shard")
+    rows = assign(rows, "doc_id", weighted_layout([1.0 if k < n_shards / 2 else 2.0 for k in range(n_shards)]), "weighted_shard")
     numbered = number(rows, "shard", "doc_id", ["doc_id", "text_crc32", "size"])
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "weighted_shard")
