@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thermarc import guards
-from thermarc.config import Config, Detection, Model, Tuning, dump_config, load_config
+from thermarc.cluster import Folder
+from thermarc.config import Config, Detection, Model, Residual, Tuning, dump_config, load_config
 from thermarc.errors import ConfigError, ConflictError, FitError, GuardError, IngestError, RuleError, SchemaError, SplitError, StoreError
 from thermarc.functions import timeutil
-from thermarc.operators import detect, events, healthy, models, quality, residuals, rules, split, stats
+from thermarc.operators import census, detect, events, healthy, models, quality, residuals, rules, split, stats
 from thermarc.plans import adapters, catalogue, experiment
 from thermarc.schema import DEFAULT, Schema, Variable, content_hash
 from thermarc.sources import files
@@ -145,17 +146,29 @@ def test_cleaning_order_is_guarded(spark):
 def test_priority_and_bounds_of_windows(spark):
     df = stream(spark, [1] * 30).withColumn("active_power", F.when(F.minute("timestamp") == 0, F.lit(None)).otherwise(F.lit(100.0)))
     at = lambda m: T0 + timedelta(minutes=m)
-    w = spark.createDataFrame([("T1", at(0), at(100), "pre_fault"), ("", at(100), at(120), "known_fault"), ("T2", at(0), at(300), "known_fault"), ("T1", at(200), at(300), "no such reason")], "turbine_id string, start timestamp_ntz, end timestamp_ntz, reason string")
-    got = healthy.attribute(df, w, ["turbine_id", "target", "timestamp"], 50.0)
+    w = spark.createDataFrame([("T1", at(0), at(100), "pre_fault_window"), ("", at(100), at(120), "known_fault_period"), ("T2", at(0), at(300), "known_fault_period")], "turbine_id string, start timestamp_ntz, end timestamp_ntz, reason string")
+    got = healthy.attribute(df, w, 50.0)
     n = {r["reason"]: r["n_rows"] for r in healthy.report(got).collect()}
-    assert n == {"pre_fault": 10, "known_fault": 3, "accepted": 17}
+    assert n == {"pre_fault_window": 10, "known_fault_period": 3, "accepted": 17}
+    low = healthy.attribute(df.withColumn("active_power", F.lit(1.0)), w, 50.0)
+    assert {r["reason"]: r["n_rows"] for r in healthy.report(low).collect()} == {"pre_fault_window": 10, "known_fault_period": 3, "below_minimum_active_power": 17}
+    with pytest.raises(Exception, match="unknown exclusion reason: no such reason"):
+        healthy.attribute(df, w.withColumn("reason", F.lit("no such reason"))).collect()
+
+
+def test_alarm_windows(spark):
+    at = lambda m: T0 + timedelta(minutes=m)
+    rows = [("T1", at(0), at(30), "Stop"), ("T1", at(10), None, "Stop"), ("T1", at(20), at(400), "Warning"), ("T1", at(20), at(30), "Informational"), ("T1", at(300), at(310), "Stop")]
+    log = spark.createDataFrame(rows, "turbine_id string, start timestamp_ntz, end timestamp_ntz, status string")
+    got = [(r["start"], r["end"]) for r in healthy.alarm_windows(log, str(at(0)), str(at(200))).orderBy("start").collect()]
+    assert got == [(at(0), at(30)), (at(20), at(200))]
 
 
 def test_derived_windows(spark):
     f = spark.createDataFrame([("T1", T0, T0 + timedelta(hours=1))], "turbine_id string, start timestamp_ntz, end timestamp_ntz")
     got = {r["reason"]: r for r in healthy.derive_windows(f, f, f.select("turbine_id", F.col("start").alias("timestamp")), f, 30, 2, 0.5).collect()}
-    assert got["pre_fault"]["start"] == T0 - timedelta(days=30) and got["post_maintenance"]["end"] == T0 + timedelta(days=2, hours=1)
-    assert got["step_change"]["start"] == T0 - timedelta(hours=12) and got["alarm_active"]["end"] == T0 + timedelta(hours=1)
+    assert got["pre_fault_window"]["start"] == T0 - timedelta(days=30) and got["post_maintenance_window"]["end"] == T0 + timedelta(days=2, hours=1)
+    assert got["sensor_failure_or_step_change"]["start"] == T0 - timedelta(hours=12) and got["alarm_period"]["end"] == T0 + timedelta(hours=1)
 
 
 def test_splits(spark):
@@ -182,10 +195,10 @@ def test_statistics(spark):
     want = sum((x[i] - mean) * (x[i - 1] - mean) for i in range(1, 200)) / sum((v - mean) ** 2 for v in x)
     assert stats.autocorrelation(df, "d", "timestamp", [], [1]).first()["acf"] == pytest.approx(want)
     assert stats.diebold_mariano(df, "z", "z", "timestamp", [])["p_value"] == 1.0
-    b = stats.bootstrap(df, "timestamp", [], F.avg("d"), 10, 100).first()
+    b = stats.bootstrap(df, "timestamp", [], {"d": F.col("d")}, F.col("d"), 10, 100).first()
     assert b["low"] <= b["estimate"] <= b["high"] and b["replicates"] == 100
     with pytest.raises(ConfigError):
-        stats.bootstrap(df, "timestamp", [], F.avg("d"), 1)
+        stats.bootstrap(df, "timestamp", [], {"d": F.col("d")}, F.col("d"), 1)
 
 
 def test_rules():
@@ -193,10 +206,60 @@ def test_rules():
         rules.load_rules("version: 1.0.0\nrules: []")
     with pytest.raises(RuleError):
         rules.load_rules("version: 1.0.0\nrules: [{rule_id: a, mechanism: m, pattern: {x: high}, validated: true}]")
-    got = rules.load_rules("version: 1.0.0\nrules: [{rule_id: a, mechanism: m, pattern: {x: high}}]")
+    with pytest.raises(RuleError, match="caveat"):
+        rules.load_rules("version: 1.0.0\nrules: [{rule_id: a, mechanism: m, pattern: {x: high}}]")
+    got = rules.load_rules(f"version: 1.0.0\nrules: [{{rule_id: a, mechanism: m, pattern: {{x: high}}, rationale: {rules.OVERLAP_CAVEAT}}}]")
     assert got[0].pattern == {"x": "high"}
 
 
+def test_same_pipelines_have_the_same_curve(spark):
+    states = residuals.with_limits(residuals.ewma(stream(spark, [math.sin(i * i) * 4 for i in range(300)]).withColumn("target", F.lit("a"))), spark.createDataFrame([("a", 1.0)], "target string, sigma double"))
+    one = detect.sweep(states, 3.0, 1, detect.GRID)
+    both = one.withColumn("pipeline", F.lit("x")).unionByName(one.withColumn("pipeline", F.lit("y")))
+    rows = detect.comparison(both, [1.0, 50.0, 500.0]).collect()
+    assert [r["multiplier"] for r in rows if r["pipeline"] == "x"] == [r["multiplier"] for r in rows if r["pipeline"] == "y"]
+    assert [r["pipeline"] for r in rows] == ["x", "y"] * 3 and not any(r["reachable"] for r in rows if r["multiplier"] is None)
+    # The fine grid ends at 12 unless the strictest rate there is still above the smallest target.
+    assert detect.needed_grid(one, 1e9).agg(F.max("multiplier")).first()[0] == 12.0
+    assert detect.needed_grid(one, -1.0).agg(F.max("multiplier")).first()[0] == 40.0
+
+
+def test_findings_of_registered_rules(spark):
+    df = stream(spark, [1.0, 1.0, None, 500.0])
+    got = quality.validate(df, {"nulls": lambda d: quality.null_profile(d, ["normalized_residual"]).where("n_null > 0").select(F.col("level"), F.col("n_null").alias("n"), F.concat(F.lit("nulls in "), F.col("column_name")).alias("message"))})
+    assert [(r["rule_id"], r["level"], r["n"]) for r in got.collect()] == [("nulls", "INFO", 1)]
+    with pytest.raises(ConfigError):
+        quality.validate(df, {})
+    assert census.channel_groups(["Gear oil temp", "gearbox_temp_max", "wind_speed"], {"gear": (["gear", "temp"], ["max", "min"]), "wind": (["wind"], [])}) == {"gear": ["Gear oil temp"], "wind": ["wind_speed"]}
+
+
+def test_operator_text(spark):
+    kind = "turbine_id string, timestamp timestamp_ntz, state_gearbox_oil_temperature int, ewma_gearbox_oil_temperature double, state_gearbox_bearing_temperature int, ewma_gearbox_bearing_temperature double"
+    states = spark.createDataFrame([("T1", T0, 1, 2.0, 0, 0.5), ("T2", T0, -1, -2.0, None, None)], kind)
+    signals = ["gearbox_oil_temperature", "gearbox_bearing_temperature"]
+    found, said = rules.assess(states, rules.INITIAL, signals), rules.diagnostic_events(states, signals)
+    got = {r["turbine_id"]: r["text"] for r in rules.operator_text(found, said, rules.INITIAL, signals).collect()}
+    assert "1. lss_planetary_bearing_failure (FMEA-003, plausible_preliminary) [NOT VALIDATED" in got["T1"] and "2. gear_teeth_wear (FMEA-001" in got["T1"] and "severity 2.00" in got["T1"]
+    assert got["T2"].endswith("no rule fits") and "gearbox_bearing_temperature has no observation" in got["T2"]
+
+
+def test_exact_percentiles(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    rows = [("a", float(x)) for x in r.standard_normal(20_001)] + [("e", float(x)) for x in r.standard_normal(203)] + [("b", float(x)) for x in r.integers(0, 3, 4000)] + [("c", 1.5), ("d", None)]
+    df = spark.createDataFrame(rows, "target string, v double")
+    shares = {"low": 0.25, "mid": 0.5, "high": 0.99}
+    got = {x["target"]: x for x in residuals.exact_percentiles(df, ["target"], "v", shares).collect()}
+    assert set(got) == {"a", "b", "c", "e"}
+    for t in "abce":
+        values = [v for k, v in rows if k == t]
+        assert got[t]["n"] == len(values)
+        for name, p in shares.items():
+            assert got[t][name] == pytest.approx(np.quantile(values, p), abs=1e-12)
+    assert residuals.condition_edges(df.where("target = 'b'"), "v", 2) == [0.0, 1.0, 2.0]
+
+
 def test_guards():
     ok = guards.FeatureConfig(("wind_speed",), ("gearbox_oil_temperature",), (guards.Feature("w1", "lag", "wind_speed", 1),))
     guards.check_features(ok, DEFAULT)
@@ -317,7 +380,16 @@ def test_experiment_store_and_reproduction(spark, tmp_path):
     with pytest.raises(StoreError):
         store.load("EXP-1")
     assert experiment.differences([{"a": 1.0}], [{"a": 1.5}])[0] == "MISMATCH"
-    assert experiment.append_limitation(tmp_path / "L.md", "x", "y") == "LIM-001" and experiment.append_limitation(tmp_path / "L.md", "x", "y") == "LIM-002"
+    f = Folder(spark, str(tmp_path))
+    assert experiment.append_limitation(f, "L.md", "x", "y") == "LIM-001" and experiment.append_limitation(f, "L.md", "x", "y") == "LIM-002"
+    assert store.residuals(exp).count() == got.residuals.count()
+    assert [json.loads(x)["step"] for x in (tmp_path / "store" / exp / "logs" / "run.jsonl").read_text().splitlines()] == ["healthy", "baseline", "model", "metrics"]
+    meta = json.loads((tmp_path / "store" / exp / "metadata.json").read_text())
+    with pytest.raises(StoreError):
+        experiment.check_chain(meta["provenance"][1:])
+    experiment.check_comparable([meta, meta])
+    with pytest.raises(ConfigError):
+        experiment.check_comparable([meta, {**meta, "source_sha256": "x"}])
     assert experiment.accuracy_cell("rmse", 1, 0.5, 2) == "RMSE 1.000 [0.500, 2.000]"
     assert json.loads((tmp_path / "store" / exp / "metadata.json").read_text())["config_sha256"] == config.sha256()
 
@@ -334,10 +406,42 @@ def test_experiment_searches_the_configured_candidates(spark, monkeypatch):
     df = synthetic(spark, 300)
     got = experiment.run(df, Config(model=Model(tuning=tuning)), DEFAULT)
     assert [(t["max_depth"], t["learning_rate"], t["subsample"]) for t in got.trials] == [(1, 0.3, 1.0), (2, 0.3, 1.0)]
-    assert [s for n, s in made if n == "gbt"] == [{"n_estimators": 2, "colsample": 0.7, **c} for c in tuning.candidates()]
+    assert [s for n, s in made if n == "gbt"] == [{**tuning.fixed(), **c} for c in tuning.candidates()]
     made.clear()
     assert experiment.run(df, Config(model=Model(tuning=dataclasses.replace(tuning, enabled=False))), DEFAULT).trials == []
-    assert [s for n, s in made if n == "gbt"] == [{"n_estimators": 2, "colsample": 0.7}]
+    assert [s for n, s in made if n == "gbt"] == [tuning.fixed()]
+
+
+def test_experiment_settings_take_effect(spark):
+    df = synthetic(spark, 600)
+    at = lambda m: T0 + timedelta(minutes=10 * m)
+    faults = spark.createDataFrame([("a", "T1", at(550), at(560)), ("b", "T1", at(100), at(110))], experiment.EVENTS)
+    healthy_state = dataclasses.replace(Config().healthy_state, fault_pre_exclusion_days=0)
+    config = Config(model=Model(name="linear"), healthy_state=healthy_state, detection=Detection(control_limit_sigma=0.3, persistence=2))
+    got = experiment.run(df, config, DEFAULT, faults=faults)
+    n = {r["reason"]: r["n_rows"] for r in got.healthy.collect()}
+    assert n["known_fault_period"] == 22 and "pre_fault_window" not in n
+    assert got.evaluation["n_events"] == 1 and got.evaluation["rate"] is None and got.detections.count() > 0
+    before = dataclasses.replace(config, healthy_state=dataclasses.replace(healthy_state, fault_pre_exclusion_days=1))
+    again = experiment.run(df, before, DEFAULT, faults=faults.where("event_id = 'b'"))
+    assert {r["reason"]: r["n_rows"] for r in again.healthy.collect()}["pre_fault_window"] == 100
+    long = experiment.run(df, dataclasses.replace(config, detection=dataclasses.replace(config.detection, persistence=6)), DEFAULT, faults=faults)
+    assert long.detections.count() < got.detections.count()
+    other = experiment.run(df, dataclasses.replace(config, residual=Residual(threshold_stats_source="validation")), DEFAULT, faults=faults)
+    assert other.residuals.agg(F.sum(F.abs("normalized_residual"))).first() != got.residuals.agg(F.sum(F.abs("normalized_residual"))).first()
+    alone = experiment.run(df, dataclasses.replace(config, model=Model(name="linear", include_baseline=False)), DEFAULT)
+    assert {m["role"] for m in alone.metrics} == {"main"}
+
+
+def test_accuracy_and_diagnosis(spark):
+    config = Config(model=Model(name="linear"), detection=Detection(control_limit_sigma=0.3))
+    got = experiment.run(synthetic(spark, 300), config, DEFAULT)
+    rows = experiment.accuracy(got, config, replicates=100, parts=("test",))
+    assert len(rows) == 4 and all(r["rmse_low"] <= r["rmse"] <= r["rmse_high"] for r in rows)
+    assert [r["dm_p_value"] for r in rows if r["role"] == "baseline"] == [1.0, 1.0]
+    table = experiment.accuracy_table([], rows, config)
+    assert table[0]["kind"] in ("MAIN", "BASELINE") and "[" in table[0]["rmse"] and "detection.lam" in table[0]["footnote"]
+    assert experiment.diagnosis(got, config).where("text like '%FMEA-00%'").count() > 0
 
 
 def test_metrics_keep_main_and_baseline_apart(spark):
@@ -349,20 +453,21 @@ def test_metrics_keep_main_and_baseline_apart(spark):
 
 def test_end_to_end_query_fits_boosted_trees(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(experiment, "run", lambda df, config, *_: seen.append(config) or experiment.Result(df, df, df, df, df, [{"model": "gbt", "partition": "test", "target": "x", "n": 1, "rmse": 0.0, "bias": 0.0}], [], []))
+    monkeypatch.setattr(experiment, "run", lambda df, config, *_: seen.append(config) or experiment.Result(df, df, df, df, df, [{"role": "main", "model": "gbt", "partition": "test", "target": "x", "n": 1, "rmse": 0.0, "bias": 0.0}], [], []))
     catalogue.pipeline_end_to_end(spark, "/root/testdata/sf0.001")
-    assert seen[0].model == Model()
+    assert seen[0].model == Model(tuning=catalogue.small_search())
 
 
-def test_model_queries_take_the_configured_sizes(spark, monkeypatch):
-    seen, t = [], Tuning()
+def test_model_queries_take_the_stated_sizes(spark, monkeypatch):
+    seen, t = [], catalogue.small_search()
+    assert all(c in Tuning().candidates() for c in t.candidates())
     monkeypatch.setattr(models, "tune", lambda *a, **fixed: seen.append((a[4], fixed)) or (None, [{**c, "score": 1.0} for c in a[4]]))
     assert catalogue.tuning_grid(spark, "/root/testdata/sf0.1").count() == len(t.candidates())
-    assert seen == [(t.candidates(), {"n_estimators": t.n_estimators, "colsample": t.colsample})]
+    assert seen == [(t.candidates(), t.fixed())]
     create = models.create
     monkeypatch.setattr(models, "create", lambda name, **settings: seen.append(settings) or create("linear"))
     catalogue.gbt_nbm(spark, "/root/testdata/sf0.1")
-    assert seen[1] == {"n_estimators": t.n_estimators, "colsample": t.colsample, **t.candidates()[0]}
+    assert seen[1] == {**t.fixed(), **t.candidates()[0]}
 
 
 def test_models_are_guarded_and_kept(spark, tmp_path):
@@ -384,6 +489,16 @@ def test_models_are_guarded_and_kept(spark, tmp_path):
     assert models.selection_score({"a": 3.0, "b": 4.0}, None, "pooled_rmse") == pytest.approx(math.sqrt(12.5))
 
 
+def test_trees_stop_when_validation_gets_worse(spark):
+    df = synthetic(spark, 400)
+    f = guards.FeatureConfig(("wind_speed", "active_power"), ("gearbox_oil_temperature",))
+    train, validation = df.where("timestamp < '2024-01-02'"), df.where("timestamp >= '2024-01-02'")
+    size = lambda m: m.fitted["gearbox_oil_temperature"].stages[-1].getNumTrees
+    settings = {"n_estimators": 30, "max_depth": 5, "learning_rate": 0.9}
+    assert size(models.create("gbt", early_stopping=50, **settings).fit(train, f, DEFAULT, validation=validation)) < 30
+    assert size(models.create("gbt", early_stopping=0, **settings).fit(train, f, DEFAULT, validation=validation)) == 30
+
+
 def test_features_look_back(spark):
     f = guards.FeatureConfig(("wind_speed",), ("gearbox_oil_temperature",), (guards.Feature("w_lag", "lag", "wind_speed", 1), guards.Feature("w_mean", "rolling_mean", "wind_speed", 2)))
     rows = guards.with_features(synthetic(spark, 5), f, DEFAULT).orderBy("timestamp").collect()

@@ -51,10 +51,15 @@ class Tuning:
     rates: tuple[float, ...] = (0.03, 0.05)
     subsamples: tuple[float, ...] = (0.8, 1.0)
     n_estimators: int = 600
+    #: 0: all trees; else trees are added until one makes the validation error worse (Spark's rule, which has no patience).
     early_stopping: int = 50
     colsample: float = 0.8
     selection: str = "baseline_normalized_mean_rmse"
 
+    def fixed(self) -> dict:
+        """What all candidates share."""
+        return {"n_estimators": self.n_estimators, "colsample": self.colsample, "early_stopping": self.early_stopping}
+
     def candidates(self) -> list[dict]:
         return [{"max_depth": d, "learning_rate": r, "subsample": s} for d in self.depths for r in self.rates for s in self.subsamples]
 

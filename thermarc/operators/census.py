@@ -10,21 +10,57 @@ from pyspark.sql import functions as F
 from thermarc.operators.windows import islands
 
 EPOCH = "1970-01-01"
+DISTINCT = 200
 
 
 def hours(start: str = "start", end: str = "end") -> Column:
     return F.timestamp_diff("SECOND", F.col(start), F.col(end)) / 3600
 
 
-def code_inventory(log: DataFrame) -> DataFrame:
-    """A row for each code: occurrences, turbines, hours, rows with and without a duration, first and last, statuses, longest row, years."""
-    h = hours()
-    return log.groupBy("code").agg(
-        F.count("*").alias("n"), F.count_distinct("turbine_id").alias("n_turbines"), F.round(F.coalesce(F.sum(h), F.lit(0.0)), 6).alias("hours"),
+def counted(log: DataFrame, by: str, field: str) -> DataFrame:
+    """(by, field): the values of a field with their counts, 'value=n' in order of the values. Counted before they meet; values are a vocabulary."""
+    n = log.where(F.col(field).isNotNull()).groupBy(by, field).agg(F.count("*").alias("_n"))
+    parts = F.array_sort(F.collect_list(F.concat_ws("=", F.col(field), F.col("_n").cast("string"))))
+    return n.groupBy(by).agg(F.array_join(parts, "|").alias(f"{field}s"))
+
+
+def code_inventory(log: DataFrame, fields: tuple[str, ...] = ("message",), keywords: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each code: occurrences, turbines, hours, rows with and without a duration, first and last, statuses, longest row, years,
+    the counted values of `fields` (messages, categories), and, with keywords, a flag that selects nothing: whether a message has one."""
+    h, joined = hours(), lambda c: F.array_join(F.array_sort(F.collect_set(c)), "|")
+    out = log.groupBy("code").agg(
+        F.count("*").alias("n"), F.count_distinct("turbine_id").alias("n_turbines"), joined("turbine_id").alias("turbines"), F.round(F.coalesce(F.sum(h), F.lit(0.0)), 6).alias("hours"),
         F.count(h).alias("n_timed"), F.count_if(h.isNull()).alias("n_untimed"), F.min("start").alias("first"), F.max("start").alias("last"),
-        F.array_join(F.array_sort(F.collect_set("status")), "|").alias("statuses"), F.round(F.max(h), 6).alias("longest_hours"),
+        joined("status").alias("statuses"), F.round(F.max(h), 6).alias("longest_hours"),
         F.array_join(F.array_sort(F.collect_set(F.year("start"))).cast("array<string>"), "|").alias("years"),
     )
+    for f in fields:
+        out = out.join(counted(log, "code", f), "code", "left")
+    if keywords:
+        hit = reduce(lambda a, b: a | b, [F.contains(F.lower(f"{f}s"), F.lit(k)) for f in fields for k in keywords])
+        out = out.withColumn("has_keyword", F.coalesce(hit, F.lit(False)))
+    return out
+
+
+def long_events(log: DataFrame, least_hours: float = 6.0, statuses: tuple[str, ...] = ("Stop", "Warning")) -> DataFrame:
+    """Stops and warnings of more than so many hours."""
+    return log.where(F.col("status").isin(*statuses)).withColumn("hours", hours()).where(F.col("hours") > least_hours)
+
+
+def interval_census(df: DataFrame, key: str, ts: str, top: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The most frequent intervals (delta_s, n), the largest gaps (key, start, end, delta_s), and irregular intervals of each key (other than its modal one)."""
+    w = Window.partitionBy(key).orderBy(ts)
+    steps = df.select(key, ts).where(F.col(ts).isNotNull()).distinct().withColumn("start", F.lag(ts).over(w)).where("start is not null")
+    steps = steps.select(key, "start", F.col(ts).alias("end"), F.timestamp_diff("SECOND", F.col("start"), F.col(ts)).alias("delta_s"))
+    modal = steps.groupBy(key).agg(F.mode("delta_s", True).alias("_m"), F.count("*").alias("n_intervals"))
+    irregular = steps.join(F.broadcast(modal), key).groupBy(key, "n_intervals").agg(F.first("_m").alias("modal_s"), F.count_if(F.col("delta_s") != F.col("_m")).alias("n_irregular"))
+    frequent = steps.groupBy("delta_s").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "delta_s").limit(top)
+    return frequent, steps.orderBy(F.desc("delta_s"), key, "start").limit(top), irregular
+
+
+def channel_groups(columns: list[str], groups: dict[str, tuple[list[str], list[str]]]) -> dict[str, list[str]]:
+    """Columns by name: a group takes those that hold all its words and end in none of its suffixes."""
+    return {g: [c for c in columns if all(w in c.lower() for w in words) and not c.lower().endswith(tuple(suffixes))] for g, (words, suffixes) in groups.items()}
 
 
 def taxonomy_hours(log: DataFrame, by: str) -> DataFrame:
@@ -32,9 +68,9 @@ def taxonomy_hours(log: DataFrame, by: str) -> DataFrame:
 
 
 def turbine_year_pivot(log: DataFrame, statuses: list[str]) -> DataFrame:
-    """Counts by status (a column each) for each turbine and year. Known statuses: no pass to find them."""
-    counts = log.groupBy("turbine_id", F.year("start").cast("long").alias("year")).pivot("status", statuses).agg(F.count(F.lit(1)))
-    return counts.na.fill(0)
+    """Counts and hours by status (two columns each) for each turbine and year. Known statuses: no pass to find them."""
+    cells = [x for s in statuses for x in (F.count_if(F.col("status") == s).alias(s), F.round(F.coalesce(F.sum(F.when(F.col("status") == s, hours())), F.lit(0.0)), 6).alias(f"{s}_hours"))]
+    return log.groupBy("turbine_id", F.year("start").cast("long").alias("year")).agg(*cells)
 
 
 def presence_signature(log: DataFrame) -> DataFrame:
@@ -50,13 +86,13 @@ def completeness(raw: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def column_facts(df: DataFrame, columns: list[str], ts: str) -> DataFrame:
-    """Null share, first and last known time, range, mean, spread and flags of each column; partial sums merge in Spark."""
+    """Null share, first and last known time, range, mean, spread, distinct values (DISTINCT at most are told apart) and flags of each column; partial sums merge in Spark."""
     one = df.agg(F.count("*").alias("_n"), *[x.alias(f"{c}__{n}") for c in columns for n, x in (
         ("known", F.count(c)), ("first", F.min(F.when(F.col(c).isNotNull(), F.col(ts)))), ("last", F.max(F.when(F.col(c).isNotNull(), F.col(ts)))),
-        ("low", F.min(c)), ("high", F.max(c)), ("mean", F.avg(c)), ("std", F.stddev_samp(c)))])
+        ("low", F.min(c)), ("high", F.max(c)), ("mean", F.avg(c)), ("std", F.stddev_samp(c)), ("distinct", F.least(F.count_distinct(c), F.lit(DISTINCT))))])
     row = lambda c: F.struct(
         F.lit(c).alias("column_name"), F.round(1 - F.col(f"{c}__known") / F.col("_n"), 6).alias("null_share"), F.col(f"{c}__first").alias("first_known"), F.col(f"{c}__last").alias("last_known"),
-        *[F.round(F.col(f"{c}__{n}"), 6).alias(n) for n in ("low", "high", "mean", "std")], (F.col(f"{c}__std") < 1e-6).alias("low_variance"),
+        *[F.round(F.col(f"{c}__{n}"), 6).alias(n) for n in ("low", "high", "mean", "std")], (F.col(f"{c}__std") < 1e-6).alias("low_variance"), F.col(f"{c}__distinct").cast("long").alias("n_distinct"), (F.col(f"{c}__distinct") == 1).alias("constant"),
     )
     return one.select(F.inline(F.array(*[row(c) for c in columns])))
 
@@ -130,6 +166,14 @@ def correlation_by_bin(df: DataFrame, a: str, b: str, condition: str, edges: lis
     return known.groupBy(*by, bin_.alias("bin")).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.round(F.corr(a, b), 6)).alias("corr"))
 
 
+def describe_by_bin(df: DataFrame, value: str, condition: str, edges: list[float], by: list[str]) -> DataFrame:
+    """n, mean, spread and range of a value in right-closed bins of a condition; of fewer than three values only n."""
+    bin_ = sum((F.when(F.col(condition) > e, 1).otherwise(0) for e in edges), F.lit(0)).cast("int")
+    enough = lambda x, n: F.when(F.count("*") >= 3, F.round(x, 6)).alias(n)
+    known = df.where(F.col(value).isNotNull() & F.col(condition).isNotNull())
+    return known.groupBy(*by, bin_.alias("bin")).agg(F.count("*").alias("n"), enough(F.avg(value), "mean"), enough(F.stddev_samp(value), "std"), enough(F.min(value), "min"), enough(F.max(value), "max"))
+
+
 def modal_profile(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """The most frequent whole value (the smallest of several; halves round to even) and the shares within 1 and 2 of it."""
     known = df.where(F.col(value).isNotNull())
@@ -153,8 +197,9 @@ def fleet_maximum(long: DataFrame, value: str = "ewma") -> DataFrame:
 
 
 def context_stats(long: DataFrame, periods: DataFrame) -> DataFrame:
-    """n, mean, extremes of ewma and the largest |residual| by turbine, target and period [start, end). periods is broadcast: a few named spans."""
-    p = F.broadcast(periods)
-    hit = long.join(p, (F.col("timestamp") >= F.col("start")) & (F.col("timestamp") < F.col("end")))
+    """n, mean, extremes of ewma and the largest |residual| by turbine, target and period [start, end). Rows meet periods by the day."""
+    day = lambda c: F.datediff(F.to_date(c), F.lit(EPOCH).cast("date"))
+    p = periods.withColumn("_day", F.explode(F.sequence(day("start"), day("end"))))
+    hit = long.withColumn("_day", day("timestamp")).join(p, "_day").where((F.col("timestamp") >= F.col("start")) & (F.col("timestamp") < F.col("end")))
     r = lambda c, n: F.round(c, 6).alias(n)
     return hit.groupBy("turbine_id", "target", "period").agg(F.count("*").alias("n"), r(F.avg("ewma"), "mean_ewma"), r(F.max("ewma"), "max_ewma"), r(F.min("ewma"), "min_ewma"), r(F.max(F.abs("normalized_residual")), "max_residual"))

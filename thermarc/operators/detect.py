@@ -101,6 +101,19 @@ def match_rates(curve: DataFrame, rates: list[float]) -> DataFrame:
     return wanted.groupBy(*by, "rate").agg(F.max_by(F.when(inside, m), F.when(inside, F.col("m1"))).alias("multiplier"))
 
 
+def needed_grid(curve: DataFrame, smallest: float, fine: float = 12.0) -> DataFrame:
+    """The curve up to the multiplier `fine`, and beyond it only where the rate there is still above the smallest wanted one."""
+    by = ["pipeline"] if "pipeline" in curve.columns else []
+    end = curve.where(F.col("multiplier") == fine).select(*by, F.col("events_per_year").alias("_rate"))
+    rows = curve.join(end, by, "left") if by else curve.crossJoin(F.broadcast(end))  # one row
+    return rows.where((F.col("multiplier") <= fine) | (F.coalesce("_rate", F.lit(float("inf"))) > smallest)).drop("_rate")
+
+
+def comparison(curves: DataFrame, rates: list[float]) -> DataFrame:
+    """(rate, pipeline, multiplier, reachable) of every wanted rate and pipeline, in that order: the only table in which pipelines are compared."""
+    return match_rates(curves, rates).withColumn("reachable", F.col("multiplier").isNotNull()).orderBy("rate", "pipeline")
+
+
 def episodes(flags: DataFrame, flag: str = "alarm", keys=("turbine_id",), order=("timestamp",)) -> DataFrame:
     """Runs of true flags: first row and length."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -15,7 +15,7 @@ from thermarc.errors import FitError
 from thermarc.guards import FeatureConfig, check_features
 from thermarc.schema import Schema
 
-FEATURES = "_features"
+FEATURES, VALIDATES = "_features", "_validates"
 
 
 def known_rows(df: DataFrame, *names: str) -> DataFrame:
@@ -33,12 +33,16 @@ class NormalBehaviour:
     def regressor(self, target: str, seed: int):
         raise NotImplementedError
 
-    def fit(self, train: DataFrame, config: FeatureConfig, schema: Schema, seed: int = 42) -> NormalBehaviour:
+    def rows_of(self, train: DataFrame, validation: DataFrame | None) -> DataFrame:
+        return train
+
+    def fit(self, train: DataFrame, config: FeatureConfig, schema: Schema, seed: int = 42, validation: DataFrame | None = None) -> NormalBehaviour:
         check_features(config, schema)
         inputs = [*config.predictors, *(f.name for f in config.features)]
-        rows = known_rows(train, *inputs, *config.targets)
-        if rows.isEmpty():
+        train = known_rows(train, *inputs, *config.targets)
+        if train.isEmpty():
             raise FitError("no row has all predictors and targets")
+        rows = self.rows_of(train, None if validation is None else known_rows(validation, *inputs, *config.targets))
         for t in config.targets:
             self.fitted[t] = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol=FEATURES), self.regressor(t, seed)]).fit(rows)
         return self
@@ -72,13 +76,24 @@ class LeastSquares(NormalBehaviour):
 
 
 class BoostedTrees(NormalBehaviour):
-    def fit(self, train: DataFrame, config: FeatureConfig, schema: Schema, seed: int = 42) -> NormalBehaviour:
+    """Trees are added one after the other. With `early_stopping` and validation rows, until one makes their error worse."""
+
+    validated = False
+
+    def rows_of(self, train: DataFrame, validation: DataFrame | None) -> DataFrame:
+        self.validated = bool(self.settings.get("early_stopping")) and validation is not None and not validation.isEmpty()
+        if not self.validated:
+            return train
+        return train.withColumn(VALIDATES, F.lit(False)).unionByName(validation.withColumn(VALIDATES, F.lit(True)))
+
+    def fit(self, train: DataFrame, config: FeatureConfig, schema: Schema, seed: int = 42, validation: DataFrame | None = None) -> NormalBehaviour:
         shared_folder(train.sparkSession)  # each tree lengthens the lineage, which Spark cuts only with a checkpoint folder
-        return super().fit(train, config, schema, seed)
+        return super().fit(train, config, schema, seed, validation)
 
     def regressor(self, target: str, seed: int):
         s = self.settings
-        return GBTRegressor(featuresCol=FEATURES, labelCol=target, predictionCol=f"_raw_{target}", maxIter=s.get("n_estimators", 20), maxDepth=s.get("max_depth", 4), stepSize=s.get("learning_rate", 0.1), subsamplingRate=s.get("subsample", 1.0), featureSubsetStrategy=str(s.get("colsample", "auto")), seed=seed)
+        stop = {"validationIndicatorCol": VALIDATES, "validationTol": 0.0} if self.validated else {}
+        return GBTRegressor(featuresCol=FEATURES, labelCol=target, predictionCol=f"_raw_{target}", maxIter=s.get("n_estimators", 20), maxDepth=s.get("max_depth", 4), stepSize=s.get("learning_rate", 0.1), subsamplingRate=s.get("subsample", 1.0), featureSubsetStrategy=str(s.get("colsample", "auto")), seed=seed, **stop)
 
 
 MODELS = {"linear": LeastSquares, "gbt": BoostedTrees}
@@ -110,7 +125,7 @@ def tune(train: DataFrame, validation: DataFrame, config: FeatureConfig, schema:
         raise FitError("no candidates")
     best, trials = None, []
     for c in candidates:
-        m = create("gbt", **{**fixed, **c}).fit(train, config, schema, seed)
+        m = create("gbt", **{**fixed, **c}).fit(train, config, schema, seed, validation)
         score = round(selection_score(target_rmse(m.predict(validation), config.targets, m.prefix), baseline, how), 6)
         trials.append({**c, "score": score})
         if best is None or score < best[0]:

@@ -142,3 +142,11 @@ def impossible_rows(df: DataFrame, part: str, bounds: dict[str, tuple[float, flo
     """Rows with an impossible value in each part of a split."""
     bad = reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in out_of_range(bounds).values()])
     return df.groupBy(part).agg(F.count("*").alias("n_rows"), F.count_if(bad).alias("n_impossible"))
+
+
+def validate(df: DataFrame, rules: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """(rule_id, level, n, message): the findings of all registered rules. A rule is a function of the table that returns level, n and message."""
+    if not rules:
+        raise ConfigError("no validation rules")
+    parts = [f(df).select(F.lit(name).alias("rule_id"), "level", F.col("n").cast("long").alias("n"), "message") for name, f in rules.items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermarc.errors import FitError, GuardError
+from thermarc.operators.windows import numbered
 
 #: The scale of a median absolute deviation, and of an interquartile range, for a normal distribution.
 MAD_SCALE, IQR_SCALE = 1.4826, 1.349
@@ -30,18 +31,50 @@ def sigma_stats(long: DataFrame, source: str = "training", value: str = "raw_res
     return long.groupBy("target").agg(F.avg(value).alias("center"), F.stddev_samp(value).alias("scale"), F.count(value).alias("n"))
 
 
-def mad_stats(long: DataFrame, source: str = "training", value: str = "raw_residual") -> DataFrame:
+#: Rank error of the approximate quantiles that bracket an exact one: one in so many.
+ACCURACY = 10_000
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys, n and the named percentiles of each group, exact and interpolated. Nulls are left out.
+
+    Approximate quantiles bracket each order statistic; only the few values between them are kept apart, those
+    below are counted. So no task holds a group's values. The table of brackets has a row for each group, and is broadcast.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    marks = [x for p in shares.values() for x in (max(0.0, p - 2 / ACCURACY), min(1.0, p + 2 / ACCURACY))]
+    rough = known.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("_v", marks, ACCURACY).alias("_q"))
+    held = known.join(F.broadcast(rough), keys) if keys else known.crossJoin(F.broadcast(rough))  # without keys, one row
+    v, q, few = F.col("_v"), F.col("_q"), F.col("n") <= ACCURACY  # of few values the brackets hold all: a rank to the side would be outside
+    below = lambda k: ~few & (v < q[2 * k])
+    inside = lambda k: few | (v <= q[2 * k + 1])
+    places = [F.when(below(k), F.struct(F.lit(k).alias("k"), F.lit(None).cast("double").alias("v"))).when(inside(k), F.struct(F.lit(k).alias("k"), v.cast("double").alias("v"))) for k in range(len(shares))]
+    counts = held.select(*keys, "n", F.inline(F.array_compact(F.array(*places)))).groupBy(*keys, "n", "k", "v").agg(F.count("*").alias("_rows"))
+    upto = F.sum("_rows").over(Window.partitionBy(*keys, "k").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    share = F.get(F.array(*[F.lit(float(p)) for p in shares.values()]), F.col("k"))
+    ranked = counts.withColumns({"_upto": upto, "_r": share * (F.col("n") - 1)})
+    at = lambda r: F.min(F.when(F.col("_upto") > r, F.col("v")))
+    found = ranked.groupBy(*keys, "n", "k", "_r").agg(at(F.floor("_r")).alias("_lo"), at(F.ceil("_r")).alias("_hi"))
+    x = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_r") - F.floor("_r"))
+    return found.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("k") == k, x)).alias(name) for k, name in enumerate(shares)])
+
+
+def _mad(df: DataFrame, keys: list[str], value: str, center: str, scale: str) -> DataFrame:
     """Exact medians: of the values, then of the distances from it."""
+    middle = exact_percentiles(df, keys, value, {center: 0.5}).drop("n")
+    far = df.join(F.broadcast(middle), keys).withColumn("_far", F.abs(F.col(value) - F.col(center)))  # a row for each group
+    return exact_percentiles(far, [*keys, center], "_far", {scale: 0.5}).withColumn(scale, MAD_SCALE * F.col(scale))
+
+
+def mad_stats(long: DataFrame, source: str = "training", value: str = "raw_residual") -> DataFrame:
     _source(source)
-    center = long.groupBy("target").agg(F.median(value).alias("center"))
-    far = long.join(F.broadcast(center), "target")  # a row for each target
-    return far.groupBy("target", "center").agg((MAD_SCALE * F.median(F.abs(F.col(value) - F.col("center")))).alias("scale"), F.count(value).alias("n"))
+    return _mad(long, ["target"], value, "center", "scale").select("target", "center", "scale", "n")
 
 
 def percentile_stats(long: DataFrame, source: str = "training", value: str = "raw_residual", low: float = 0.25, high: float = 0.75) -> DataFrame:
     _source(source)
-    p = long.groupBy("target").agg(F.percentile(value, F.array(F.lit(low), F.lit(0.5), F.lit(high))).alias("_p"), F.count(value).alias("n"))
-    return p.select("target", F.col("_p")[1].alias("center"), ((F.col("_p")[2] - F.col("_p")[0]) / IQR_SCALE).alias("scale"), "n")
+    p = exact_percentiles(long, ["target"], value, {"_low": low, "center": 0.5, "_high": high})
+    return p.select("target", "center", ((F.col("_high") - F.col("_low")) / IQR_SCALE).alias("scale"), "n")
 
 
 NORMALIZERS = {"sigma": sigma_stats, "mad": mad_stats, "percentile": percentile_stats}
@@ -70,18 +103,16 @@ def bin_of(edges: list[float], value: Column) -> Column:
 
 
 def condition_edges(long: DataFrame, condition: str, bins: int) -> list[float]:
-    got = long.agg(F.percentile(condition, F.array(*[F.lit(k / bins) for k in range(bins + 1)])).alias("e")).first()["e"]
+    got = exact_percentiles(long, [], condition, {f"e{k}": k / bins for k in range(bins + 1)}).first()
     if not got:
         raise FitError("the condition has no value", condition=condition)
-    return list(got)
+    return [got[f"e{k}"] for k in range(bins + 1)]
 
 
 def normalize_by_condition(long: DataFrame, edges: list[float], condition: str, value: str = "raw_residual") -> DataFrame:
     """MAD normalization within bins of a condition; bins of fewer than two values or without spread use their target's."""
     rows = long.withColumn("bin", bin_of(edges, F.col(condition)))
-    center = rows.groupBy("target", "bin").agg(F.median(value).alias("_c"))
-    held = rows.join(F.broadcast(center), ["target", "bin"])
-    fine = held.groupBy("target", "bin", "_c").agg((MAD_SCALE * F.median(F.abs(F.col(value) - F.col("_c")))).alias("_s"), F.count(value).alias("_n")).where("_n >= 2 and _s > 0").drop("_n")
+    fine = _mad(rows, ["target", "bin"], value, "_c", "_s").where("n >= 2 and _s > 0").drop("n")
     coarse = mad_stats(long, value=value).select("target", "center", "scale")
     out = rows.join(F.broadcast(coarse), "target").join(F.broadcast(fine), ["target", "bin"], "left")
     return out.withColumn("normalized_residual", (F.col(value) - F.coalesce("_c", "center")) / F.coalesce("_s", "scale")).drop("center", "scale", "_c", "_s")
@@ -90,25 +121,23 @@ def normalize_by_condition(long: DataFrame, edges: list[float], condition: str,
 def ewma(long: DataFrame, lam: float = 0.2, keys: tuple[str, ...] = ("turbine_id", "target"), order: tuple[str, ...] = ("timestamp",), value: str = "normalized_residual", out: str = "ewma") -> DataFrame:
     """z_t = lam x_t + (1 - lam) z_(t-1), z_0 = 0, a missing x counts as 0, rows count and not time. Also `t`, the row's 1-based place.
 
-    Streams are cut into chunks of rows over which the memory fades below 1e-18: inside a chunk the recursion
-    is a sum with growing weights, from before it only the last chunk's end counts. Windows only, no Python.
+    Streams are cut into chunks of rows over which the memory fades below 1e-18; a chunk also gets the rows of the one
+    before, and in it the recursion is a sum with growing weights. No task holds a stream. Windows only, no Python.
     """
     if not 0 < lam <= 1:
         raise FitError("the smoothing weight must be over 0 and at most 1", lam=lam)
     keep = 1 - lam
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = long.withColumn("t", F.row_number().over(w))
+    rows = numbered(long, order[0], list(order[1:]), "t", tuple(keys))
     x = F.coalesce(F.col(value), F.lit(0.0))
     if keep == 0:
         return rows.withColumn(out, x)
     size = math.ceil(math.log(1e-18) / math.log(keep))
-    rows = rows.withColumns({"_chunk": F.floor((F.col("t") - 1) / size), "_k": (F.col("t") - 1) % size})
+    home = F.floor((F.col("t") - 1) / size)
+    rows = rows.withColumn("_chunk", F.explode(F.array(home, home + 1)))
+    k = F.col("t") - 1 - (F.col("_chunk") - 1) * size  # from 0, through the chunk before and this one
     within = Window.partitionBy(*keys, "_chunk").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    local = lam * F.pow(F.lit(keep), F.col("_k")) * F.sum(x * F.pow(F.lit(keep), -F.col("_k"))).over(within)
-    rows = rows.withColumn("_local", local)
-    ends = rows.groupBy(*keys, "_chunk").agg(F.max_by("_local", "t").alias("_end")).withColumn("_chunk", F.col("_chunk") + 1)
-    rows = rows.join(ends, [*keys, "_chunk"], "left")
-    return rows.withColumn(out, F.col("_local") + F.coalesce(F.pow(F.lit(keep), F.col("_k") + 1) * F.col("_end"), F.lit(0.0))).drop("_chunk", "_k", "_local", "_end")
+    rows = rows.withColumn(out, lam * F.pow(F.lit(keep), k) * F.sum(x * F.pow(F.lit(keep), -k)).over(within))
+    return rows.where(F.col("_chunk") == home).drop("_chunk")
 
 
 def limit(lam: float, multiplier: float, sigma: Column, t: Column | None = None) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from thermarc.errors import RuleError
 from thermarc.operators.windows import islands
 
+#: The words that every rule's rationale must hold.
+OVERLAP_CAVEAT = "three of five gearbox failure modes share the oil-temperature signature"
 REQUIREMENTS = {"high": [1], "low": [-1], "normal": [0], "any": [-1, 0, 1]}
 
 
@@ -25,7 +27,7 @@ class Rule:
     extra: dict = field(default_factory=dict)
 
 
-def load_rules(text: str) -> list[Rule]:
+def load_rules(text: str, caveat: str | None = OVERLAP_CAVEAT) -> list[Rule]:
     """Rules from YAML: {version: x.y.z, rules: [{rule_id, mechanism, pattern, ...}]}."""
     doc = yaml.safe_load(text) or {}
     if len(str(doc.get("version", "")).split(".")) != 3:
@@ -35,10 +37,11 @@ def load_rules(text: str) -> list[Rule]:
         if extra := set(r) - {"rule_id", "mechanism", "pattern", "validated", "source", "rationale"}:
             raise RuleError("unknown fields", fields=sorted(extra))
         out.append(Rule(**r))
-    return check_rules(out)
+    return check_rules(out, caveat)
 
 
-def check_rules(rules: list[Rule]) -> list[Rule]:
+def check_rules(rules: list[Rule], caveat: str | None = None) -> list[Rule]:
+    """The rules, if they are well formed; with a caveat, each rationale must hold it."""
     if not rules:
         raise RuleError("no rules")
     ids = [r.rule_id for r in rules]
@@ -49,6 +52,8 @@ def check_rules(rules: list[Rule]) -> list[Rule]:
             raise RuleError("a pattern needs signals with high, low, normal or any", rule=r.rule_id)
         if r.validated and not r.source:
             raise RuleError("a validated rule needs its source", rule=r.rule_id)
+        if caveat and caveat not in r.rationale:
+            raise RuleError("the rationale must hold the caveat", rule=r.rule_id, caveat=caveat)
     return rules
 
 
@@ -92,13 +97,32 @@ def sentence(signal: str, state: Column, ewma: Column) -> Column:
     return F.format_string(f"{signal} is %s (%+.2f)", word, ewma)
 
 
-#: Starting rules: which states of the two gearbox temperatures point where. All unvalidated.
+def banner(rule: Rule) -> str:
+    """What stands beside a hypothesis that no source has confirmed."""
+    return "" if rule.validated else "NOT VALIDATED: preliminary hypothesis, no maintenance advice"
+
+
+def operator_text(assessed: DataFrame, events: DataFrame, rules: list[Rule], signals: list[str]) -> DataFrame:
+    """(turbine_id, timestamp, text): what an operator reads of each event, its candidates in order of rank; without any, that too is said.
+
+    The candidates of an event are as many as rules, so they meet in one row.
+    """
+    held = F.create_map(*[F.lit(x) for r in rules for x in (r.rule_id, f" [{banner(r)}]" if banner(r) else "")])
+    line = F.concat(F.col("rank").cast("string"), F.lit(". "), F.col("mechanism"), F.lit(" ("), F.col("rule_id"), F.lit(", "), F.col("confidence"), F.lit(")"), F.element_at(held, F.col("rule_id")))
+    found = assessed.groupBy("turbine_id", "timestamp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "; ").alias("_lines"))
+    said = [F.when(F.col(f"state_{s}").isNull(), F.lit(f"{s} has no observation")).otherwise(sentence(s, F.col(f"state_{s}"), F.col(f"ewma_{s}")) if f"ewma_{s}" in events.columns else F.concat(F.lit(f"{s} is "), F.when(F.col(f"state_{s}") == 1, "high").when(F.col(f"state_{s}") == -1, "low").otherwise("normal"))) for s in sorted(signals)]
+    text = F.concat_ws(" | ", F.concat(F.lit("severity "), F.format_number("severity", 2)), F.concat(F.lit("persistence "), F.col("persistence").cast("string")), *said, F.coalesce("_lines", F.lit("no rule fits")))
+    return events.join(found, ["turbine_id", "timestamp"], "left").select("turbine_id", "timestamp", text.alias("text"))
+
+
+#: Ids, mechanisms, patterns and sources of the starting rules. All are unvalidated.
 INITIAL = check_rules(
     [
-        Rule("R1", "oil_side_heating", {"gearbox_oil": "high", "gearbox_bearing": "any"}),
-        Rule("R2", "bearing_side_heating", {"gearbox_bearing": "high", "gearbox_oil": "any"}),
-        Rule("R3", "oil_cooling_degraded", {"gearbox_oil": "high", "gearbox_bearing": "normal"}),
-        Rule("R4", "common_heating", {"gearbox_oil": "high", "gearbox_bearing": "high"}),
-        Rule("R5", "generator_side_heating", {"generator_front": "high", "generator_rear": "high", "gearbox_oil": "normal"}),
-    ]
+        Rule("FMEA-001", "gear_teeth_wear", {"gearbox_oil_temperature": "high", "gearbox_bearing_temperature": "any"}, False, "Qiu et al. (2016); Qiu et al. (2014)", f"Friction heats the oil first. {OVERLAP_CAVEAT}"),
+        Rule("FMEA-002", "hss_bearing_failure", {"gearbox_bearing_temperature": "high", "gearbox_oil_temperature": "any"}, False, "Bangalore & Tjernberg (2015); Qiu et al. (2014)", f"The bearing heats first. {OVERLAP_CAVEAT}"),
+        Rule("FMEA-003", "lss_planetary_bearing_failure", {"gearbox_oil_temperature": "high", "gearbox_bearing_temperature": "normal"}, False, "Qiu et al. (2014)", f"That bearing has no sensor; only the oil shows it. {OVERLAP_CAVEAT}"),
+        Rule("FMEA-004", "lubrication_system_degradation", {"gearbox_oil_temperature": "high", "gearbox_bearing_temperature": "high"}, False, "Qiu et al. (2014); Shafiee & Dinmohammadi (2014)", f"Less heat is taken away everywhere. {OVERLAP_CAVEAT}"),
+        Rule("FMEA-005", "electrical_generator_side_influence", {"generator_bearing_front_temperature": "high", "generator_bearing_rear_temperature": "high", "gearbox_oil_temperature": "normal"}, False, "Qiu et al. (2016)", f"Heat of the generator's side speaks against the gearbox. {OVERLAP_CAVEAT}"),
+    ],
+    OVERLAP_CAVEAT,
 )

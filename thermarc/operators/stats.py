@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,15 +45,19 @@ def sliced_metrics(df: DataFrame, condition: str, bins: int, by: list[str]) -> D
 def autocorrelation(df: DataFrame, value: str, ts: str, order: list[str], lags: list[int]) -> DataFrame:
     """(lag, acf) of one series in the order (ts, *order): biased, over the whole sum of squares.
 
-    A shift by k is a join of the numbered rows with themselves, dealt by number: no window over the whole table.
+    Numbered rows go to cells; the last rows of a cell go to the next one too, so that windows in a cell see every lag.
     """
     rows = numbered(df.where(F.col(value).isNotNull()).select(value, ts, *[c for c in order if c not in (value, ts)]), ts, order, "_i")
     mean = rows.agg(F.avg(value).alias("_m"))
     c = rows.crossJoin(F.broadcast(mean)).select("_i", (F.col(value) - F.col("_m")).alias("_c"))  # rows with one number
-    later = c.select(F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), (F.col("_i") - k).alias("_i"), F.col("_c").alias("_later")) for k in lags])).alias("s")).select("s.*")
-    top = c.join(later, "_i").groupBy("lag").agg(F.sum(F.col("_c") * F.col("_later")).alias("_top"))
-    whole = c.agg(F.sum(F.col("_c") * F.col("_c")).alias("_all"))
-    return top.crossJoin(F.broadcast(whole)).select("lag", F.when(F.col("_all") > 0, F.col("_top") / F.col("_all")).alias("acf"))
+    cell = max(1024, 8 * max(lags))
+    home = F.floor((F.col("_i") - 1) / cell)
+    dealt = c.withColumn("_cell", F.explode(F.array_distinct(F.array(home, F.floor((F.col("_i") - 1 + max(lags)) / cell)))))
+    w = Window.partitionBy("_cell").orderBy("_i")
+    products = dealt.select("_i", "_cell", (F.col("_c") * F.col("_c")).alias("_all"), *[(F.col("_c") * F.lag("_c", k).over(w)).alias(f"_p{k}") for k in lags])
+    sums = products.where(F.col("_cell") == home).agg(F.sum("_all").alias("_all"), *[F.sum(f"_p{k}").alias(f"_p{k}") for k in lags])
+    rows = F.inline(F.array(*[F.struct(F.lit(k).alias("lag"), F.when(F.col("_all") > 0, F.col(f"_p{k}") / F.col("_all")).alias("acf")) for k in lags]))
+    return sums.select(rows).where("acf is not null")
 
 
 def block_length(acf: dict[int, float], n: int) -> int:
@@ -88,28 +90,33 @@ def diebold_mariano(df: DataFrame, loss_a: str, loss_b: str, ts: str, order: lis
     return {"n": n, "lags": lags, "statistic": s, "p_value": math.erfc(abs(s) / math.sqrt(2)), "small": n < 30}
 
 
-def bootstrap(df: DataFrame, ts: str, order: list[str], statistic: Column | Callable, block: int, replicates: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """Moving-block bootstrap: (estimate, low, high) of an aggregate. Block starts are drawn once, in the order of the
-    replicates, from a seeded generator; how often a replicate has a row follows by the starts that cover it."""
+def bootstrap(df: DataFrame, ts: str, order: list[str], terms: dict[str, Column], finish: Column, block: int, replicates: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """Moving-block bootstrap: (estimate, low, high) of `finish`, an expression of the means of `terms`.
+
+    Block starts are drawn by a hash of the seed and the draw's number, whatever the size. Sums of the block that begins at each
+    row come from windows over cells of rows (a cell also gets the first rows of the next), so a replicate costs its blocks and not its rows.
+    """
     if block < 2 or replicates < 100 or not 0 < confidence < 1:
         raise ConfigError("block of 2 at least, 100 replicates at least, confidence between 0 and 1", block=block, replicates=replicates, confidence=confidence)
-    rows = numbered(df, ts, order, "_i")
+    rows = numbered(df, ts, order, "_i").select("_i", *[v.alias(k) for k, v in terms.items()])
     n = rows.count()
     if n <= block:
         raise FitError("the series must be longer than a block", n=n, block=block)
-    blocks, spark = -(-n // block), df.sparkSession
-    starts = np.random.default_rng(seed).integers(0, n - block + 1, size=(replicates, blocks))
-    drawn = spark.createDataFrame([(r, k, int(s)) for r in range(replicates) for k, s in enumerate(starts[r])], "rep int, k int, s long") if replicates * blocks <= 200_000 else (
-        spark.range(replicates * blocks).select((F.col("id") / blocks).cast("int").alias("rep"), (F.col("id") % blocks).cast("int").alias("k"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n - block + 1)).alias("s"))
-    )
+    blocks, cell = -(-n // block), 64 * block
     last = n - (blocks - 1) * block  # the last block is cut so that a replicate has n rows
-    length = F.when(F.col("k") == blocks - 1, last).otherwise(block)
-    taken = drawn.select("rep", F.explode(F.sequence(F.col("s") + 1, F.col("s") + length)).alias("_i"))
-    value = statistic
-    each = taken.join(rows, "_i").groupBy("rep").agg(value.alias("v"))
+    home = F.floor((F.col("_i") - 1) / cell)
+    dealt = rows.withColumn("_cell", F.explode(F.array_distinct(F.array(home, F.greatest(F.lit(0), F.floor((F.col("_i") - block) / cell))))))
+    w = lambda size: Window.partitionBy("_cell").orderBy("_i").rowsBetween(0, size - 1)
+    sums = dealt.select("_i", "_cell", *[F.sum(k).over(w(size)).alias(f"{k}_{name}") for k in terms for name, size in (("whole", block), ("cut", last))])
+    sums = sums.where(F.col("_cell") == home).drop("_cell")
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), 1, 12), 16, 10).cast("long")
+    drawn = df.sparkSession.range(replicates * blocks).select(F.floor(F.col("id") / blocks).alias("rep"), (F.col("id") % blocks).alias("k"), (F.pmod(draw, F.lit(n - block + 1)) + 1).alias("_i"))
+    means = [(F.sum(F.when(F.col("k") == blocks - 1, F.col(f"{k}_cut")).otherwise(F.col(f"{k}_whole"))) / n).alias(k) for k in terms]
+    each = drawn.join(sums, "_i").groupBy("rep").agg(*means).select(finish.alias("v"))
     tail = (1 - confidence) / 2
     ends = each.agg(F.percentile("v", tail).alias("low"), F.percentile("v", 1 - tail).alias("high"), F.count("*").alias("replicates"))
-    return rows.agg(value.alias("estimate")).crossJoin(ends)  # one row with one row
+    whole = rows.agg(*[F.avg(k).alias(k) for k in terms]).select(finish.alias("estimate"))
+    return whole.crossJoin(ends)  # one row with one row
 
 
 def describe(df: DataFrame, value: str, by: list[str]) -> DataFrame:

@@ -6,19 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, ts: str, order: list[str], out: str = "row_no") -> DataFrame:
-    """Adds the 1-based place of each row in the whole table's order (ts, *order).
+def numbered(df: DataFrame, ts: str, order: list[str], out: str = "row_no", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the 1-based place of each row in the order (ts, *order), of the whole table or of its stream of `keys`.
 
-    Rows are numbered within their day and the days before are added, so no task sees the whole table;
-    the broadcast table has a row for each day of the data.
+    Rows are numbered within their day and the days before are added, so no task sees the whole table or stream.
+    Without keys the table of days is broadcast: a row for each day of the data.
     """
-    day = F.to_date(ts)
-    before = Window.orderBy(F.col("_day").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    days = df.groupBy(day.alias("_day")).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy("_day").orderBy(ts, *order)
-    rows = df.withColumn("_day", day).withColumn("_in_day", F.row_number().over(within))
-    held = F.broadcast(days.withColumnRenamed("_day", "_of"))
-    return rows.join(held, F.col("_day").eqNullSafe(F.col("_of"))).withColumn(out, F.col("_before") + F.col("_in_day")).drop("_day", "_of", "_before", "_in_day")
+    day = F.coalesce(F.to_date(ts), F.lit("0001-01-01").cast("date"))
+    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1) if keys else Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("_day", day)
+    days = rows.groupBy(*keys, "_day").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    rows = rows.withColumn("_in_day", F.row_number().over(Window.partitionBy(*keys, "_day").orderBy(ts, *order)))
+    return rows.join(days if keys else F.broadcast(days), [*keys, "_day"]).withColumn(out, F.col("_before") + F.col("_in_day")).drop("_day", "_before", "_in_day")
 
 
 def trailing(keys: list[str], order: list[str], rows: int) -> Window:

@@ -27,6 +27,13 @@ def scada(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(turbine("user_id").alias("turbine_id"), cell.alias("timestamp")).agg(*[F.round(F.avg(F.when(F.col("event_type") == k, F.col("value"))), 9).alias(c) for k, c in CHANNELS.items()])
 
 
+def scada_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of six turbines, for the models: a day has all channels more often than six hours have."""
+    e = table(spark, sf_dir, "events")
+    day = F.date_trunc("DAY", "ts").cast("timestamp_ntz")
+    return e.groupBy(turbine("user_id").alias("turbine_id"), day.alias("timestamp")).agg(*[F.round(F.avg(F.when(F.col("event_type") == k, F.col("value"))), 9).alias(c) for k, c in CHANNELS.items()])
+
+
 def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams (turbine, event type) with actual, prediction and raw residual; event_id makes orders total."""
     e = table(spark, sf_dir, "events")
@@ -46,7 +53,7 @@ def exclusion_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve hours to both sides of large errors; the reason by the value's band."""
     e = table(spark, sf_dir, "events").where("event_type = 'error' and value > 200")
     half = F.make_dt_interval(F.lit(0), F.lit(12))
-    reason = F.when(F.col("value") > 260, "known_fault").when(F.col("value") > 230, "pre_fault").otherwise("post_maintenance")
+    reason = F.when(F.col("value") > 260, "known_fault_period").when(F.col("value") > 230, "pre_fault_window").otherwise("post_maintenance_window")
     return e.select(F.col("event_id").alias("window_id"), F.when(F.col("event_id") % 9 == 0, "").otherwise(turbine("user_id")).alias("turbine_id"), (F.col("ts") - half).alias("start"), (F.col("ts") + half).alias("end"), reason.alias("reason"))
 
 
@@ -61,6 +68,7 @@ SCADA = """scada as (
     round(avg(value) filter (event_type = 'signup'), 9) as ambient_temperature, round(avg(value) filter (event_type = 'error'), 9) as gearbox_oil_temperature,
     round(avg(value) filter (event_type = 'purchase'), 9) as gearbox_bearing_temperature
   from events group by 1, 2)"""
+DAYS = SCADA.replace("scada as", "days as").replace("date_trunc('day', ts)::timestamp + to_hours((hour(ts) // 6 * 6)::int)", "date_trunc('day', ts)::timestamp")
 RESIDUALS = """res as (
   select event_id, 'T' || (user_id % 6 + 1) as turbine_id, event_type as target, ts as timestamp, value as actual,
     cast(json_extract_string(props, '$.k') as double) as prediction, value - cast(json_extract_string(props, '$.k') as double) as raw_residual
@@ -73,7 +81,7 @@ STATUS = """log as (
   from orders)"""
 WINDOWS = """win as (
   select event_id as window_id, case when event_id % 9 = 0 then '' else 'T' || (user_id % 6 + 1) end as turbine_id, ts - interval 12 hour as start, ts + interval 12 hour as "end",
-    case when value > 260 then 'known_fault' when value > 230 then 'pre_fault' else 'post_maintenance' end as reason
+    case when value > 260 then 'known_fault_period' when value > 230 then 'pre_fault_window' else 'post_maintenance_window' end as reason
   from events where event_type = 'error' and value > 200)"""
 DATED = """dated as (
   select l_orderkey, l_linenumber, l_partkey, l_suppkey, 'T' || (l_suppkey % 6 + 1) as turbine_id, l_shipdate::timestamp as timestamp, l_quantity, l_extendedprice, l_discount, l_tax

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thermarc.cluster import stored
 from thermarc.operators import census, detect, events, healthy, models, quality, residuals, rules, split, stats
 from thermarc.plans import adapters as A
 
@@ -180,13 +181,13 @@ def impossible_by_partition(spark, sf_dir):
 
 # ---- healthy population, splits
 
-_RANKED = """, rk as (select *, case reason when 'known_fault' then 1 when 'pre_fault' then 2 else 3 end as r from win),
+_RANKED = """, rk as (select *, case reason when 'known_fault_period' then 1 when 'pre_fault_window' then 2 else 3 end as r from win),
 attr as (select s.turbine_id, s.timestamp, s.active_power, min(r) as hit from scada s left join rk w on (w.turbine_id = '' or w.turbine_id = s.turbine_id) and s.timestamp between w.start and w."end" group by all),
-att as (select turbine_id, timestamp, case hit when 1 then 'known_fault' when 2 then 'pre_fault' when 3 then 'post_maintenance' else case when active_power < 50 then 'below_power_floor' end end as reason from attr)"""
+att as (select turbine_id, timestamp, case hit when 1 then 'known_fault_period' when 2 then 'pre_fault_window' when 3 then 'post_maintenance_window' else case when active_power < 50 then 'below_minimum_active_power' end end as reason from attr)"""
 
 
 def attributed(spark, sf_dir) -> DataFrame:
-    return healthy.attribute(A.scada(spark, sf_dir), A.exclusion_windows(spark, sf_dir), ["turbine_id", "timestamp"], floor=50.0)
+    return healthy.attribute(A.scada(spark, sf_dir), A.exclusion_windows(spark, sf_dir), floor=50.0)
 
 
 @query(W + ", ".join([A.SCADA, A.WINDOWS]) + _RANKED + " select turbine_id, timestamp, reason from att")
@@ -374,6 +375,21 @@ def matched_multiplier(spark, sf_dir):
     return rounded(detect.match_rates(curve(spark, sf_dir), [5, 20, 60, 120, 100000]), "multiplier")
 
 
+@query(BASE + ", " + GRID_SQL + """, pts as (select turbine_id, timestamp, count(*) as n, list_sort(list(ewma / upper * 3), 'DESC') as up, list_sort(list(-ewma / upper * 3), 'DESC') as down from grid where target in ('error', 'purchase') group by 1, 2),
+kth as (select turbine_id, timestamp, k, case when n = 2 then greatest(up[k], down[k]) else -1e300 end as v from pts, (select unnest([1, 2]) as k)),
+fl as (select turbine_id, timestamp, k, m * 0.25 as multiplier, v > m * 0.25 as alarm from kth, range(1, 17) r(m)),
+ed as (select *, alarm and not coalesce(lag(alarm) over (partition by turbine_id, k, multiplier order by timestamp), false) as edge from fl),
+ty as (select sum(s) / (365.25 * 86400) as y from (select turbine_id, date_diff('second', min(timestamp), max(timestamp)) + median(d) as s from (select turbine_id, timestamp, date_diff('second', lag(timestamp) over (partition by turbine_id order by timestamp), timestamp) as d from pts) group by 1)),
+curve as (select k, multiplier::double as m0, count(*) filter (edge) / any_value(y) as r0 from ed, ty group by 1, 2),
+seg as (select *, lead(m0) over (partition by k order by m0) as m1, lead(r0) over (partition by k order by m0) as r1 from curve),
+x as (select k, rate::double as rate, m1, case when r0 = r1 then m1 else m0 + (r0 - rate) / (r0 - r1) * (m1 - m0) end as m, m1 is not null and rate between least(r0, r1) and greatest(r0, r1) as inside from seg, (select unnest([5, 20, 60, 120, 100000]) as rate))
+select rate, case k when 1 then 'any target' else 'both targets' end as pipeline, round(arg_max(m, m1) filter (inside), 6) as multiplier, arg_max(m, m1) filter (inside) is not null as reachable from x group by rate, k""")
+def matched_comparison(spark, sf_dir):
+    """Both pipelines at the same rates of false alarms."""
+    curves = curve(spark, sf_dir, 1).withColumn("pipeline", F.lit("any target")).unionByName(curve(spark, sf_dir, 2).withColumn("pipeline", F.lit("both targets")))
+    return rounded(detect.comparison(curves, [5, 20, 60, 120, 100000]), "multiplier")
+
+
 _RUNS = """, ch as (select *, case when coalesce(alarm <> lag(alarm) over (partition by turbine_id order by timestamp), true) then 1 else 0 end as new from al),
 isl as (select *, sum(new) over (partition by turbine_id order by timestamp) as run from ch),
 ep as (select turbine_id, min(timestamp) as start, count(*) as length from isl where alarm group by turbine_id, run)"""
@@ -473,10 +489,38 @@ def status_parse(spark, sf_dir):
 _H = "date_diff('second', start, \"end\") / 3600"
 
 
-@query(W + A.STATUS + f""" select code, count(*) as n, count(distinct turbine_id) as n_turbines, round(coalesce(sum({_H}), 0), 6) as hours, count("end") as n_timed, count(*) - count("end") as n_untimed, min(start) as first, max(start) as last,
-string_agg(distinct status, '|' order by status) as statuses, round(max({_H}), 6) as longest_hours, string_agg(distinct year(start)::varchar, '|' order by year(start)::varchar) as years from log group by 1""")
+@query(W + A.STATUS + f""", ms as (select code, string_agg(message || '=' || n, '|' order by message || '=' || n) as messages from (select code, message, count(*) as n from log group by 1, 2) group by 1)
+select code, count(*) as n, count(distinct turbine_id) as n_turbines, string_agg(distinct turbine_id, '|' order by turbine_id) as turbines, round(coalesce(sum({_H}), 0), 6) as hours, count("end") as n_timed, count(*) - count("end") as n_untimed, min(start) as first, max(start) as last,
+string_agg(distinct status, '|' order by status) as statuses, round(max({_H}), 6) as longest_hours, string_agg(distinct year(start)::varchar, '|' order by year(start)::varchar) as years, any_value(messages) as messages, any_value(contains(lower(messages), 'urgent')) as has_keyword from log join ms using (code) group by code""")
 def code_inventory(spark, sf_dir):
-    return census.code_inventory(A.status_log(spark, sf_dir))
+    return census.code_inventory(A.status_log(spark, sf_dir), keywords=("urgent",))
+
+
+@query(W + A.STATUS + f""" select occurrence_id, turbine_id, code, round({_H}, 6) as hours from log where status in ('Stop', 'Warning') and {_H} > 6""")
+def long_events(spark, sf_dir):
+    return rounded(census.long_events(A.status_log(spark, sf_dir)).select("occurrence_id", "turbine_id", "code", "hours"), "hours")
+
+
+_STEPS = """, st0 as (select turbine_id, lag(start) over (partition by turbine_id order by start) as a, start as b from (select distinct turbine_id, start from log)), sp as (select turbine_id, a as start, b as "end", date_diff('second', a, b) as delta_s from st0 where a is not null)"""
+
+
+@query(W + A.STATUS + _STEPS + " select delta_s, count(*) as n from sp group by 1 order by n desc, delta_s limit 10")
+def frequent_intervals(spark, sf_dir):
+    return _intervals(spark, sf_dir)[0]
+
+
+@query(W + A.STATUS + _STEPS + ' select turbine_id, start, "end", delta_s from sp order by delta_s desc, turbine_id, start limit 10')
+def largest_gaps(spark, sf_dir):
+    return _intervals(spark, sf_dir)[1]
+
+
+@query(W + A.STATUS + _STEPS + ", mo as (select turbine_id, delta_s as modal_s, sum(n) over (partition by turbine_id)::bigint as n_intervals, n as k from (select turbine_id, delta_s, count(*) as n from sp group by 1, 2) qualify row_number() over (partition by turbine_id order by n desc, delta_s) = 1) select turbine_id, n_intervals, modal_s, n_intervals - k as n_irregular from mo")
+def irregular_intervals(spark, sf_dir):
+    return _intervals(spark, sf_dir)[2]
+
+
+def _intervals(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return census.interval_census(A.status_log(spark, sf_dir).select("turbine_id", F.col("start").alias("at")), "turbine_id", "at")
 
 
 @query(W + A.STATUS + f" select status, count(*) as n, round(coalesce(sum({_H}), 0), 6) as hours from log group by 1")
@@ -484,7 +528,7 @@ def taxonomy_hours(spark, sf_dir):
     return census.taxonomy_hours(A.status_log(spark, sf_dir), "status")
 
 
-@query(W + A.STATUS + """ select turbine_id, year(start) as year, count(*) filter (status = 'Stop') as "Stop", count(*) filter (status = 'Warning') as "Warning", count(*) filter (status = 'Communication') as "Communication", count(*) filter (status = 'Informational') as "Informational" from log group by 1, 2""")
+@query(W + A.STATUS + """ select turbine_id, year(start) as year, count(*) filter (status = 'Stop') as "Stop", count(*) filter (status = 'Warning') as "Warning", count(*) filter (status = 'Communication') as "Communication", count(*) filter (status = 'Informational') as "Informational", """ + ", ".join(f"round(coalesce(sum({_H}) filter (status = '{x}'), 0), 6) as \"{x}_hours\"" for x in ("Stop", "Warning", "Communication", "Informational")) + " from log group by 1, 2")
 def turbine_year_pivot(spark, sf_dir):
     return census.turbine_year_pivot(A.status_log(spark, sf_dir), ["Stop", "Warning", "Communication", "Informational"])
 
@@ -505,7 +549,7 @@ def completeness(spark, sf_dir):
     return census.completeness(raw, ["a", "b"])
 
 
-@query(W + A.SCADA + " " + _per_column("select '{c}' as column_name, round(1 - count({c}) / count(*), 6) as null_share, min(timestamp) filter ({c} is not null) as first_known, max(timestamp) filter ({c} is not null) as last_known, round(min({c}), 6) as low, round(max({c}), 6) as high, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std, stddev_samp({c}) < 1e-6 as low_variance from scada"))
+@query(W + A.SCADA + " " + _per_column("select '{c}' as column_name, round(1 - count({c}) / count(*), 6) as null_share, min(timestamp) filter ({c} is not null) as first_known, max(timestamp) filter ({c} is not null) as last_known, round(min({c}), 6) as low, round(max({c}), 6) as high, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std, stddev_samp({c}) < 1e-6 as low_variance, least(count(distinct {c}), 200) as n_distinct, count(distinct {c}) = 1 as constant from scada"))
 def column_facts(spark, sf_dir):
     return census.column_facts(A.scada(spark, sf_dir), CHANNELS, "timestamp")
 
@@ -562,6 +606,12 @@ def corr_by_bin(spark, sf_dir):
     return census.correlation_by_bin(A.scada(spark, sf_dir), "wind_speed", "gearbox_oil_temperature", "active_power", [40.0, 80.0, 120.0], ["turbine_id"])
 
 
+@query(W + A.SCADA + """, b as (select turbine_id, (active_power > 40)::int + (active_power > 80)::int + (active_power > 120)::int as bin, gearbox_oil_temperature as y from scada where active_power is not null and gearbox_oil_temperature is not null)
+select turbine_id, bin, count(*) as n, """ + ", ".join(f"case when count(*) >= 3 then round({f}(y), 6) end as {n}" for f, n in (("avg", "mean"), ("stddev_samp", "std"), ("min", "min"), ("max", "max"))) + " from b group by 1, 2")
+def describe_by_bin(spark, sf_dir):
+    return census.describe_by_bin(A.scada(spark, sf_dir), "gearbox_oil_temperature", "active_power", [40.0, 80.0, 120.0], ["turbine_id"])
+
+
 @query(W + A.SCADA + " select turbine_id, count(*) as n, round(corr(wind_speed, gearbox_oil_temperature), 6) as corr from scada where wind_speed is not null and gearbox_oil_temperature is not null group by 1")
 def correlation_overall(spark, sf_dir):
     known = A.scada(spark, sf_dir).where("wind_speed is not null and gearbox_oil_temperature is not null")
@@ -615,24 +665,24 @@ _COORD = ", co as (select turbine_id, timestamp, max(state) filter (target = 'er
 
 def rule_states(spark, sf_dir) -> DataFrame:
     wide = detect.coordinate(low_states(spark, sf_dir), TWO)
-    return wide.withColumnsRenamed({"state_error": "state_gearbox_oil", "ewma_error": "ewma_gearbox_oil", "state_purchase": "state_gearbox_bearing", "ewma_purchase": "ewma_gearbox_bearing"})
+    return wide.withColumnsRenamed({"state_error": "state_gearbox_oil_temperature", "ewma_error": "ewma_gearbox_oil_temperature", "state_purchase": "state_gearbox_bearing_temperature", "ewma_purchase": "ewma_gearbox_bearing_temperature"})
 
 
 @query(BASE + ", " + GRID_SQL + _LOW + _COORD + """, r as (
-select turbine_id, timestamp, 'R1' as rule_id, 'oil_side_heating' as mechanism, (o <> 1)::int as v, (o = 1)::int as s from co where o is not null and b is not null
-union all select turbine_id, timestamp, 'R2', 'bearing_side_heating', (b <> 1)::int, (b = 1)::int from co where o is not null and b is not null
-union all select turbine_id, timestamp, 'R3', 'oil_cooling_degraded', (o <> 1)::int + (b <> 0)::int, (o = 1)::int + (b = 0)::int from co where o is not null and b is not null
-union all select turbine_id, timestamp, 'R4', 'common_heating', (o <> 1)::int + (b <> 1)::int, (o = 1)::int + (b = 1)::int from co where o is not null and b is not null)
+select turbine_id, timestamp, 'FMEA-001' as rule_id, 'gear_teeth_wear' as mechanism, (o <> 1)::int as v, (o = 1)::int as s from co where o is not null and b is not null
+union all select turbine_id, timestamp, 'FMEA-002', 'hss_bearing_failure', (b <> 1)::int, (b = 1)::int from co where o is not null and b is not null
+union all select turbine_id, timestamp, 'FMEA-003', 'lss_planetary_bearing_failure', (o <> 1)::int + (b <> 0)::int, (o = 1)::int + (b = 0)::int from co where o is not null and b is not null
+union all select turbine_id, timestamp, 'FMEA-004', 'lubrication_system_degradation', (o <> 1)::int + (b <> 1)::int, (o = 1)::int + (b = 1)::int from co where o is not null and b is not null)
 select turbine_id, timestamp, row_number() over (partition by turbine_id, timestamp order by v, s desc, rule_id)::int as rank, rule_id, mechanism, v as n_violated, s as n_support, case when v = 0 then 'plausible_preliminary' else 'weak' end as confidence from r where s > 0""")
 def rule_assessment(spark, sf_dir):
-    return rules.assess(rule_states(spark, sf_dir), rules.INITIAL, ["gearbox_oil", "gearbox_bearing"])
+    return rules.assess(rule_states(spark, sf_dir), rules.INITIAL, ["gearbox_oil_temperature", "gearbox_bearing_temperature"])
 
 
 @query(BASE + ", " + GRID_SQL + _LOW + _COORD + """, x as (select *, coalesce(o <> 0, false) or coalesce(b <> 0, false) as odd from co),
 y as (select *, sum(new) over (partition by turbine_id order by timestamp) as run from (select *, case when coalesce(odd <> lag(odd) over (partition by turbine_id order by timestamp), true) then 1 else 0 end as new from x))
-select turbine_id, timestamp, round(greatest(abs(eo), abs(eb)), 6) as severity, row_number() over (partition by turbine_id, run order by timestamp)::int as persistence, o as state_gearbox_oil, b as state_gearbox_bearing from y where odd""")
+select turbine_id, timestamp, round(greatest(abs(eo), abs(eb)), 6) as severity, row_number() over (partition by turbine_id, run order by timestamp)::int as persistence, o as state_gearbox_oil_temperature, b as state_gearbox_bearing_temperature from y where odd""")
 def diagnostic_events(spark, sf_dir):
-    return rounded(rules.diagnostic_events(rule_states(spark, sf_dir), ["gearbox_oil", "gearbox_bearing"]), "severity")
+    return rounded(rules.diagnostic_events(rule_states(spark, sf_dir), ["gearbox_oil_temperature", "gearbox_bearing_temperature"]), "severity")
 
 
 # ---- statistics and metrics
@@ -657,21 +707,31 @@ def acf_lags(spark, sf_dir):
     return rounded(stats.autocorrelation(rows, "raw_residual", "timestamp", ["event_id"], [1, 2, 3, 4, 5]), "acf")
 
 
-@query(W + A.RESIDUALS + """, d as (select timestamp, event_id, power(actual - prediction, 2) - power(actual - 60, 2) as d from res where target = 'error'), n as (select count(*) as n, avg(d) as m, var_pop(d) as v from d),
-c as (select timestamp, event_id, d - m as c from d, n), l as (select c, """ + ", ".join(f"lag(c, {k}) over (order by timestamp, event_id) as c{k}" for k in range(1, 6)) + """ from c),
-a as (select v * (1 + 2 * (""" + " + ".join(f"{1 - k / 6} * sum(c * c{k}) / sum(c * c)" for k in range(1, 6)) + """)) as lr, any_value(n) as n, any_value(m) as m from l, n group by v)
-select n, 5::int as lags, round(m / sqrt(lr / n), 6) as statistic, n < 30 as small from a""")
+@query(W + A.RESIDUALS + """, d as (select row_number() over (order by timestamp, event_id) as i, power(actual - prediction, 2) - power(actual - 60, 2) as d from res where target = 'error'),
+n as (select count(*) as n, avg(d) as m, var_pop(d) as v, floor(pow(count(*), 1 / 3.0))::int as lags from d), c as (select i, d - m as c from d, n),
+g as (select k.k, sum(a.c * b.c) / (select sum(c * c) from c) as acf from c a, range(1, 200) k(k), c b, n where k.k <= lags and b.i = a.i + k.k group by k.k),
+l as (select sum((1 - k / (lags + 1)) * acf) as s from g, n), z as (select n, lags, m / sqrt(v * (1 + 2 * s) / n) as z from n, l), t as (select *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) as t from z)
+select n, lags, round(z, 6) as statistic, round(t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z / 2), 4) + 0.0 as p_value, n < 30 as small from t""")
 def dm_test(spark, sf_dir):
+    """With the default number of lags. (SQL has no error function; its p-value is a rational approximation, good to 1e-6.)"""
     a = F.col("actual")
     rows = A.residuals(spark, sf_dir).where("target = 'error'").withColumns({"la": (a - F.col("prediction")) * (a - F.col("prediction")), "lb": (a - 60) * (a - 60)})
-    r = stats.diebold_mariano(rows, "la", "lb", "timestamp", ["event_id"], 5)
-    return spark.createDataFrame([(r["n"], r["lags"], round(r["statistic"], 6), r["small"])], "n long, lags int, statistic double, small boolean")
+    r = stats.diebold_mariano(rows, "la", "lb", "timestamp", ["event_id"])
+    return spark.createDataFrame([(r["n"], r["lags"], round(r["statistic"], 6), round(r["p_value"], 4), r["small"])], "n long, lags int, statistic double, p_value double, small boolean")
 
 
-@query()
+_DRAWS = """, v as (select row_number() over (order by timestamp, event_id) as i, raw_residual * raw_residual as sq from res where target = 'error'),
+n as (select count(*) as n, ((count(*) + 7) // 8) as blocks from v),
+dr as (select id // blocks as rep, id % blocks as k, (('0x' || substr(md5('42:' || id), 1, 12))::bigint % (n - 8 + 1)) + 1 as s from n, range(200 * blocks) r(id)),
+tk as (select rep, s + j as i from dr, n, range(8) b(j) where j < case when k = blocks - 1 then n - (blocks - 1) * 8 else 8 end),
+st as (select rep, sqrt(avg(sq)) as v from tk join v using (i) group by 1)"""
+
+
+@query(W + A.RESIDUALS + _DRAWS + """ select round((select sqrt(avg(sq)) from v), 6) as estimate, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.975), 6) as high, count(*) as replicates from st""")
 def block_bootstrap_ci(spark, sf_dir):
     rows = A.residuals(spark, sf_dir).where("target = 'error'").select("timestamp", "event_id", "raw_residual")
-    return rounded(stats.bootstrap(rows, "timestamp", ["event_id"], F.sqrt(F.avg(F.col("raw_residual") * F.col("raw_residual"))), 8, 200), "estimate", "low", "high")
+    squares = {"sq": F.col("raw_residual") * F.col("raw_residual")}
+    return rounded(stats.bootstrap(rows, "timestamp", ["event_id"], squares, F.sqrt("sq"), 8, 200), "estimate", "low", "high")
 
 
 @query(W + A.RESIDUALS + """, o as (select 'threshold_' || p as parameter, (select count(*) from res where abs(raw_residual) > p)::double as outcome from (select unnest([20, 40, 60]) as p) union all select 'threshold_20', 100.0) select parameter, max(outcome) - min(outcome) as spread from o group by 1""")
@@ -704,7 +764,7 @@ def _features(*predictors: str, targets=tuple(A.TARGETS)):
 
 
 def complete(spark, sf_dir) -> DataFrame:
-    return models.known_rows(A.scada(spark, sf_dir), *A.PREDICTORS, *A.TARGETS)
+    return models.known_rows(A.scada_days(spark, sf_dir), *A.PREDICTORS, *A.TARGETS)
 
 
 @query(W + A.SCADA + """, k as (select * from scada where wind_speed is not null and gearbox_oil_temperature is not null), c as (select regr_slope(gearbox_oil_temperature, wind_speed) as b, regr_intercept(gearbox_oil_temperature, wind_speed) as a from k)
@@ -715,52 +775,78 @@ def ols_baseline_single(spark, sf_dir):
     return m.predict(rows).select("turbine_id", "timestamp", (F.round("prediction_gearbox_oil_temperature", 5) + F.lit(0.0)).alias("prediction"))
 
 
-@query()
+#: Least squares with three predictors by their covariances: the inverse of a symmetric matrix, written out.
+_NORMAL = f""", k as (select turbine_id, timestamp, wind_speed as x1, active_power as x2, ambient_temperature as x3, gearbox_oil_temperature as oil, gearbox_bearing_temperature as bearing from days where {' and '.join(f'{c} is not null' for c in CHANNELS)}),
+m as (select avg(x1) as m1, avg(x2) as m2, avg(x3) as m3, var_pop(x1) as s11, var_pop(x2) as s22, var_pop(x3) as s33, covar_pop(x1, x2) as s12, covar_pop(x1, x3) as s13, covar_pop(x2, x3) as s23 from k),
+tg as (""" + " union all ".join(f"select 'gearbox_{t}_temperature' as target, avg({t}) as my, var_pop({t}) as vy, covar_pop(x1, {t}) as c1, covar_pop(x2, {t}) as c2, covar_pop(x3, {t}) as c3 from k" for t in ("oil", "bearing")) + """),
+ad as (select *, s22 * s33 - s23 * s23 as a11, s13 * s23 - s12 * s33 as a12, s12 * s23 - s13 * s22 as a13, s11 * s33 - s13 * s13 as a22, s12 * s13 - s11 * s23 as a23, s11 * s22 - s12 * s12 as a33 from m, tg),
+be as (select *, (a11 * c1 + a12 * c2 + a13 * c3) / (s11 * a11 + s12 * a12 + s13 * a13) as b1, (a12 * c1 + a22 * c2 + a23 * c3) / (s11 * a11 + s12 * a12 + s13 * a13) as b2, (a13 * c1 + a23 * c2 + a33 * c3) / (s11 * a11 + s12 * a12 + s13 * a13) as b3 from ad)"""
+
+
+@query(W + A.DAYS + _NORMAL + """ select d.turbine_id, d.timestamp, """ + ", ".join(f"round(max(my + b1 * (wind_speed - m1) + b2 * (active_power - m2) + b3 * (ambient_temperature - m3)) filter (target = '{t}'), 5) + 0.0 as baseline_{t}" for t in A.TARGETS) + " from days d, be group by 1, 2")
 def ols_baseline_multi(spark, sf_dir):
     m = models.create("linear", "baseline").fit(complete(spark, sf_dir), _features(), schema_of_events())
-    return m.predict(A.scada(spark, sf_dir)).select("turbine_id", "timestamp", *[F.round(f"baseline_{t}", 5).alias(f"baseline_{t}") for t in A.TARGETS])
+    return m.predict(A.scada_days(spark, sf_dir)).select("turbine_id", "timestamp", *[(F.round(f"baseline_{t}", 5) + F.lit(0.0)).alias(f"baseline_{t}") for t in A.TARGETS])
 
 
-@query()
-def gbt_nbm(spark, sf_dir):
+def small_search():
+    """Four of the twelve configured candidates, with 10 of 600 trees: a tree is a Spark job a level, whatever the rows (README has the times)."""
     from thermarc.config import Tuning
 
-    t = Tuning()
-    m = models.create("gbt", n_estimators=t.n_estimators, colsample=t.colsample, **t.candidates()[0]).fit(complete(spark, sf_dir), _features(), schema_of_events())
-    return m.predict(A.scada(spark, sf_dir)).select("turbine_id", "timestamp", *[F.round(f"prediction_{t}", 5).alias(f"prediction_{t}") for t in A.TARGETS])
+    return Tuning(depths=(4,), n_estimators=10)
+
+
+def _parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows = stored(split.by_fractions(complete(spark, sf_dir), "timestamp", ["turbine_id"]), "parts")
+    return rows.where("partition = 'train'").drop("partition"), rows.where("partition = 'validation'").drop("partition")
 
 
 @query()
-def tuning_grid(spark, sf_dir):
-    from thermarc.config import Tuning
+def gbt_nbm(spark, sf_dir):
+    """The first candidate of the small search, with as many trees as the validation rows allow."""
+    t = small_search()
+    train, validation = _parts(spark, sf_dir)
+    m = models.create("gbt", **t.fixed(), **t.candidates()[0]).fit(train, _features(), schema_of_events(), validation=validation)
+    return m.predict(A.scada_days(spark, sf_dir)).select("turbine_id", "timestamp", *[F.round(f"prediction_{t}", 5).alias(f"prediction_{t}") for t in A.TARGETS])
 
-    t = Tuning()
-    rows = split.by_fractions(complete(spark, sf_dir), "timestamp", ["turbine_id"]).persist()
-    train, validation = rows.where("partition = 'train'"), rows.where("partition = 'validation'")
+
+@query()
+def tuning_grid(spark, sf_dir):
+    t = small_search()
+    train, validation = _parts(spark, sf_dir)
     base = models.create("linear", "baseline").fit(train, _features(), schema_of_events())
     errors = models.target_rmse(base.predict(validation), tuple(A.TARGETS), "baseline")
-    _, trials = models.tune(train, validation, _features(), schema_of_events(), t.candidates(), errors, t.selection, n_estimators=t.n_estimators, colsample=t.colsample)
-    rows.unpersist()
+    _, trials = models.tune(train, validation, _features(), schema_of_events(), t.candidates(), errors, t.selection, **t.fixed())
     return spark.createDataFrame([(x["max_depth"], x["learning_rate"], x["subsample"], x["score"]) for x in trials], "max_depth int, learning_rate double, subsample double, score double")
 
 
-@query()
+_WITHOUT = " union all ".join(
+    f"select '{A.PREDICTORS[k - 1]}' as without, target, vy - (s{j}{j} * c{i} * c{i} - 2 * s{i}{j} * c{i} * c{j} + s{i}{i} * c{j} * c{j}) / (s{i}{i} * s{j}{j} - s{i}{j} * s{i}{j}) as v from be" for i, j, k in ((2, 3, 1), (1, 3, 2), (1, 2, 3))
+)
+
+
+@query(W + A.DAYS + _NORMAL + f", e as (select 'none' as without, target, vy - b1 * c1 - b2 * c2 - b3 * c3 as v from be union all {_WITHOUT}) select without, target, round(sqrt(v), 6) as rmse from e")
 def predictor_ablation(spark, sf_dir):
     """Errors of the baseline with all predictors and without each."""
-    rows, out = complete(spark, sf_dir).persist(), []
+    rows, out = stored(complete(spark, sf_dir), "rows"), []
     for drop in [None, *A.PREDICTORS]:
         use = [p for p in A.PREDICTORS if p != drop]
         m = models.create("linear").fit(rows, _features(*use), schema_of_events())
         out += [(drop or "none", t, round(e, 6)) for t, e in models.target_rmse(m.predict(rows), tuple(A.TARGETS), "prediction").items()]
-    rows.unpersist()
     return spark.createDataFrame(out, "without string, target string, rmse double")
 
 
-@query()
-def pipeline_end_to_end(spark, sf_dir):
-    """Metrics of an experiment: both models, validation and test."""
-    from thermarc.config import Config
+def _experiment(spark, sf_dir):
+    """The experiment over days with the small search and the log's explicit windows."""
+    from thermarc.config import Config, Model
     from thermarc.plans import experiment
 
-    got = experiment.run(A.scada(spark, sf_dir), Config(), schema_of_events(), A.exclusion_windows(spark, sf_dir).drop("window_id"))
-    return spark.createDataFrame([(m["model"], m["partition"], m["target"], m["n"], m["rmse"], m["bias"]) for m in got.metrics], "model string, partition string, target string, n long, rmse double, bias double")
+    windows = A.exclusion_windows(spark, sf_dir).drop("window_id")
+    return experiment.run(A.scada_days(spark, sf_dir), Config(model=Model(tuning=small_search())), schema_of_events(), windows)
+
+
+@query()
+def pipeline_end_to_end(spark, sf_dir):
+    """Metrics of an experiment: main model and baseline, validation and test."""
+    got = _experiment(spark, sf_dir)
+    return spark.createDataFrame([(m["role"], m["model"], m["partition"], m["target"], m["n"], m["rmse"], m["bias"]) for m in got.metrics], "role string, model string, partition string, target string, n long, rmse double, bias double")

@@ -20,12 +20,11 @@ def stream_ewma(stream: DataFrame, limits: dict[str, float], lam: float = 0.2) -
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         z, t = state.get if state.exists else (0.0, 0)
         rows = pd.concat(list(frames)).sort_values("timestamp")
-        out = []
-        for x in rows["normalized_residual"].fillna(0.0):
-            z, t = lam * x + (1 - lam) * z, t + 1
-            out.append((t, z))
-        state.update((z, t))
+        x = pd.concat([pd.Series([z]), rows["normalized_residual"].fillna(0.0)], ignore_index=True)
+        ewma = x.ewm(alpha=lam, adjust=False).mean().to_numpy()[1:]  # from the state on: z_t = lam x_t + (1 - lam) z_(t-1)
+        state.update((float(ewma[-1]), t + len(ewma)))
         up = limits.get(key[1], float("inf"))
-        yield pd.DataFrame({"turbine_id": key[0], "target": key[1], "timestamp": rows["timestamp"].values, "t": [a for a, _ in out], "ewma": [b for _, b in out], "state": [1 if b > up else -1 if b < -up else 0 for _, b in out]})
+        side = (ewma > up).astype("int32") - (ewma < -up).astype("int32")
+        yield pd.DataFrame({"turbine_id": key[0], "target": key[1], "timestamp": rows["timestamp"].values, "t": range(t + 1, t + 1 + len(ewma)), "ewma": ewma, "state": side})
 
     return stream.groupBy("turbine_id", "target").applyInPandasWithState(step, OUT, "z double, t long", "append", GroupStateTimeout.NoTimeout)
