@@ -90,8 +90,9 @@ def diebold_mariano(df: DataFrame, loss_a: str, loss_b: str, ts: str, order: lis
     return {"n": n, "lags": lags, "statistic": s, "p_value": math.erfc(abs(s) / math.sqrt(2)), "small": n < 30}
 
 
-def bootstrap(df: DataFrame, ts: str, order: list[str], terms: dict[str, Column], finish: Column, block: int, replicates: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """Moving-block bootstrap: (estimate, low, high) of `finish`, an expression of the means of `terms`.
+def bootstrap(df: DataFrame, ts: str, order: list[str], terms: dict[str, Column], finish: Column | dict[str, Column], block: int, replicates: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """Moving-block bootstrap: (estimate, low, high) of `finish`, an expression of the means of `terms`. Of several named
+    expressions, from the same draws: (<name>, <name>_low, <name>_high).
 
     Block starts are drawn by a hash of the seed and the draw's number, whatever the size. Sums of the block that begins at each
     row come from windows over cells of rows (a cell also gets the first rows of the next), so a replicate costs its blocks and not its rows.
@@ -112,10 +113,13 @@ def bootstrap(df: DataFrame, ts: str, order: list[str], terms: dict[str, Column]
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), 1, 12), 16, 10).cast("long")
     drawn = df.sparkSession.range(replicates * blocks).select(F.floor(F.col("id") / blocks).alias("rep"), (F.col("id") % blocks).alias("k"), (F.pmod(draw, F.lit(n - block + 1)) + 1).alias("_i"))
     means = [(F.sum(F.when(F.col("k") == blocks - 1, F.col(f"{k}_cut")).otherwise(F.col(f"{k}_whole"))) / n).alias(k) for k in terms]
-    each = drawn.join(sums, "_i").groupBy("rep").agg(*means).select(finish.alias("v"))
+    several = isinstance(finish, dict)
+    wanted = finish if several else {"estimate": finish}
+    ends_of = {k: (f"{k}_low", f"{k}_high") if several else ("low", "high") for k in wanted}
+    each = drawn.join(sums, "_i").groupBy("rep").agg(*means).select(*[v.alias(f"v_{k}") for k, v in wanted.items()])
     tail = (1 - confidence) / 2
-    ends = each.agg(F.percentile("v", tail).alias("low"), F.percentile("v", 1 - tail).alias("high"), F.count("*").alias("replicates"))
-    whole = rows.agg(*[F.avg(k).alias(k) for k in terms]).select(finish.alias("estimate"))
+    ends = each.agg(*[F.percentile(f"v_{k}", p).alias(name) for k in wanted for p, name in zip((tail, 1 - tail), ends_of[k], strict=True)], F.count("*").alias("replicates"))
+    whole = rows.agg(*[F.avg(k).alias(k) for k in terms]).select(*[v.alias(k) for k, v in wanted.items()])
     return whole.crossJoin(ends)  # one row with one row
 
 

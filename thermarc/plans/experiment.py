@@ -154,12 +154,10 @@ def accuracy(result: Result, config: Config, block: int = 8, replicates: int = 1
                 if held is None:
                     continue
                 row["r2"] = held["r2"]
-                for name, what in finish.items():
-                    if held["n"] > block:
-                        b = stats.bootstrap(here.where(F.col("role") == role), "timestamp", ["turbine_id"], terms, what, block, replicates, seed=config.model.seed).first()
-                        row |= {name: b["estimate"], f"{name}_low": b["low"], f"{name}_high": b["high"]}
-                    else:
-                        row |= {name: held[name], f"{name}_low": None, f"{name}_high": None}
+                if held["n"] > block:
+                    row |= stats.bootstrap(here.where(F.col("role") == role), "timestamp", ["turbine_id"], terms, finish, block, replicates, seed=config.model.seed).drop("replicates").first().asDict()
+                else:
+                    row |= {x: y for name in finish for x, y in ((name, held[name]), (f"{name}_low", None), (f"{name}_high", None))}
                 row["dm_p_value"] = None
                 if role != "main" and "main" in roles and held["n"] >= 4:
                     row["dm_p_value"] = stats.diebold_mariano(wide, role, "main", "timestamp", ["turbine_id"])["p_value"]
