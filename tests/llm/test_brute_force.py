@@ -306,6 +306,49 @@ def test_op1_templates_are_shown(spark):
     assert got["Call <*> now to win"] == (5, 2, 1) and got["a b c one two three four five six <...>"] == (11, 2, 3) and len(got) == 2
 
 
+# ---- op7
+
+
+def paraphrase(r, words, vocabulary):
+    w = [r.choice(vocabulary) if r.random() < 0.1 else x for x in words if r.random() > 0.04]
+    return [*w[: len(w) // 2], r.choice(vocabulary), *w[len(w) // 2 :]]
+
+
+@pytest.mark.parametrize("n_items", [20, 200])
+def test_op7_recall_against_all_windows(spark, n_items):
+    r = random.Random(n_items)
+    vocabulary = [f"v{k}" for k in range(4000)]
+    text = lambda n: [vocabulary[int(4000 * r.random() ** 3)] for _ in range(n)]
+    items = [text(r.choice([10, 16, 25, 40, 70, 150])) for _ in range(n_items)]
+    docs = []
+    for d in range(160):
+        w = text(r.randint(20, 300))
+        if d % 2:
+            at = r.randint(0, len(w))
+            w[at:at] = paraphrase(r, items[d % n_items], vocabulary)
+        docs.append((d, " ".join(w)))
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    got = {(x["doc_id"], i) for x in decontamination.contamination(frame(spark, docs), bench).collect() for i in x["item_ids"]}
+    planted = {(d, d % n_items) for d in range(1, 160, 2)}
+    want = {(d, i) for d, i in planted if leaks(bare(docs[d][1]), items[i])}
+    assert len(want) > 60 and len(want & got) >= 0.9 * len(want)
+    assert {d for d, _ in got} <= {d for d, _ in planted}
+
+
+def test_op7_short_items_and_long_runs(spark):
+    r = random.Random(5)
+    vocabulary = [f"u{k}" for k in range(3000)]
+    items = [[r.choice(vocabulary) for _ in range(n)] for n in (4, 5, 6, 7, 30, 100, 800)]
+    docs = [(k, " ".join([r.choice(vocabulary) for _ in range(60)] + i + [r.choice(vocabulary) for _ in range(60)])) for k, i in enumerate(items)]
+    # A long stretch of the item's words in other orders, and the item itself somewhere in it.
+    mixed = [w for _ in range(12) for w in r.sample(items[4], len(items[4]))]
+    docs.append((50, " ".join([*mixed, *items[4], *mixed])))
+    docs.append((51, " ".join(r.choice(vocabulary) for _ in range(400))))
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    got = {x["doc_id"]: x["item_ids"] for x in decontamination.contamination(frame(spark, docs).withColumn("item_ids", F.lit("clash")), bench).collect()}
+    assert got == {**{k: [k] for k in range(len(items))}, 50: [4], 51: []}
+
+
 # ---- the pipeline, stage by stage
 
 
