@@ -2,7 +2,13 @@
 
 STAGES are applied in order; each one's result is written as Parquet in the shared
 folder and read again as the next one's documents. All but the last return the columns
-of documents.
+of documents, those named like a stage's own results too.
+
+Near-duplicates are told by shingles of five words (op10's query, by its contract, takes two).
+
+Defined results: the quality rules reject null and empty texts, and those without words. Rows with a null id take part in the quality
+rules, the benchmark search and the encoding, lose no line and are no one's duplicate. Repeated rows and ties: equal rows go or
+stay together, but of near-duplicates (equal texts too) the smallest id stays. Texts are taken whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines, and long sentences of lines, whose template an earlier document has go, and documents that they leave without a word. n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs, sentences=True).where("kept")
+    own = {c: f"_own_{c}" for c in docs.columns if c in ("n_lines", "n_dropped", "kept")}  # columns of these names stay what they were
+    out = line_dedup.dedup_lines(docs.withColumnsRenamed(own), sentences=True).where("kept").drop(*own).withColumnsRenamed({v: k for k, v in own.items()})
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
