@@ -425,12 +425,10 @@ def test_experiment_settings_take_effect(spark):
     before = dataclasses.replace(config, healthy_state=dataclasses.replace(healthy_state, fault_pre_exclusion_days=1))
     again = experiment.run(df, before, DEFAULT, faults=faults.where("event_id = 'b'"))
     assert {r["reason"]: r["n_rows"] for r in again.healthy.collect()}["pre_fault_window"] == 100
-    long = experiment.run(df, dataclasses.replace(config, detection=dataclasses.replace(config.detection, persistence=6)), DEFAULT, faults=faults)
-    assert long.detections.count() < got.detections.count()
+    long = experiment.run(df, dataclasses.replace(config, detection=dataclasses.replace(config.detection, persistence=6), model=Model(name="linear", include_baseline=False)), DEFAULT, faults=faults)
+    assert long.detections.count() < got.detections.count() and {m["role"] for m in long.metrics} == {"main"}
     other = experiment.run(df, dataclasses.replace(config, residual=Residual(threshold_stats_source="validation")), DEFAULT, faults=faults)
     assert other.residuals.agg(F.sum(F.abs("normalized_residual"))).first() != got.residuals.agg(F.sum(F.abs("normalized_residual"))).first()
-    alone = experiment.run(df, dataclasses.replace(config, model=Model(name="linear", include_baseline=False)), DEFAULT)
-    assert {m["role"] for m in alone.metrics} == {"main"}
 
 
 def test_accuracy_and_diagnosis(spark):
