@@ -92,9 +92,10 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     """(doc_id, lines): hashes of the lines (and sentences) that each document loses. Stored."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.put("templates", templates(docs, doc_id, text, sentences))
-    lost = rows.join(recurring(rows, min_docs).hint("merge"), ["t", "c"]).where("first_doc < doc_id")
+    often = scratch.put("recurring", recurring(rows, min_docs))
+    lost = rows.join(often.hint("merge"), ["t", "c"]).where("first_doc < doc_id")
     lost = scratch.put("lost", lost.groupBy("doc_id").agg(F.collect_set("line").alias("lines")))
-    scratch.drop("templates")
+    scratch.drop("templates", "recurring")
     return lost
 
 
