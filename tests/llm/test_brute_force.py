@@ -60,10 +60,8 @@ def test_op3_scores_match_dense_cosines(spark, documents):
     assert len(index.ids) > 20
     dense = np.zeros((len(index.ids), len(index.words)))
     for t in range(len(index.words)):
-        for e in range(index.first[t], index.first[t + 1]):
-            places = index.block_of[e] * toxicity.BLOCK + np.arange(toxicity.BLOCK)
-            inside = places < len(index.ids)
-            dense[places[inside], t] = index.rows[e][inside]
+        here = slice(index.start[index.first[t]], index.start[index.first[t + 1]])
+        dense[index.example[here], t] = index.value[here]
     assert np.allclose((dense**2).sum(axis=1), 1, atol=1e-5)
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, index).collect()}
     without = 0
