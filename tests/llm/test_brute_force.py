@@ -62,6 +62,8 @@ def test_op3_scores_match_dense_cosines(spark, documents):
     for t in range(len(index.words)):
         here = slice(index.start[index.first[t]], index.start[index.first[t + 1]])
         dense[index.example[here], t] = index.value[here]
+        if index.row_of[t] >= 0:
+            dense[:, t] = index.dense[index.row_of[t]][: len(dense)]
     assert np.allclose((dense**2).sum(axis=1), 1, atol=1e-5)
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, index).collect()}
     without = 0
