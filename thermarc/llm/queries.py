@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermarc.llm import bpe, decontamination, license_scan, line_dedup, lm_scoring, near_dedup, quality_classifier, quality_rules, sharding, toxicity
+from thermarc.llm import bpe, decontamination, license_scan, line_dedup, lm_scoring, merkle, mixing, near_dedup, quality_classifier, quality_rules, resampling, sharding, toxicity
 from thermarc.llm.text import crc_mod
 
 
@@ -82,8 +82,29 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), k=2, percent=80)
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.usage(documents(spark, sf_dir))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`seen` is what a reader finds: tampered rows have one character more than the manifest says."""
+    docs = documents(spark, sf_dir)
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    of = lambda n_chars: merkle.leaf(*[n_chars if c == "n_chars" else F.col(c) for c in merkle.FIELDS])
+    leaves = docs.select("doc_id", "lang", of(F.col("n_chars")).alias("leaf"), F.when(tampered, of(F.col("n_chars") + 1)).alias("seen"))
+    found = merkle.manifest(leaves, "doc_id", "lang")
+    fold = merkle.folded(F.coalesce("seen", "leaf"), F.col("path")).alias("folded_root")
+    found = found.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("path"))).alias("proof_sha256"), fold)
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resampling.resample(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_quality_classifier, op6_sharding, op7_decontamination, op8_lm_scoring, op9_license_scan, op10_minhash_near_dedup)
+    f.__name__: f for f in (op1_line_dedup, op2_byte_bpe, op3_toxicity, op4_quality_rules, op5_quality_classifier, op6_sharding, op7_decontamination, op8_lm_scoring, op9_license_scan, op10_minhash_near_dedup, op11_source_mix, op12_merkle_manifest, op13_importance_resampling)
 }
 
 OP4_SQL = r"""
