@@ -58,8 +58,10 @@ def bucketed(rows: DataFrame, text: str, *keep: Column) -> DataFrame:
 
 
 def totals(rows: DataFrame, text: str = "text") -> DataFrame:
-    """(bucket, n): occurrences of each bucket's features. Counted within tasks first."""
-    return bucketed(rows, text).select(F.explode("_buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    """(bucket, n): occurrences of each bucket's features. Counted within tasks first.
+
+    explode_outer, as Spark has a filter on the array's size run below explode, where the whole expression is evaluated again for each part of it."""
+    return bucketed(rows, text).select(F.explode_outer("_buckets").alias("bucket")).where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 def gains(target: DataFrame, source: DataFrame) -> list[int]:
