@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermarc.llm import bpe, decontamination, license_scan, line_dedup, lm_scoring, merkle, mixing, near_dedup, quality_classifier, quality_rules, resampling, sharding, toxicity
+from thermarc.llm import bpe, decontamination, license_scan, line_dedup, lm_scoring, merkle, mixing, near_dedup, quality_classifier, quality_rules, queries_sql, resampling, sharding, toxicity
 from thermarc.llm.text import crc_mod
 
 
@@ -165,4 +165,4 @@ select doc_id, len(ls)::bigint as n_lines, (len(ls) - len(st))::bigint as n_drop
 from y
 """
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL, **queries_sql.ORACLES}
