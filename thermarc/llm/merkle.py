@@ -102,25 +102,25 @@ class Growing:
         return self.stack[-1][2]
 
 
-def height_of(n: int, held: int) -> int:
+def height_of(n: int, held: int, height: int = HEIGHT) -> int:
     """Levels above a block's leaves: of one block that is the whole tree as many as it needs, else all."""
-    return HEIGHT if n > 1 << HEIGHT else max(0, held - 1).bit_length()
+    return height if n > 1 << height else max(0, held - 1).bit_length()
 
 
-def traversal(leaves: list[str], height: int) -> Iterator[list[str]]:
+def traversal(leaves: list[str], height: int, subtree: int = SUBTREE) -> Iterator[list[str]]:
     """The path of each leaf, in order, with one existing and one desired subtree a layer."""
-    m, layers = len(leaves), max(1, -(-height // SUBTREE))
-    tops = [min(height, (i + 1) * SUBTREE) for i in range(layers)]
-    first = [Growing(leaves, (tops[i], 0), i * SUBTREE) for i in range(layers)]
+    m, layers = len(leaves), max(1, -(-height // subtree))
+    tops = [min(height, (i + 1) * subtree) for i in range(layers)]
+    first = [Growing(leaves, (tops[i], 0), i * subtree) for i in range(layers)]
     for g in first:
         g.finish()
     existing = [g.nodes for g in first]
-    desired = [Growing(leaves, (tops[i], 1), i * SUBTREE) for i in range(layers - 1)]
+    desired = [Growing(leaves, (tops[i], 1), i * subtree) for i in range(layers - 1)]
     for s in range(m):
         path = []
         for level in range(height):
             k = (s >> level) ^ 1
-            node = existing[level // SUBTREE].get((level, k))
+            node = existing[level // subtree].get((level, k))
             path.append("" if node is None else ("L" if k % 2 == 0 else "R") + node)
         yield path
         for i, g in enumerate(desired):
@@ -129,35 +129,31 @@ def traversal(leaves: list[str], height: int) -> Iterator[list[str]]:
             if (s + 1) % (1 << tops[i]) == 0 and s + 1 < m:
                 g.finish()
                 existing[i] = g.nodes
-                desired[i] = Growing(leaves, (tops[i], ((s + 1) >> tops[i]) + 1), i * SUBTREE)
+                desired[i] = Growing(leaves, (tops[i], ((s + 1) >> tops[i]) + 1), i * subtree)
 
 
-def _block() -> Column:
-    return F.shiftright("index", HEIGHT)
-
-
-def _roots(nodes: DataFrame) -> DataFrame:
+def _roots(nodes: DataFrame, height: int) -> DataFrame:
     """The root of each block: the next tree's leaves (tree, index, n, node)."""
 
     def root(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("index")
         n, held = int(rows["n"].iloc[0]), rows["node"].tolist()
-        top = Growing(held, (height_of(n, len(held)), 0), HEIGHT + 1).finish()
-        return pd.DataFrame({"tree": [rows["tree"].iloc[0]], "index": [int(rows["index"].iloc[0]) >> HEIGHT], "n": [-(-n >> HEIGHT)], "node": [top]})
+        top = Growing(held, (height_of(n, len(held), height), 0), height + 1).finish()
+        return pd.DataFrame({"tree": [rows["tree"].iloc[0]], "index": [int(rows["index"].iloc[0]) >> height], "n": [-(-n >> height)], "node": [top]})
 
-    narrow = nodes.select("tree", "index", "n", "node", _block().alias("_block"))
+    narrow = nodes.select("tree", "index", "n", "node", F.shiftright("index", height).alias("_block"))
     return narrow.groupBy("tree", "_block").applyInPandas(root, "tree long, index long, n long, node string")
 
 
-def _levels(nodes: DataFrame) -> list[DataFrame]:
-    """The nodes, their blocks' roots, the roots of these and so on, until each tree is one node. Each round has a 2**HEIGHT-th of the rows before."""
+def _levels(nodes: DataFrame, height: int) -> list[DataFrame]:
+    """The nodes, their blocks' roots, the roots of these and so on, until each tree is one node. Each round has a 2**height-th of the rows before."""
     levels = [nodes]
     while len(levels) == 1 or not levels[-1].where("n > 1").isEmpty():
-        levels.append(stored(_roots(levels[-1]), "block-roots"))
+        levels.append(stored(_roots(levels[-1], height), "block-roots"))
     return levels
 
 
-def _down(nodes: DataFrame, above: DataFrame) -> DataFrame:
+def _down(nodes: DataFrame, above: DataFrame, height: int, subtree: int) -> DataFrame:
     """Adds root, subroot and path to nodes. above: the same of their blocks (tree, index), whose paths are appended."""
     kept = nodes.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema.fields) + ", root string, subroot string, path array<string>"
@@ -165,21 +161,21 @@ def _down(nodes: DataFrame, above: DataFrame) -> DataFrame:
     def traversed(rows: pd.DataFrame, top: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("index")
         held, rest = rows["node"].tolist(), [str(x) for x in top["path"].iloc[0]]
-        paths = traversal(held, height_of(int(rows["n"].iloc[0]), len(held)))
+        paths = traversal(held, height_of(int(rows["n"].iloc[0]), len(held), height), subtree)
         return rows[kept].assign(root=top["root"].iloc[0], subroot=top["subroot"].iloc[0], path=[p + rest for p in paths])
 
-    blocks = nodes.withColumn("_block", _block()).groupBy("tree", "_block")
+    blocks = nodes.withColumn("_block", F.shiftright("index", height)).groupBy("tree", "_block")
     tops = above.select("tree", F.col("index").alias("_block"), "root", "subroot", "path").groupBy("tree", "_block")
     return blocks.cogroup(tops).applyInPandas(traversed, schema)
 
 
-def _authenticated(levels: list[DataFrame], above: DataFrame) -> DataFrame:
+def _authenticated(levels: list[DataFrame], above: DataFrame, height: int, subtree: int) -> DataFrame:
     for nodes in reversed(levels[:-1]):
-        above = _down(nodes, above)
+        above = _down(nodes, above, height, subtree)
     return above
 
 
-def manifest(rows: DataFrame, key: str, group: str, node: str = "leaf") -> DataFrame:
+def manifest(rows: DataFrame, key: str, group: str, node: str = "leaf", height: int = HEIGHT, subtree: int = SUBTREE) -> DataFrame:
     """Adds to each row its group's root (subroot), the root of all, and its path to the root of all.
 
     node: the column of leaves. Columns named tree, index, n, node, path, root or subroot are not carried. The groups are
@@ -191,9 +187,9 @@ def manifest(rows: DataFrame, key: str, group: str, node: str = "leaf") -> DataF
     trees = numbered.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("n"))
     trees = stored(trees.withColumn("tree", F.row_number().over(Window.orderBy(F.col("_group").asc_nulls_first())).cast("long") - 1), "trees")
     nodes = numbered.join(trees, F.col(group).eqNullSafe(F.col("_group"))).drop("_group").withColumn("node", F.col(node))
-    levels = _levels(nodes)
+    levels = _levels(nodes, height)
     groups = levels[-1].select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("index"), F.count("*").over(Window.partitionBy()).alias("n"), "node")
-    over = _levels(stored(groups, "group-roots"))
-    over = _authenticated(over, over[-1].select("tree", "index", F.col("node").alias("root"), F.col("node").alias("subroot"), F.array().cast("array<string>").alias("path")))
+    over = _levels(stored(groups, "group-roots"), height)
+    over = _authenticated(over, over[-1].select("tree", "index", F.col("node").alias("root"), F.col("node").alias("subroot"), F.array().cast("array<string>").alias("path")), height, subtree)
     above = over.select(F.col("index").alias("tree"), F.lit(0).cast("long").alias("index"), "root", F.col("node").alias("subroot"), "path")
-    return _authenticated(levels, stored(above, "group-paths")).drop("tree", "index", "n", *([] if node == "node" else ["node"]))
+    return _authenticated(levels, stored(above, "group-paths"), height, subtree).drop("tree", "index", "n", *([] if node == "node" else ["node"]))
