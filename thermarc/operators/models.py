@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from thermarc.cluster import shared_folder
 from thermarc.errors import FitError
 from thermarc.guards import FeatureConfig, check_features
+from thermarc.operators import joint_trees
 from thermarc.schema import Schema
 
 FEATURES, VALIDATES = "_features", "_validates"
@@ -96,7 +97,44 @@ class BoostedTrees(NormalBehaviour):
         return GBTRegressor(featuresCol=FEATURES, labelCol=target, predictionCol=f"_raw_{target}", maxIter=s.get("n_estimators", 20), maxDepth=s.get("max_depth", 4), stepSize=s.get("learning_rate", 0.1), subsamplingRate=s.get("subsample", 1.0), featureSubsetStrategy=str(s.get("colsample", "auto")), seed=seed, **stop)
 
 
-MODELS = {"linear": LeastSquares, "gbt": BoostedTrees}
+class JointTrees(NormalBehaviour):
+    """One set of trees for all targets, with patience; `best_iteration` is the last tree that predicts (null without early stopping)."""
+
+    joint: joint_trees.JointTrees | None = None
+
+    @property
+    def best_iteration(self) -> int | None:
+        return None if self.joint is None else self.joint.best_iteration
+
+    def fit(self, train: DataFrame, config: FeatureConfig, schema: Schema, seed: int = 42, validation: DataFrame | None = None) -> JointTrees:
+        self.joint = joint_search(train, config, schema, [self.settings], seed, validation)[0]
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        if self.joint is None:
+            raise FitError("predict before fit")
+        return self.joint.predict(df, self.prefix)
+
+    def save(self, path: str) -> None:
+        if self.joint is None:
+            raise FitError("save before fit")
+        joint_trees.save(self.joint, path)
+
+    def load(self, path: str, targets: list[str]) -> JointTrees:
+        self.joint = joint_trees.load(path)
+        if self.joint.targets != list(targets):
+            raise FitError("the stored model has other targets", stored=self.joint.targets, wanted=list(targets))
+        return self
+
+
+def joint_search(train: DataFrame, config: FeatureConfig, schema: Schema, candidates: list[dict], seed: int = 42, validation: DataFrame | None = None) -> list[joint_trees.JointTrees]:
+    """All candidates' joint trees, grown side by side in the same jobs."""
+    check_features(config, schema)
+    inputs = [*config.predictors, *(f.name for f in config.features)]
+    return joint_trees.fit(train, inputs, list(config.targets), [joint_trees.Settings(**c) for c in candidates], seed, validation)
+
+
+MODELS = {"linear": LeastSquares, "gbt": BoostedTrees, "joint": JointTrees}
 
 
 def create(name: str, prefix: str = "prediction", **settings) -> NormalBehaviour:
@@ -119,15 +157,20 @@ def selection_score(rmse: dict[str, float], baseline: dict[str, float] | None, h
     return sum(rmse[t] / baseline[t] for t in rmse) / len(rmse)
 
 
-def tune(train: DataFrame, validation: DataFrame, config: FeatureConfig, schema: Schema, candidates: list[dict], baseline: dict[str, float] | None, how: str = "baseline_normalized_mean_rmse", seed: int = 42, **fixed) -> tuple[NormalBehaviour, list[dict]]:
-    """Fits every candidate on train, scores it on validation; the first of the lowest wins and keeps its trees."""
+def tune(train: DataFrame, validation: DataFrame, config: FeatureConfig, schema: Schema, candidates: list[dict], baseline: dict[str, float] | None, how: str = "baseline_normalized_mean_rmse", seed: int = 42, kind: str = "gbt", **fixed) -> tuple[NormalBehaviour, list[dict]]:
+    """Fits every candidate on train, scores it on validation; the first of the lowest wins and keeps its trees. Joint trees of all candidates grow together."""
     if not candidates:
         raise FitError("no candidates")
     best, trials = None, []
-    for c in candidates:
-        m = create("gbt", **{**fixed, **c}).fit(train, config, schema, seed, validation)
+    together = joint_search(train, config, schema, [{**fixed, **c} for c in candidates], seed, validation) if kind == "joint" else None
+    for k, c in enumerate(candidates):
+        m = create(kind, **{**fixed, **c})
+        if together is None:
+            m.fit(train, config, schema, seed, validation)
+        else:
+            m.joint = together[k]
         score = round(selection_score(target_rmse(m.predict(validation), config.targets, m.prefix), baseline, how), 6)
-        trials.append({**c, "score": score})
+        trials.append({**c, "score": score} | ({} if together is None else {"best_iteration": m.best_iteration}))
         if best is None or score < best[0]:
             best = (score, m)
     return best[1], trials

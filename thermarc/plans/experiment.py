@@ -96,14 +96,14 @@ def run(df: DataFrame, config: Config, schema: Schema, windows: DataFrame | None
         base_rmse = models.target_rmse(base.predict(validation), features.targets, "baseline")
         done("baseline")
     fixed = m.tuning.fixed()
-    if candidates is None and m.tuning.enabled and m.name == "gbt":
+    if candidates is None and m.tuning.enabled and m.name in ("gbt", "joint"):
         candidates = m.tuning.candidates()
     if candidates:
-        main, trials = models.tune(train, validation, features, schema, candidates, base_rmse, m.tuning.selection, m.seed, **fixed)
+        main, trials = models.tune(train, validation, features, schema, candidates, base_rmse, m.tuning.selection, m.seed, **({"kind": m.name} if m.name == "joint" else {}), **fixed)
     else:
         main, trials = models.create(m.name, **fixed).fit(train, features, schema, m.seed, validation), []
     done("model", trials=len(trials))
-    predicted = main.predict(with_base)
+    predicted = stored(main.predict(with_base), "predicted")  # scored once, for all that follows
     ids = ["turbine_id", "timestamp", "partition", "reason"]
     long = residuals.unpivot(predicted, ids, list(m.targets)).where("raw_residual is not null")
     part = PARTS[config.residual.threshold_stats_source]
