@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermarc.errors import GuardError
+from thermarc.operators.windows import at_home, with_neighbours
 from thermarc.schema import Schema
 
 #: Kinds of engineered features and the least value of their parameter.
@@ -61,9 +62,8 @@ def check_split(strategy: str, official: bool) -> None:
         raise GuardError("a random split leaks the future" + (" and can't be official" if official else ""), strategy=strategy)
 
 
-def feature_columns(config: FeatureConfig, key: str = "turbine_id", ts: str = "timestamp") -> dict[str, Column]:
-    """The declared features as trailing windows of each turbine."""
-    w = Window.partitionBy(key).orderBy(ts)
+def feature_columns(config: FeatureConfig, w: Window) -> dict[str, Column]:
+    """The declared features as trailing windows over w."""
     out = {}
     for f in config.features:
         x, back = F.col(f.source), w.rowsBetween(-(max(f.n, 1) - 1), 0)
@@ -71,6 +71,10 @@ def feature_columns(config: FeatureConfig, key: str = "turbine_id", ts: str = "t
     return out
 
 
-def with_features(df: DataFrame, config: FeatureConfig, schema: Schema) -> DataFrame:
+def with_features(df: DataFrame, config: FeatureConfig, schema: Schema, key: str = "turbine_id", ts: str = "timestamp") -> DataFrame:
+    """Adds the features. Rows meet those before them in cells of rows, not of whole turbines."""
     check_features(config, schema)
-    return df.withColumns(feature_columns(config)) if config.features else df
+    if not config.features:
+        return df
+    rows, w = with_neighbours(df, [key], [ts], before=max(max(f.n, 1) for f in config.features))
+    return at_home(rows.withColumns(feature_columns(config, w)), "_t")

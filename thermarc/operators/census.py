@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermarc.operators.windows import islands
+from thermarc.operators.residuals import exact_percentiles
+from thermarc.operators.windows import carried, islands, with_previous
 
 EPOCH = "1970-01-01"
 DISTINCT = 200
@@ -49,8 +53,7 @@ def long_events(log: DataFrame, least_hours: float = 6.0, statuses: tuple[str, .
 
 def interval_census(df: DataFrame, key: str, ts: str, top: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The most frequent intervals (delta_s, n), the largest gaps (key, start, end, delta_s), and irregular intervals of each key (other than its modal one)."""
-    w = Window.partitionBy(key).orderBy(ts)
-    steps = df.select(key, ts).where(F.col(ts).isNotNull()).distinct().withColumn("start", F.lag(ts).over(w)).where("start is not null")
+    steps = with_previous(df.select(key, ts).where(F.col(ts).isNotNull()).distinct(), [key], [ts], [ts]).withColumnRenamed(f"prev_{ts}", "start").where("start is not null")
     steps = steps.select(key, "start", F.col(ts).alias("end"), F.timestamp_diff("SECOND", F.col("start"), F.col(ts)).alias("delta_s"))
     modal = steps.groupBy(key).agg(F.mode("delta_s", True).alias("_m"), F.count("*").alias("n_intervals"))
     irregular = steps.join(F.broadcast(modal), key).groupBy(key, "n_intervals").agg(F.first("_m").alias("modal_s"), F.count_if(F.col("delta_s") != F.col("_m")).alias("n_irregular"))
@@ -85,35 +88,57 @@ def completeness(raw: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"{c}_p").alias("n_populated"), F.col(f"{c}_d").alias("n_dash"), F.col(f"{c}_e").alias("n_empty")) for c in columns])))
 
 
+def distinct_up_to(df: DataFrame, columns: list[str], most: int = DISTINCT) -> DataFrame:
+    """(column_name, n_distinct): the distinct values of each column, counted up to `most`; nulls are none.
+
+    A task keeps at most `most` values a column and looks at it no more when it has them; the sets then merge. So a row is
+    read once whatever the number of columns, and a task passes on columns x most values.
+    """
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, set] = {c: set() for c in columns}
+        for batch in batches:
+            for c, values in held.items():
+                if len(values) < most:
+                    new = pc.unique(batch.column(c)).drop_null().to_pylist()
+                    values.update(repr(v + 0.0) if isinstance(v, float) else repr(v) for v in new)
+        rows = [(c, v) for c, values in held.items() for v in sorted(values)[:most]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["column_name", "value"])
+
+    values = df.select(*columns).mapInArrow(seen, "column_name string, value string").distinct()
+    found = values.groupBy("column_name").agg(F.least(F.count("*"), F.lit(most)).alias("n_distinct"))
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    return every.join(found, "column_name", "left").na.fill(0, ["n_distinct"])
+
+
 def column_facts(df: DataFrame, columns: list[str], ts: str) -> DataFrame:
-    """Null share, first and last known time, range, mean, spread, distinct values (DISTINCT at most are told apart) and flags of each column; partial sums merge in Spark."""
+    """Null share, first and last known time, range, mean, spread, distinct values (DISTINCT at most are told apart) and flags of each column: two passes, whatever the number of columns; partial sums and sets merge in Spark."""
     one = df.agg(F.count("*").alias("_n"), *[x.alias(f"{c}__{n}") for c in columns for n, x in (
         ("known", F.count(c)), ("first", F.min(F.when(F.col(c).isNotNull(), F.col(ts)))), ("last", F.max(F.when(F.col(c).isNotNull(), F.col(ts)))),
-        ("low", F.min(c)), ("high", F.max(c)), ("mean", F.avg(c)), ("std", F.stddev_samp(c)), ("distinct", F.least(F.count_distinct(c), F.lit(DISTINCT))))])
+        ("low", F.min(c)), ("high", F.max(c)), ("mean", F.avg(c)), ("std", F.stddev_samp(c)))])
     row = lambda c: F.struct(
         F.lit(c).alias("column_name"), F.round(1 - F.col(f"{c}__known") / F.col("_n"), 6).alias("null_share"), F.col(f"{c}__first").alias("first_known"), F.col(f"{c}__last").alias("last_known"),
-        *[F.round(F.col(f"{c}__{n}"), 6).alias(n) for n in ("low", "high", "mean", "std")], (F.col(f"{c}__std") < 1e-6).alias("low_variance"), F.col(f"{c}__distinct").cast("long").alias("n_distinct"), (F.col(f"{c}__distinct") == 1).alias("constant"),
+        *[F.round(F.col(f"{c}__{n}"), 6).alias(n) for n in ("low", "high", "mean", "std")], (F.col(f"{c}__std") < 1e-6).alias("low_variance"),
     )
-    return one.select(F.inline(F.array(*[row(c) for c in columns])))
+    facts = one.select(F.inline(F.array(*[row(c) for c in columns])))
+    return facts.join(distinct_up_to(df, columns), "column_name").withColumn("constant", F.col("n_distinct") == 1)  # a row for each column
 
 
 def coverage_sessions(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     """Runs of covered times of a turbine without a step above its modal one: start, end, samples."""
-    w = Window.partitionBy("turbine_id").orderBy(ts)
-    steps = df.select("turbine_id", ts).distinct().withColumn("_d", F.timestamp_diff("SECOND", F.lag(ts).over(w), F.col(ts)))
+    steps = with_previous(df.select("turbine_id", ts).distinct(), ["turbine_id"], [ts], [ts]).withColumn("_d", F.timestamp_diff("SECOND", F.col(f"prev_{ts}"), F.col(ts))).drop(f"prev_{ts}")
     modal = steps.groupBy("turbine_id").agg(F.mode("_d", True).alias("_m"))
-    runs = islands(steps.join(F.broadcast(modal), "turbine_id"), ["turbine_id"], [ts], F.coalesce(F.col("_d") > F.col("_m"), F.lit(True)))
+    runs = islands(steps.join(F.broadcast(modal), "turbine_id"), ["turbine_id"], [ts], [ts], F.coalesce(F.col("_d") > F.col("_m"), F.lit(True)))
     return runs.groupBy("turbine_id", "island").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n")).drop("island")
 
 
 def as_of(left: DataFrame, right: DataFrame, at: str, ts: str, take: list[str], by: str = "turbine_id") -> DataFrame:
-    """Each left row with `take` of the last right row of its turbine at or before it: one sort of both together, no pairs."""
+    """Each left row with `take` of the last right row of its turbine at or before it: both are sorted together in cells, whose last right rows are carried on; no pairs, and no task holds a turbine."""
     a = left.select("*", F.col(at).alias("_t"), F.lit(1).alias("_side"), *[F.lit(None).cast(right.schema[c].dataType).alias(f"_{c}") for c in take])
     b = right.select(F.col(by), F.col(ts).alias("_t"), F.lit(0).alias("_side"), *[F.col(c).alias(f"_{c}") for c in take])
     both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    held = both.select("*", *[F.last(F.col(f"_{c}"), ignorenulls=True).over(w).alias(f"asof_{c}") for c in take])
-    return held.where("_side = 1").drop("_t", "_side", *[f"_{c}" for c in take])
+    held = carried(both, [by], ["_t", "_side"], F.when(F.col("_side") == 0, F.struct(*[f"_{c}" for c in take])), "_asof").where("_side = 1")
+    return held.withColumns({f"asof_{c}": F.col("_asof")[f"_{c}"] for c in take}).drop("_t", "_side", "_asof", *[f"_{c}" for c in take])
 
 
 def preceding_coverage(log: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -121,16 +146,19 @@ def preceding_coverage(log: DataFrame, sessions: DataFrame) -> DataFrame:
     rows = as_of(log, sessions, "start", "start", ["start", "end"])
     until = F.least(F.col("asof_end"), F.col("start"))
     h = F.when(F.col("asof_start").isNotNull(), F.timestamp_diff("SECOND", F.col("asof_start"), until) / 3600).otherwise(0.0)
-    return rows.withColumn("_h", h).groupBy("code").agg(
-        F.round(F.min("_h"), 6).alias("least"), F.round(F.median("_h"), 6).alias("median"), F.round(F.max("_h"), 6).alias("most"),
+    rows = rows.select("code", h.alias("_h"))
+    middle = exact_percentiles(rows, ["code"], "_h", {"_m": 0.5}).select(F.col("code").alias("_code"), "_m")
+    out = rows.groupBy("code").agg(
+        F.round(F.min("_h"), 6).alias("least"), F.round(F.max("_h"), 6).alias("most"),
         F.count_if(F.col("_h") >= 720).alias("n_month"), F.count_if(F.col("_h") == 0).alias("n_none"),
     )
+    return out.join(middle, F.col("code").eqNullSafe(F.col("_code"))).select("code", "least", F.round("_m", 6).alias("median"), "most", "n_month", "n_none")
 
 
 def occurrence_gaps(log: DataFrame, order: list[str]) -> DataFrame:
     """Hours from the end of the occurrence before, of the same turbine and code."""
-    w = Window.partitionBy("turbine_id", "code").orderBy("start", *order)
-    return log.withColumn("gap_hours", F.timestamp_diff("SECOND", F.lag("end").over(w), F.col("start")) / 3600)
+    rows = with_previous(log, ["turbine_id", "code"], ["start", *order], ["end"])
+    return rows.withColumn("gap_hours", F.timestamp_diff("SECOND", F.col("prev_end"), F.col("start")) / 3600).drop("prev_end")
 
 
 def keyword_candidates(df: DataFrame, text: list[str], keywords: list[str]) -> DataFrame:

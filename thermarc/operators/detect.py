@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermarc.errors import ConfigError
-from thermarc.operators.windows import islands, trailing
+from thermarc.operators.windows import at_home, islands, with_neighbours, with_previous
 
 STREAM = ("turbine_id", "target")
 YEAR_S = 365.25 * 86400
@@ -18,25 +18,40 @@ def _directions(x: Column, threshold: float) -> tuple[Column, Column]:
     return F.when(x > threshold, 1).otherwise(0), F.when(x < -threshold, 1).otherwise(0)
 
 
+def _over_last(df: DataFrame, n: int, keys, order, state) -> DataFrame:
+    """Adds what `state` makes of the window of the last n rows of the stream."""
+    rows, w = with_neighbours(df, list(keys), list(order), before=n - 1)
+    return at_home(rows.withColumn("state", state(w.rowsBetween(-(n - 1), 0))), "_t")
+
+
 def consecutive(df: DataFrame, value: str, threshold: float, n: int, keys=STREAM, order=("timestamp",)) -> DataFrame:
     """state: n exceedances in a row on one side, the last included."""
-    w = trailing(list(keys), list(order), n)
-    up, down = (F.sum(x).over(w) for x in _directions(F.col(value), threshold))
-    return df.withColumn("state", F.when(up == n, 1).when(down == n, -1).otherwise(0))
+
+    def state(w):
+        up, down = (F.sum(x).over(w) for x in _directions(F.col(value), threshold))
+        return F.when(up == n, 1).when(down == n, -1).otherwise(0)
+
+    return _over_last(df, n, keys, order, state)
 
 
 def rolling_count(df: DataFrame, value: str, threshold: float, window: int, k: int, keys=STREAM, order=("timestamp",)) -> DataFrame:
     """state: at least k exceedances on one side in the last `window` rows; up wins a tie."""
-    w = trailing(list(keys), list(order), window)
-    up, down = (F.sum(x).over(w) for x in _directions(F.col(value), threshold))
-    return df.withColumn("state", F.when((up >= k) & (up >= down), 1).when(down >= k, -1).otherwise(0))
+
+    def state(w):
+        up, down = (F.sum(x).over(w) for x in _directions(F.col(value), threshold))
+        return F.when((up >= k) & (up >= down), 1).when(down >= k, -1).otherwise(0)
+
+    return _over_last(df, window, keys, order, state)
 
 
 def rolling_mean(df: DataFrame, value: str, threshold: float, window: int, keys=STREAM, order=("timestamp",)) -> DataFrame:
     """state of the mean over full windows without a missing value."""
-    w = trailing(list(keys), list(order), window)
-    mean = F.when(F.count(value).over(w) == window, F.avg(value).over(w))
-    return df.withColumn("state", F.when(mean > threshold, 1).when(mean < -threshold, -1).otherwise(0))
+
+    def state(w):
+        mean = F.when(F.count(value).over(w) == window, F.avg(value).over(w))
+        return F.when(mean > threshold, 1).when(mean < -threshold, -1).otherwise(0)
+
+    return _over_last(df, window, keys, order, state)
 
 
 def coordinate(states: DataFrame, targets: list[str]) -> DataFrame:
@@ -55,14 +70,19 @@ def coordinated_alarms(states: DataFrame, n_targets: int, k: int | None = None)
 
 
 def rising(flag: str, keys=("turbine_id",), order=("timestamp",)) -> Column:
-    """The first row of a run of true flags."""
+    """The first row of a run of true flags, as an expression over whole streams; `rises` does not hold a stream in one task."""
     return F.col(flag) & ~F.coalesce(F.lag(flag).over(Window.partitionBy(*keys).orderBy(*order)), F.lit(False))
 
 
+def rises(flags: DataFrame, flag: str = "alarm", keys=("turbine_id",), order=("timestamp",), out: str = "edge") -> DataFrame:
+    """Adds whether a row is the first of a run of true flags."""
+    rows = with_previous(flags, list(keys), list(order), [flag])
+    return rows.withColumn(out, F.col(flag) & ~F.coalesce(f"prev_{flag}", F.lit(False))).drop(f"prev_{flag}")
+
+
 def turbine_years(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     """One row: the sum over turbines of last - first + median interval, in years."""
-    w = Window.partitionBy("turbine_id").orderBy(ts)
-    steps = df.select("turbine_id", ts).distinct().withColumn("_d", F.timestamp_diff("SECOND", F.lag(ts).over(w), F.col(ts)))
+    steps = with_previous(df.select("turbine_id", ts).distinct(), ["turbine_id"], [ts], [ts]).withColumn("_d", F.timestamp_diff("SECOND", F.col(f"prev_{ts}"), F.col(ts)))
     each = steps.groupBy("turbine_id").agg((F.timestamp_diff("SECOND", F.min(ts), F.max(ts)) + F.median("_d")).alias("_s"))
     return each.agg((F.sum("_s") / YEAR_S).alias("turbine_years"))
 
@@ -80,8 +100,7 @@ def sweep(states: DataFrame, base: float, n_targets: int, grid: list[float], k:
     # At least k targets are above exactly where the k-th highest level is.
     kth = F.when(F.col("_n") == n_targets, F.greatest(F.get("_up", F.lit(k - 1)), F.get("_down", F.lit(k - 1))))
     points = points.select("turbine_id", "timestamp", F.coalesce(kth, F.lit(float("-inf"))).alias("_kth"))
-    before = F.coalesce(F.lag("_kth").over(Window.partitionBy("turbine_id").orderBy("timestamp")), F.lit(float("-inf")))
-    points = points.withColumn("_before", before)
+    points = with_previous(points, ["turbine_id"], ["timestamp"], ["_kth"]).withColumn("_before", F.coalesce("prev__kth", F.lit(float("-inf"))))
     counts = points.agg(F.count("*").alias("n_points"), *[x for i, m in enumerate(grid) for x in (F.count_if(F.col("_kth") > m).alias(f"_a{i}"), F.count_if((F.col("_kth") > m) & (F.col("_before") <= m)).alias(f"_e{i}"))])
     rows = F.array(*[F.struct(F.lit(float(m)).alias("multiplier"), F.col(f"_e{i}").alias("n_events"), F.col(f"_a{i}").alias("n_alarmed")) for i, m in enumerate(grid)])
     curve = counts.select("n_points", F.inline(rows)).crossJoin(F.broadcast(turbine_years(points)))  # each row with the one of years
@@ -92,8 +111,8 @@ def match_rates(curve: DataFrame, rates: list[float]) -> DataFrame:
     """The multiplier of each rate: the strictest segment of the curve that brackets it, interpolated; null where none does."""
     if any(r < 0 for r in rates):
         raise ConfigError("a rate can't be negative", rates=rates)
-    w = Window.partitionBy("pipeline").orderBy("multiplier") if "pipeline" in curve.columns else Window.partitionBy(F.lit(0)).orderBy("multiplier")  # the curve has a row for each multiplier
-    by = ["pipeline"] if "pipeline" in curve.columns else []
+    by = [c for c in ("weight", "pipeline") if c in curve.columns]
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("multiplier")  # the curve has a row for each multiplier
     seg = curve.select(*by, F.col("multiplier").alias("m0"), F.col("events_per_year").alias("r0"), F.lead("multiplier").over(w).alias("m1"), F.lead("events_per_year").over(w).alias("r1"))
     wanted = seg.withColumn("rate", F.explode(F.array(*[F.lit(float(r)) for r in rates])))
     inside = (F.least("r0", "r1") <= F.col("rate")) & (F.col("rate") <= F.greatest("r0", "r1")) & F.col("m1").isNotNull()
@@ -116,8 +135,7 @@ def comparison(curves: DataFrame, rates: list[float]) -> DataFrame:
 
 def episodes(flags: DataFrame, flag: str = "alarm", keys=("turbine_id",), order=("timestamp",)) -> DataFrame:
     """Runs of true flags: first row and length."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    runs = islands(flags, list(keys), list(order), F.col(flag) != F.lag(flag).over(w)).where(F.col(flag))
+    runs = islands(flags, list(keys), list(order), [flag], F.col(flag) != F.col(f"prev_{flag}")).where(F.col(flag))
     return runs.groupBy(*keys, "island").agg(F.min(order[0]).alias("start"), F.count("*").alias("length")).drop("island")
 
 
@@ -137,6 +155,6 @@ def verdict(single: Column, single_sustained: Column, both: Column, both_sustain
 def slice_rate(flags: DataFrame, keys: DataFrame, step_minutes: float = 10.0) -> DataFrame:
     """Episodes a turbine-year over the rows of `keys` (turbine_id, timestamp), by row time."""
     part = flags.join(keys.select("turbine_id", "timestamp").distinct(), ["turbine_id", "timestamp"], "left_semi")
-    n = part.withColumn("_first", rising("alarm")).agg(F.count("*").alias("n_rows"), F.count_if("_first").alias("n_episodes"))
+    n = rises(part, out="_first").agg(F.count("*").alias("n_rows"), F.count_if("_first").alias("n_episodes"))
     years = F.col("n_rows") * step_minutes / (365.25 * 1440)
     return n.withColumn("rate", F.when(years > 0, F.col("n_episodes") / years))

@@ -28,8 +28,7 @@ def duration_seconds(text: str):
 
 def persistent_runs(states: DataFrame, least: int = 3, keys=("turbine_id", "target"), order=("timestamp",)) -> DataFrame:
     """Runs of one direction of at least `least` rows, at their first; another direction breaks a run."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    runs = islands(states, list(keys), list(order), F.col("state") != F.lag("state").over(w)).where("state <> 0")
+    runs = islands(states, list(keys), list(order), ["state"], F.col("state") != F.col("prev_state")).where("state <> 0")
     return runs.groupBy(*keys, "island", "state").agg(F.min(order[0]).alias("timestamp"), F.count("*").alias("length")).where(F.col("length") >= least).drop("island")
 
 

@@ -28,11 +28,11 @@ def rank(reason: Column) -> Column:
 
 
 def derive_windows(faults: DataFrame, maintenance: DataFrame, steps: DataFrame | None = None, alarms: DataFrame | None = None, pre_days: int = 30, post_days: int = 2, half_days: float = 1.0) -> DataFrame:
-    """(turbine_id, start, end, reason): faults and the days before, maintenance's days after, both sides of step changes, alarms."""
+    """(turbine_id, start, end, reason): faults and the days before, maintenance and the days after, both sides of step changes, alarms."""
     day = lambda n: F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(n) * 86400))
     cols = lambda df, a, b, why: df.select("turbine_id", a.alias("start"), b.alias("end"), F.lit(why).alias("reason"))
     out = cols(faults, F.col("start"), F.col("end"), "known_fault_period").unionByName(cols(faults, F.col("start") - day(pre_days), F.col("start"), "pre_fault_window"))
-    out = out.unionByName(cols(maintenance, F.col("end"), F.col("end") + day(post_days), "post_maintenance_window"))
+    out = out.unionByName(cols(maintenance, F.col("start"), F.col("end"), "maintenance_period")).unionByName(cols(maintenance, F.col("end"), F.col("end") + day(post_days), "post_maintenance_window"))
     if steps is not None:
         out = out.unionByName(cols(steps, F.col("timestamp") - day(half_days), F.col("timestamp") + day(half_days), "sensor_failure_or_step_change"))
     return out if alarms is None else out.unionByName(cols(alarms, F.col("start"), F.col("end"), "alarm_period"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermarc.errors import ConfigError, ConflictError
-from thermarc.operators.windows import islands, long_rows
+from thermarc.operators.windows import at_home, islands, long_rows, with_neighbours, with_previous
 
 
 def null_profile(df: DataFrame, columns: list[str], warn_at: float = 0.5) -> DataFrame:
@@ -39,8 +39,8 @@ def range_findings(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> Dat
 
 def deltas(df: DataFrame, key: str, ts: str) -> DataFrame:
     """Adds `delta_s`, the seconds since the row before of the same key."""
-    before = F.lag(ts).over(Window.partitionBy(key).orderBy(ts))
-    return df.withColumn("delta_s", F.timestamp_diff("SECOND", before, F.col(ts)))
+    rows = with_previous(df, [key], [ts], [ts])
+    return rows.withColumn("delta_s", F.timestamp_diff("SECOND", F.col(f"prev_{ts}"), F.col(ts))).drop(f"prev_{ts}")
 
 
 def timestamp_gaps(df: DataFrame, key: str, ts: str) -> DataFrame:
@@ -67,14 +67,17 @@ def dataset_report(df: DataFrame, key: str, ts: str) -> DataFrame:
 def step_changes(df: DataFrame, key: str, ts: str, value: str, window: int = 144, magnitude: float = 5.0) -> DataFrame:
     """Level shifts: the median of the `window` values up to a row against that from it on; one row, the largest, for each run of candidates."""
     known = df.where(F.col(value).isNotNull()).select(key, ts, value)
-    w = Window.partitionBy(key).orderBy(ts)
+    size = known.groupBy(F.struct(key).alias("_own")).agg(F.count("*").alias("_n"))
+    rows, w = with_neighbours(known, [key], [ts], window - 1, window - 1, "idx")
     behind, ahead = w.rowsBetween(-(window - 1), 0), w.rowsBetween(0, window - 1)
     middle = lambda frame: F.when(F.count(value).over(frame) >= window // 2, F.percentile(value, 0.5).over(frame))
-    rows = known.select("*", F.row_number().over(w).alias("idx"), F.count("*").over(Window.partitionBy(key)).alias("_n"), middle(behind).alias("before"), middle(ahead).alias("after"))
+    rows = at_home(rows.withColumns({"before": middle(behind), "after": middle(ahead)}))
+    rows = rows.withColumn("_own", F.struct(key)).join(size, "_own").drop("_own")
     hits = rows.where((F.col("_n") >= 2 * window) & (F.abs(F.col("after") - F.col("before")) > magnitude)).withColumn("delta", F.abs(F.col("after") - F.col("before")))
-    runs = islands(hits, [key], ["idx"], (F.col("idx") - F.lag("idx").over(Window.partitionBy(key).orderBy("idx"))) > window)
-    best = F.row_number().over(Window.partitionBy(key, "island").orderBy(F.desc("delta"), "idx"))
-    return runs.withColumn("_best", best).where("_best = 1").select(key, ts, *[F.round(c, 4).alias(n) for c, n in (("delta", "magnitude"), ("before", "before"), ("after", "after"))])
+    runs = islands(hits, [key], [ts, "idx"], ["idx"], (F.col("idx") - F.col("prev_idx")) > window)
+    best = F.max_by(F.struct(ts, "delta", "before", "after"), F.struct("delta", (-F.col("idx")).alias("_first")))
+    runs = runs.groupBy(key, "island").agg(best.alias("_best"))
+    return runs.select(key, f"_best.{ts}", *[F.round(f"_best.{c}", 4).alias(n) for c, n in (("delta", "magnitude"), ("before", "before"), ("after", "after"))])
 
 
 def dedup_conflicts(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thermarc.cluster import stored
 from thermarc.errors import FitError, GuardError
 from thermarc.operators.windows import numbered
 
@@ -39,30 +40,33 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[s
     """keys, n and the named percentiles of each group, exact and interpolated. Nulls are left out.
 
     Approximate quantiles bracket each order statistic; only the few values between them are kept apart, those
-    below are counted. So no task holds a group's values. The table of brackets has a row for each group, and is broadcast.
+    below are counted. So no task holds a group's values. The table of brackets has a row for each group; it is stored, so that Spark knows its
+    size: where it is small it is broadcast, where groups are many the rows meet it by their group, and hot groups are split.
     """
-    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    group = F.struct(*keys) if keys else F.lit(0)
+    known = df.where(F.col(value).isNotNull()).select(group.alias("_g"), F.col(value).alias("_v"))
     marks = [x for p in shares.values() for x in (max(0.0, p - 2 / ACCURACY), min(1.0, p + 2 / ACCURACY))]
-    rough = known.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("_v", marks, ACCURACY).alias("_q"))
-    held = known.join(F.broadcast(rough), keys) if keys else known.crossJoin(F.broadcast(rough))  # without keys, one row
+    rough = stored(known.groupBy("_g").agg(F.count("*").alias("n"), F.percentile_approx("_v", marks, ACCURACY).alias("_q")), "brackets")
+    held = known.join(rough, "_g")
     v, q, few = F.col("_v"), F.col("_q"), F.col("n") <= ACCURACY  # of few values the brackets hold all: a rank to the side would be outside
     below = lambda k: ~few & (v < q[2 * k])
     inside = lambda k: few | (v <= q[2 * k + 1])
     places = [F.when(below(k), F.struct(F.lit(k).alias("k"), F.lit(None).cast("double").alias("v"))).when(inside(k), F.struct(F.lit(k).alias("k"), v.cast("double").alias("v"))) for k in range(len(shares))]
-    counts = held.select(*keys, "n", F.inline(F.array_compact(F.array(*places)))).groupBy(*keys, "n", "k", "v").agg(F.count("*").alias("_rows"))
-    upto = F.sum("_rows").over(Window.partitionBy(*keys, "k").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    counts = held.select("_g", "n", F.inline(F.array_compact(F.array(*places)))).groupBy("_g", "n", "k", "v").agg(F.count("*").alias("_rows"))
+    upto = F.sum("_rows").over(Window.partitionBy("_g", "k").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
     share = F.get(F.array(*[F.lit(float(p)) for p in shares.values()]), F.col("k"))
     ranked = counts.withColumns({"_upto": upto, "_r": share * (F.col("n") - 1)})
     at = lambda r: F.min(F.when(F.col("_upto") > r, F.col("v")))
-    found = ranked.groupBy(*keys, "n", "k", "_r").agg(at(F.floor("_r")).alias("_lo"), at(F.ceil("_r")).alias("_hi"))
+    found = ranked.groupBy("_g", "n", "k", "_r").agg(at(F.floor("_r")).alias("_lo"), at(F.ceil("_r")).alias("_hi"))
     x = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_r") - F.floor("_r"))
-    return found.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("k") == k, x)).alias(name) for k, name in enumerate(shares)])
+    each = found.groupBy("_g", "n").agg(*[F.max(F.when(F.col("k") == k, x)).alias(name) for k, name in enumerate(shares)])
+    return each.select(*[F.col("_g")[k].alias(k) for k in keys], "n", *shares)
 
 
 def _mad(df: DataFrame, keys: list[str], value: str, center: str, scale: str) -> DataFrame:
     """Exact medians: of the values, then of the distances from it."""
-    middle = exact_percentiles(df, keys, value, {center: 0.5}).drop("n")
-    far = df.join(F.broadcast(middle), keys).withColumn("_far", F.abs(F.col(value) - F.col(center)))  # a row for each group
+    middle = stored(exact_percentiles(df, keys, value, {center: 0.5}).drop("n"), "medians")
+    far = df.select(*keys, value).join(middle, keys).withColumn("_far", F.abs(F.col(value) - F.col(center)))  # a row for each group
     return exact_percentiles(far, [*keys, center], "_far", {scale: 0.5}).withColumn(scale, MAD_SCALE * F.col(scale))
 
 
@@ -140,6 +144,23 @@ def ewma(long: DataFrame, lam: float = 0.2, keys: tuple[str, ...] = ("turbine_id
     return rows.where(F.col("_chunk") == home).drop("_chunk")
 
 
+def ewmas(long: DataFrame, lambdas: tuple[float, ...], keys: tuple[str, ...] = ("turbine_id", "target"), order: tuple[str, ...] = ("timestamp",), value: str = "normalized_residual") -> DataFrame:
+    """ewma_0, ewma_1, ... of several weights below 1 in one pass: chunks as long as the slowest weight needs. Also `t`."""
+    if not lambdas or not all(0 < x < 1 for x in lambdas):
+        raise FitError("the smoothing weights must be over 0 and below 1", lambdas=list(lambdas))
+    size = max(math.ceil(math.log(1e-18) / math.log(1 - x)) for x in lambdas)
+    if 2 * size * -math.log(1 - max(lambdas)) > 650:  # the growing weights of the fastest would leave the range of doubles
+        raise FitError("the smoothing weights are too far apart for one pass", lambdas=list(lambdas))
+    rows = numbered(long, order[0], list(order[1:]), "t", tuple(keys))
+    home = F.floor((F.col("t") - 1) / size)
+    rows = rows.withColumn("_chunk", F.explode(F.array(home, home + 1)))
+    k = F.col("t") - 1 - (F.col("_chunk") - 1) * size
+    within = Window.partitionBy(*keys, "_chunk").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    x = F.coalesce(F.col(value), F.lit(0.0))
+    rows = rows.withColumns({f"ewma_{i}": lam * F.pow(F.lit(1 - lam), k) * F.sum(x * F.pow(F.lit(1 - lam), -k)).over(within) for i, lam in enumerate(lambdas)})
+    return rows.where(F.col("_chunk") == home).drop("_chunk")
+
+
 def limit(lam: float, multiplier: float, sigma: Column, t: Column | None = None) -> Column:
     """The steady limit, or with t the one that starts small and grows to it."""
     steady = F.lit(multiplier) * sigma * math.sqrt(lam / (2 - lam))

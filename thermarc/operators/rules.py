@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import yaml
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thermarc.errors import RuleError
-from thermarc.operators.windows import islands
+from thermarc.operators.windows import islands, numbered
 
 #: The words that every rule's rationale must hold.
 OVERLAP_CAVEAT = "three of five gearbox failure modes share the oil-temperature signature"
@@ -84,10 +84,9 @@ def diagnostic_events(states: DataFrame, signals: list[str]) -> DataFrame:
     odd = F.lit(False)
     for s in signals:
         odd = odd | F.coalesce(F.col(f"state_{s}") != 0, F.lit(False))
-    w = Window.partitionBy("turbine_id").orderBy("timestamp")
-    rows = states.withColumn("_odd", odd)
-    rows = islands(rows, ["turbine_id"], ["timestamp"], F.col("_odd") != F.lag("_odd").over(w)).where("_odd")
-    place = F.row_number().over(Window.partitionBy("turbine_id", "island").orderBy("timestamp"))
+    rows = numbered(states.withColumns({"_odd": odd, "_stream": F.struct("turbine_id")}), "timestamp", [], "_t", ("_stream",)).drop("_stream")
+    rows = islands(rows, ["turbine_id"], ["timestamp", "_t"], ["_odd"], F.col("_odd") != F.col("prev__odd")).where("_odd")
+    place = (F.col("_t") - F.col("island")["_t"] + 1).cast("int")
     severity = F.array_max(F.array(*[F.abs(F.col(f"ewma_{s}")) for s in signals]))
     return rows.select("turbine_id", "timestamp", severity.alias("severity"), place.alias("persistence"), *[f"state_{s}" for s in signals])
 

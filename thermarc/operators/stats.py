@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermarc.errors import ConfigError, FitError
+from thermarc.operators.residuals import exact_percentiles
 from thermarc.operators.windows import numbered
 
 
@@ -125,10 +127,13 @@ def bootstrap(df: DataFrame, ts: str, order: list[str], terms: dict[str, Column]
 
 def describe(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """n, non-null, null share, mean, spread and quantiles, rounded to six places."""
-    p = F.percentile(value, F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    one = df.groupBy(*by).agg(F.count("*").alias("n"), F.count(value).alias("n_known"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), p.alias("_p"))
+    shares = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+    one = df.groupBy(*by).agg(F.count("*").alias("n"), F.count(value).alias("n_known"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    ends = exact_percentiles(df, by, value, shares).drop("n").withColumnsRenamed({c: f"_{c}" for c in by})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.lit(True))
+    one = one.join(ends, same, "left")
     r = lambda c: F.round(c, 6)
-    return one.select(*by, "n", "n_known", r(1 - F.col("n_known") / F.col("n")).alias("null_share"), *[r(c).alias(c) for c in ("mean", "std", "min", "max")], *[r(F.col("_p")[k]).alias(q) for k, q in enumerate(("p05", "p25", "median", "p75", "p95"))])
+    return one.select(*by, "n", "n_known", r(1 - F.col("n_known") / F.col("n")).alias("null_share"), *[r(c).alias(c) for c in ("mean", "std", "min", "max")], *[r(q).alias(q) for q in shares])
 
 
 def tornado(outcomes: DataFrame) -> DataFrame:

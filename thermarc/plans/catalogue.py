@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermarc.cluster import stored
-from thermarc.operators import census, detect, events, healthy, models, quality, residuals, rules, split, stats
+from thermarc.config import Config, Model, Tuning
+from thermarc.operators import census, detect, events, healthy, matched, models, quality, residuals, rules, split, stats
 from thermarc.plans import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -791,8 +793,6 @@ def ols_baseline_multi(spark, sf_dir):
 
 def small_search():
     """Four of the twelve configured candidates, with 10 of 600 trees: a tree is a Spark job a level, whatever the rows (README has the times)."""
-    from thermarc.config import Tuning
-
     return Tuning(depths=(4,), n_estimators=10)
 
 
@@ -820,6 +820,26 @@ def tuning_grid(spark, sf_dir):
     return spark.createDataFrame([(x["max_depth"], x["learning_rate"], x["subsample"], x["score"]) for x in trials], "max_depth int, learning_rate double, subsample double, score double")
 
 
+@query()
+def joint_nbm(spark, sf_dir):
+    """Joint trees of both targets: the first candidate of the small search, with the patience of the configuration."""
+    t = small_search()
+    train, validation = _parts(spark, sf_dir)
+    m = models.create("joint", **t.fixed(), **t.candidates()[0]).fit(train, _features(), schema_of_events(), validation=validation)
+    return m.predict(A.scada_days(spark, sf_dir)).select("turbine_id", "timestamp", *[F.round(f"prediction_{t}", 5).alias(f"prediction_{t}") for t in A.TARGETS])
+
+
+@query()
+def joint_tuning_grid(spark, sf_dir):
+    """All twelve configured candidates, of as many trees as the small search; they grow together, so the deepest one's levels are the jobs."""
+    t = dataclasses.replace(Tuning(), n_estimators=small_search().n_estimators)
+    train, validation = _parts(spark, sf_dir)
+    base = models.create("linear", "baseline").fit(train, _features(), schema_of_events())
+    errors = models.target_rmse(base.predict(validation), tuple(A.TARGETS), "baseline")
+    _, trials = models.tune(train, validation, _features(), schema_of_events(), t.candidates(), errors, t.selection, kind="joint", **t.fixed())
+    return spark.createDataFrame([(x["max_depth"], x["learning_rate"], x["subsample"], x["score"], x["best_iteration"]) for x in trials], "max_depth int, learning_rate double, subsample double, score double, best_iteration int")
+
+
 _WITHOUT = " union all ".join(
     f"select '{A.PREDICTORS[k - 1]}' as without, target, vy - (s{j}{j} * c{i} * c{i} - 2 * s{i}{j} * c{i} * c{j} + s{i}{i} * c{j} * c{j}) / (s{i}{i} * s{j}{j} - s{i}{j} * s{i}{j}) as v from be" for i, j, k in ((2, 3, 1), (1, 3, 2), (1, 2, 3))
 )
@@ -838,7 +858,6 @@ def predictor_ablation(spark, sf_dir):
 
 def _experiment(spark, sf_dir):
     """The experiment over days with the small search and the log's explicit windows."""
-    from thermarc.config import Config, Model
     from thermarc.plans import experiment
 
     windows = A.exclusion_windows(spark, sf_dir).drop("window_id")
@@ -850,3 +869,125 @@ def pipeline_end_to_end(spark, sf_dir):
     """Metrics of an experiment: main model and baseline, validation and test."""
     got = _experiment(spark, sf_dir)
     return spark.createDataFrame([(m["role"], m["model"], m["partition"], m["target"], m["n"], m["rmse"], m["bias"]) for m in got.metrics], "role string, model string, partition string, target string, n long, rmse double, bias double")
+
+
+@query()
+def experiment_report(spark, sf_dir):
+    """What an experiment with joint trees says: accuracy with bootstrap intervals and the comparison with the baseline, alarms in control, events against detections, and the
+    diagnosis, as (section, item, name, value). The log's communication codes are the faults, its warnings the alarms' windows."""
+    from thermarc.plans import experiment
+
+    log = A.status_log(spark, sf_dir).where("end is not null and end > start")
+    of = lambda status: log.where(F.col("status") == status).select(F.col("occurrence_id").cast("string").alias("event_id"), "turbine_id", "start", "end")
+    config = Config(model=Model(name="joint", tuning=small_search()))
+    config = config.override("healthy_state.fault_pre_exclusion_days", 1).override("detection.control_limit_sigma", 1.0).override("detection.persistence", 2)
+    got = experiment.run(A.scada_days(spark, sf_dir), config, schema_of_events(), A.exclusion_windows(spark, sf_dir).drop("window_id"), faults=of("Communication"))
+    rows = [("trial", f"{t['max_depth']}/{t['learning_rate']}/{t['subsample']}", "score", t["score"]) for t in got.trials]
+    for r in experiment.accuracy(got, config, replicates=200, parts=("test",)):
+        rows += [("accuracy", f"{r['role']}/{r['target']}", k, float(v)) for k, v in r.items() if isinstance(v, int | float)]
+    rows += [("in_control", r["target"], k, float(r[k])) for r in got.in_control for k in ("n_points", "n_exceed", "empirical_rate", "theoretical_rate")]
+    rows += [("events", "all", k, float(v)) for k, v in (got.evaluation or {}).items() if v is not None]
+    said = experiment.diagnosis(got, config)
+    n = said.agg(F.count("*").alias("n"), F.count_if(F.contains(F.col("text"), F.lit("FMEA-"))).alias("n_explained")).first()
+    rows += [("diagnosis", "all", k, float(n[k])) for k in ("n", "n_explained")]
+    return spark.createDataFrame(rows, "section string, item string, name string, value double")
+
+
+# ---- pipelines at matched rates, for several smoothing weights
+
+SWEEP_BASE, SWEEP_EXTENSION, SWEEP_STEP, SWEEP_END = tuple(0.5 + 0.25 * k for k in range(9)), (2.75, 3.0, 3.25), 0.5, 6.0
+SWEEP_RATES = (200.0, 100.0, 60.0, 30.0, 10.0)
+HALF = "2024-01-16"
+
+
+def sweep_points(spark, sf_dir) -> DataFrame:
+    """Levels of both targets on a common grid: the last of each turbine, target and six hours, for three weights."""
+    n = normalized(spark, sf_dir)
+    smoothed = residuals.ewmas(n, matched.LAMBDAS, order=("timestamp", "event_id"))
+    cell = F.date_trunc("DAY", "timestamp").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.floor(F.hour("timestamp") / 6) * 6).cast("int"))
+    last = [F.max_by(f"ewma_{i}", F.struct("timestamp", "event_id")).alias(f"ewma_{i}") for i in range(len(matched.LAMBDAS))]
+    cells = smoothed.where(F.col("target").isin(TWO)).groupBy("turbine_id", "target", cell.alias("timestamp")).agg(*last)
+    return matched.points(cells, residuals.sigmas_of(n), TWO)
+
+
+def _values(numbers) -> str:
+    return ", ".join(map(str, numbers))
+
+
+_LEVELS = f""", lam as (select unnest([{_values(matched.LAMBDAS)}])::double as weight),
+e3 as (select a.turbine_id, a.target, a.timestamp, a.t, weight, sum(weight * pow(1 - weight, a.t - b.t) * b.normalized_residual) as ewma
+  from seq a join seq b on a.turbine_id = b.turbine_id and a.target = b.target and b.t <= a.t and a.t - b.t < 400, lam where a.target in ('error', 'purchase') group by all),
+g3 as (select turbine_id, target, weight, date_trunc('day', timestamp)::timestamp + to_hours((hour(timestamp) // 6 * 6)::int) as timestamp, arg_max(ewma, t) as ewma from e3 group by all),
+l3 as (select turbine_id, weight, timestamp, max(ewma / (sigma * sqrt(weight / (2 - weight)))) filter (target = 'error') as a, max(ewma / (sigma * sqrt(weight / (2 - weight)))) filter (target = 'purchase') as b from g3 join sig using (target) group by all),
+pp as (select turbine_id, weight, timestamp, 'single_error' as pipeline, abs(a) as level from l3 where a is not null union all select turbine_id, weight, timestamp, 'single_purchase', abs(b) from l3 where b is not null
+  union all select turbine_id, weight, timestamp, 'single_union', case when a is not null and b is not null then greatest(abs(a), abs(b)) else '-infinity'::double end from l3
+  union all select turbine_id, weight, timestamp, 'coordinated', case when a is not null and b is not null then greatest(least(a, b), least(-a, -b)) else '-infinity'::double end from l3),
+pv as (select *, coalesce(lag(level) over (partition by turbine_id, weight, pipeline order by timestamp), '-infinity'::double) as before from pp where {{part}}),
+py as (select pipeline, sum(s) / (365.25 * 86400) as turbine_years from (select pipeline, turbine_id, date_diff('second', min(timestamp), max(timestamp)) + median(d) as s
+  from (select pipeline, turbine_id, timestamp, date_diff('second', lag(timestamp) over (partition by pipeline, turbine_id order by timestamp), timestamp) as d from (select distinct pipeline, turbine_id, timestamp from pv)) group by 1, 2) group by 1)"""
+
+
+@query(BASE + _LEVELS.format(part="true") + f""", gr as (select unnest([{_values(sorted({*matched.BASE, *matched.EXTENSION, *SWEEP_BASE, *SWEEP_EXTENSION}))}])::double as multiplier)
+select weight, pipeline, multiplier, count(*) filter (level > multiplier and before <= multiplier) as n_events, count(*) filter (level > multiplier) as n_alarmed, count(*) as n_points,
+  round(count(*) filter (level > multiplier and before <= multiplier) / any_value(turbine_years), 6) as events_per_year
+from pv join py using (pipeline), gr group by 1, 2, 3""")
+def sweep_curves(spark, sf_dir):
+    """The operating curves of three weights and four pipelines, from one histogram."""
+    seen = stored(matched.with_before(sweep_points(spark, sf_dir)), "points")
+    grid = sorted({*matched.BASE, *matched.EXTENSION, *SWEEP_BASE, *SWEEP_EXTENSION})
+    curve = matched.rated(matched.curves(seen, grid), matched.years(seen, TWO))
+    return rounded(curve.drop("turbine_years"), "events_per_year")
+
+
+def _sweep_report_sql() -> str:
+    wide = sorted({*SWEEP_BASE, *SWEEP_EXTENSION, *[SWEEP_BASE[-1] + SWEEP_STEP * k for k in range(9)], *[SWEEP_EXTENSION[-1] + SWEEP_STEP * k for k in range(7)]})
+    wide = [m for m in wide if m <= SWEEP_END]
+    least = min(SWEEP_RATES)
+    match = lambda out, curve: f"""{out}_seg as (select weight, pipeline, multiplier as m0, rate0 as r0, lead(multiplier) over w as m1, lead(rate0) over w as r1 from {curve} window w as (partition by weight, pipeline order by multiplier)),
+{out} as (select weight, pipeline, rate, arg_max(m, m1) filter (inside) as multiplier from (select weight, pipeline, rate, m1, case when r0 = r1 then m1 else m0 + (r0 - rate) / (r0 - r1) * (m1 - m0) end as m,
+  m1 is not null and rate between least(r0, r1) and greatest(r0, r1) as inside from {out}_seg, rates) group by 1, 2, 3)"""
+    runs = lambda out, points, at: f"""{out} as (select weight, pipeline, rate, turbine_id, run, count(*) as length from (select *, sum(case when before <= multiplier then 1 else 0 end) over (partition by weight, pipeline, rate, turbine_id order by timestamp) as run
+  from {points} join {at} using (weight, pipeline) where level > multiplier) group by all)"""
+    counts = ", ".join(f"count(*) filter (length < {b}) as isolated_{b}, count(*) filter (length >= {b}) as sustained_{b}" for b in matched.BOUNDARIES)
+    zero = ", ".join(f"case when reachable then coalesce({k}_{b}, 0) end as {k}_{b}" for b in matched.BOUNDARIES for k in ("isolated", "sustained"))
+    said = ", ".join(
+        f"""case when u.achieved is null or c.achieved is null then null when abs(u.achieved - c.achieved) > 0.05 * greatest(u.achieved, c.achieved) then 'not interpretable'
+  when c.isolated_{b} < u.isolated_{b} and (case when u.sustained_{b} = 0 then c.sustained_{b} = 0 else abs(c.sustained_{b} - u.sustained_{b}) <= 0.2 * u.sustained_{b} end) then 'met' when c.isolated_{b} < u.isolated_{b} then 'trade-off' else 'not met' end as verdict_{b}"""
+        for b in matched.BOUNDARIES
+    )
+    return (BASE + ", " + A.SCADA + _LEVELS.format(part=f"timestamp < '{HALF}'") + f""",
+sv as (select *, coalesce(lag(level) over (partition by turbine_id, weight, pipeline order by timestamp), '-infinity'::double) as before from pp
+  semi join (select turbine_id, timestamp from scada where wind_speed > 80) k using (turbine_id, timestamp) where timestamp >= '{HALF}'),
+gr as (select unnest([{_values(wide)}])::double as multiplier), rates as (select unnest([{_values(SWEEP_RATES)}])::double as rate),
+cu as (select weight, pipeline, multiplier, count(*) filter (level > multiplier and before <= multiplier) / any_value(turbine_years) as rate0 from pv join py using (pipeline), gr group by 1, 2, 3),
+en as (select weight, min(rate0) > {least} as more from cu where multiplier = {SWEEP_BASE[-1]} and pipeline in ('single_union', 'coordinated') group by 1),
+cv as (select cu.* from cu join en using (weight) where multiplier in ({_values(SWEEP_BASE)}) or (more and multiplier in ({_values(SWEEP_EXTENSION)}))),
+su as (select weight, pipeline, multiplier, count(*) filter (level > multiplier and before <= multiplier) / (count(*) * 360.0 / (365.25 * 1440)) as rate0, count(*) * 360.0 / (365.25 * 1440) as slice_years from sv, gr group by 1, 2, 3),
+la as (select weight, max(multiplier) as last from cv group by 1),
+strict as (select weight, multiplier, min(rate0) as lowest from su join la using (weight) where pipeline in ('single_union', 'coordinated') and multiplier >= last and ((multiplier - last) / {SWEEP_STEP}) % 1 = 0 group by 1, 2),
+ch as (select weight, multiplier from (select *, coalesce(max((lowest <= {least})::int) over (partition by weight order by multiplier rows between unbounded preceding and 1 preceding), 0) as low from strict) where low = 0),
+us as (select su.* from su semi join (select weight, multiplier from cv union select * from ch) g using (weight, multiplier)),
+{match("ma", "cv")}, {match("ms", "us")},
+{runs("ep", "pv", "ma")}, {runs("es", "sv", "ma")}, {runs("eb", "pv", "ms")},
+nv as (select weight, pipeline, rate, count(*) as n_episodes, quantile_cont(length, 0.5)::double as median_length, quantile_cont(length, 0.9)::double as p90_length, {counts} from ep group by 1, 2, 3),
+ns as (select weight, pipeline, rate, count(*) as slice_episodes from es group by 1, 2, 3), nb as (select weight, pipeline, rate, count(*) as back from eb group by 1, 2, 3),
+sy as (select weight, pipeline, max(slice_years) as slice_years from us group by 1, 2),
+o as (select ma.weight, ma.pipeline, ma.rate, ma.multiplier is not null as reachable, ma.multiplier, case when ma.multiplier is not null then coalesce(nv.n_episodes, 0) / turbine_years end as achieved,
+  case when ma.multiplier is not null then coalesce(nv.n_episodes, 0) end as n_episodes, median_length, p90_length, nv.* exclude (weight, pipeline, rate, n_episodes, median_length, p90_length), 1 / turbine_years as resolution, ma.rate * turbine_years < 10 as coarse,
+  case when ma.multiplier is not null then coalesce(slice_episodes, 0) / slice_years end as slice_achieved, ms.multiplier as slice_multiplier, case when ms.multiplier is not null then coalesce(back, 0) / turbine_years end as validation_at_slice
+  from ma join py using (pipeline) left join nv using (weight, pipeline, rate) left join ns using (weight, pipeline, rate) left join ms using (weight, pipeline, rate) left join nb using (weight, pipeline, rate) left join sy using (weight, pipeline)),
+z as (select * replace ({zero}) from o),
+v as (select u.weight, u.rate, {said} from z u join z c on u.weight = c.weight and u.rate = c.rate where u.pipeline = 'single_union' and c.pipeline = 'coordinated')
+select z.weight, z.pipeline, z.rate, reachable, round(multiplier, 6) as multiplier, round(achieved, 6) as achieved, n_episodes, median_length, round(p90_length, 6) as p90_length, {", ".join(f"{k}_{b}" for b in matched.BOUNDARIES for k in ("isolated", "sustained"))},
+  round(resolution, 6) as resolution, coarse, round(slice_achieved, 6) as slice_achieved, round(slice_multiplier, 6) as slice_multiplier, round(validation_at_slice, 6) as validation_at_slice, {", ".join(f"verdict_{b}" for b in matched.BOUNDARIES)}
+from z join v using (weight, rate)""")
+
+
+@query(_sweep_report_sql())
+def sweep_report(spark, sf_dir):
+    """Weights, rates and pipelines: matched on the first half of the month, looked at over the windy rows of the second."""
+    table = stored(sweep_points(spark, sf_dir), "points")
+    keys = A.scada(spark, sf_dir).where("wind_speed > 80")
+    day = F.lit(HALF).cast("timestamp_ntz")
+    report, _ = matched.matched(table.where(F.col("timestamp") < day), table.where(F.col("timestamp") >= day), keys, TWO, rates=SWEEP_RATES, base=SWEEP_BASE, extension=SWEEP_EXTENSION, slice_step=SWEEP_STEP, slice_end=SWEEP_END, step_minutes=360.0)
+    return rounded(report, "multiplier", "achieved", "p90_length", "resolution", "slice_achieved", "slice_multiplier", "validation_at_slice")
