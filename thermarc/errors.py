@@ -21,6 +21,10 @@ class IngestError(ThermarcError):
     """A source can't be read as declared."""
 
 
+class ProvenanceError(ThermarcError):
+    """Rows without a known source, or a source that isn't what it was."""
+
+
 class ConflictError(IngestError):
     """Rows with one key have different contents."""
 

@@ -92,11 +92,15 @@ def dedup_keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
 
 
+def check_conflicts(df: DataFrame, keys: list[str]) -> None:
+    """Rows with one key and different contents are refused: to choose one would make up a record."""
+    if clash := dedup_conflicts(df, keys).limit(5).collect():
+        raise ConflictError("rows with one key have different contents", examples=[tuple(r[k] for k in keys) for r in clash])
+
+
 def deduplicate(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """dedup_keep_first, after a check that rows with one key agree."""
-    clash = dedup_conflicts(df.drop(*[c for c in order if c not in keys]), keys).limit(5).collect()
-    if clash:
-        raise ConflictError("rows with one key have different contents", examples=[tuple(r[k] for k in keys) for r in clash])
+    check_conflicts(df.drop(*[c for c in order if c not in keys]), keys)
     return dedup_keep_first(df, keys, order)
 
 

@@ -38,6 +38,28 @@ def rolling_folds(df: DataFrame, ts: str, order: list[str], k: int) -> DataFrame
     return rows.withColumn("fold", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_block")).cast("int"), F.lit(k)))).withColumn("part", F.when(F.col("_block") < F.col("fold"), "train").otherwise("test")).drop("_block", "row_no")
 
 
+#: Months that a training span needs to see all seasons.
+YEAR_MONTHS = 12
+
+
+def coverage_warnings(df: DataFrame, ts: str, ambient: str | None = None) -> DataFrame:
+    """(code, detail): a training span of under twelve months, months tested but not trained, and test values of the ambient condition beyond the trained ones. Each
+    may look like degradation in the test part."""
+    c = seasonal_coverage(df, ts)
+    part = lambda p: F.when(F.col("partition") == p, F.col(ambient))
+    found = [
+        F.when(F.col("train_months") < YEAR_MONTHS, F.struct(F.lit("SHORT_TRAINING").alias("code"), F.col("train_months").cast("string").alias("detail"))),
+        F.when(F.col("untrained") != "", F.struct(F.lit("UNTRAINED_MONTHS").alias("code"), F.col("untrained").alias("detail"))),
+    ]
+    if ambient:
+        r = df.agg(*[F.round(f(part(p)), 3).alias(f"_{n}_{p}") for p in ("train", "test") for n, f in (("low", F.min), ("high", F.max))])
+        c = c.crossJoin(r)  # one row with one row
+        beyond = (F.col("_low_test") < F.col("_low_train")) | (F.col("_high_test") > F.col("_high_train"))
+        span = F.concat_ws(" ", *[x for p in ("train", "test") for x in (F.lit(p), F.col(f"_low_{p}").cast("string"), F.lit("to"), F.col(f"_high_{p}").cast("string"))])
+        found.append(F.when(beyond, F.struct(F.lit("AMBIENT_BEYOND_TRAINING").alias("code"), span.alias("detail"))))
+    return c.select(F.inline(F.array_compact(F.array(*found))))
+
+
 def seasonal_coverage(df: DataFrame, ts: str, ambient: str | None = None) -> DataFrame:
     """Months of the training span and calendar months of each part; months tested but not trained."""
     train, test = F.col("partition") == "train", F.col("partition") == "test"

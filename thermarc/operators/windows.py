@@ -36,9 +36,9 @@ def time_cell(ts: str) -> Column:
     return F.coalesce(F.floor(days / CELL_DAYS), F.lit(_FIRST)).cast("long")
 
 
-def _in_cells(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
+def _in_cells(df: DataFrame, keys: list[str], ts: str, cell: Column | None = None) -> DataFrame:
     """Adds _stream (the keys as one value, null keys too) and _cell."""
-    return df.withColumns({"_stream": F.struct(*keys) if keys else F.lit(0), "_cell": time_cell(ts)})
+    return df.withColumns({"_stream": F.struct(*keys) if keys else F.lit(0), "_cell": time_cell(ts) if cell is None else cell})
 
 
 def _carried_on(cells: DataFrame, end: str, skip_nulls: bool) -> DataFrame:
@@ -47,12 +47,12 @@ def _carried_on(cells: DataFrame, end: str, skip_nulls: bool) -> DataFrame:
     return cells.select("_stream", "_cell", (F.last(end, ignorenulls=True).over(before) if skip_nulls else F.last(end).over(before)).alias("_carry"))
 
 
-def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str], skip_nulls: bool = False) -> DataFrame:
+def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str], skip_nulls: bool = False, cell: Column | None = None) -> DataFrame:
     """Adds prev_<column>: the value in the row before of the stream; null for the first. With skip_nulls, of each column the last
-    value before the row that isn't null. order begins with a time."""
+    value before the row that isn't null. order begins with a time, or `cell` says which rows are looked at together, in the same order."""
     if skip_nulls:
         w = Window.partitionBy("_stream", "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        rows = _in_cells(df, keys, order[0]).withColumns({f"prev_{c}": F.last(c, ignorenulls=True).over(w) for c in columns})
+        rows = _in_cells(df, keys, order[0], cell).withColumns({f"prev_{c}": F.last(c, ignorenulls=True).over(w) for c in columns})
         end = F.struct(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in columns])
         before = Window.partitionBy("_stream").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
         ends = rows.groupBy("_stream", "_cell").agg(end.alias("_end"))
@@ -60,7 +60,7 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: lis
         rows = rows.join(ends, ["_stream", "_cell"], "left")
         return rows.withColumns({f"prev_{c}": F.coalesce(f"prev_{c}", f"_carry_{c}") for c in columns}).drop("_stream", "_cell", *[f"_carry_{c}" for c in columns])
     held, w = F.struct(*columns), Window.partitionBy("_stream", "_cell").orderBy(*order)
-    rows = _in_cells(df, keys, order[0]).withColumn("_before", F.lag(held).over(w))
+    rows = _in_cells(df, keys, order[0], cell).withColumn("_before", F.lag(held).over(w))
     ends = rows.groupBy("_stream", "_cell").agg(F.max_by(held, F.struct(*order)).alias("_end"))
     rows = rows.join(_carried_on(ends, "_end", False), ["_stream", "_cell"], "left")
     return rows.withColumn("_before", F.coalesce("_before", "_carry")).withColumns({f"prev_{c}": F.col("_before")[c] for c in columns}).drop("_before", "_carry", "_stream", "_cell")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from thermarc.cluster import stored
 from thermarc.config import Config, Model, Tuning
-from thermarc.operators import census, detect, events, healthy, matched, models, quality, residuals, rules, split, stats
+from thermarc.operators import census, detect, events, findings, healthy, matched, models, quality, residuals, rules, split, stats
 from thermarc.plans import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -991,3 +991,47 @@ def sweep_report(spark, sf_dir):
     day = F.lit(HALF).cast("timestamp_ntz")
     report, _ = matched.matched(table.where(F.col("timestamp") < day), table.where(F.col("timestamp") >= day), keys, TWO, rates=SWEEP_RATES, base=SWEEP_BASE, extension=SWEEP_EXTENSION, slice_step=SWEEP_STEP, slice_end=SWEEP_END, step_minutes=360.0)
     return rounded(report, "multiplier", "achieved", "p90_length", "resolution", "slice_achieved", "slice_multiplier", "validation_at_slice")
+
+
+# ---- findings
+
+
+def _logged(spark, sf_dir) -> DataFrame:
+    """Events as canonical rows with one channel each, in the order of their ids; some without a time, one channel never measured and one always the same."""
+    e = A.table(spark, sf_dir, "events")
+    channels = [F.when(F.col("event_type") == k, F.col("value")).alias(c) for k, c in A.CHANNELS.items()]
+    return e.select("event_id", A.turbine("user_id").alias("turbine_id"), F.when(F.col("event_id") % 97 != 0, F.col("ts")).alias("timestamp"), *channels, F.lit(None).cast("double").alias("rotor_speed"), F.lit(1.0).alias("pitch_angle"))
+
+
+_LOGGED_COLUMNS = ["turbine_id", "timestamp", *A.CHANNELS.values(), "rotor_speed", "pitch_angle"]
+_FINDINGS = W + f"""base as (select event_id, 'T' || (user_id % 6 + 1) as turbine_id, case when event_id % 97 <> 0 then ts end as timestamp, {", ".join(f"case when event_type = '{k}' then value end as {c}" for k, c in A.CHANNELS.items())}, null::double as rotor_speed, 1.0::double as pitch_angle from events),
+o as (select *, lag(timestamp) over (partition by turbine_id order by timestamp nulls first, event_id) as prev, lag(timestamp) over (partition by turbine_id order by event_id) as prior from base),
+st as (select turbine_id, date_sub('second', prev, timestamp) as d, count(*) as n from o where prev is not null and timestamp is not null group by 1, 2),
+mo as (select turbine_id, d as modal from st qualify row_number() over (partition by turbine_id order by n desc, d) = 1),
+f as (
+  select 'TIMESTAMP' as rule, 'ERROR' as level, 'TIMESTAMP.UNPARSEABLE' as code, null as subject, count(*) as n, 'times that could not be read' as message, null as detail from o where timestamp is null having count(*) > 0
+  union all select 'TIMESTAMP', 'WARNING', 'TIMESTAMP.DUPLICATE', null, count(*), 'rows of a turbine with a time that it has already', null from o where prev = timestamp having count(*) > 0
+  union all select 'TIMESTAMP', 'ERROR', 'TIMESTAMP.NAIVE', 'timestamp', null, 'times without a time zone', null
+  union all select 'TIMESTAMP', 'INFO', 'TIMESTAMP.ORDER', turbine_id, count(*), 'rows that stand after later ones', null from o where timestamp < prior group by 4
+  union all select 'TIMESTAMP', 'WARNING', 'TIMESTAMP.GAP', turbine_id, sum(n)::bigint, 'steps longer than the usual one', 'usual ' || any_value(modal) || ' largest ' || max(d) from st join mo using (turbine_id) where d > modal group by 4
+  union all select 'SCHEMA', 'WARNING', 'SCHEMA.VERSION', '0.9.0', null, 'made under another version of the schema', '1.0.0'
+  """ + "".join(f"""union all select 'MISSING', case when count(*) filter ({c} is null) / count(*) >= 0.5 then 'WARNING' else 'INFO' end, 'MISSING.NULLS', '{c}', count(*) filter ({c} is null), 'missing values', round(count(*) filter ({c} is null) / count(*), 6)::varchar from o having count(*) filter ({c} is null) > 0
+  union all select 'CONSTANT', 'WARNING', 'CONSTANT.EMPTY', '{c}', null, 'no value at all', null from o having count({c}) = 0
+  union all select 'CONSTANT', 'INFO', 'CONSTANT.SINGLE_VALUE', '{c}', null, 'one value only', null from o having count({c}) > 0 and min({c}) = max({c})
+  """ for c in _LOGGED_COLUMNS) + "".join(f"union all select 'RANGE', 'ERROR', 'RANGE.IMPOSSIBLE', '{c}', count(*), 'values outside their bounds', '{lo} to {hi}' from o where {c} < {lo} or {c} > {hi} having count(*) > 0\n  " for c, (lo, hi) in BOUNDS.items()) + ") select * from f"
+
+
+@query(_FINDINGS)
+def validation_findings(spark, sf_dir):
+    """All rules' findings, from one aggregation."""
+    return findings.validate(_logged(spark, sf_dir), schema_of_events(), version="0.9.0", sequence="event_id")
+
+
+@query(W + A.SCADA + """, p as (select *, case when timestamp < '2024-01-12' then 'train' when timestamp < '2024-01-16' then 'validation' else 'test' end as partition from scada),
+m as (select round(floor(date_diff('second', min(timestamp) filter (partition = 'train'), max(timestamp) filter (partition = 'train')) / 86400) / 30.4375, 3) as months, round(min(ambient_temperature) filter (partition = 'train'), 3) as a, round(max(ambient_temperature) filter (partition = 'train'), 3) as b,
+  round(min(ambient_temperature) filter (partition = 'test'), 3) as c, round(max(ambient_temperature) filter (partition = 'test'), 3) as d from p),
+u as (select string_agg(distinct month(timestamp)::varchar, ',' order by month(timestamp)::varchar) as untrained from p where partition = 'test' and month(timestamp) not in (select month(timestamp) from p where partition = 'train'))
+select 'SHORT_TRAINING' as code, months::varchar as detail from m where months < 12 union all select 'UNTRAINED_MONTHS', untrained from u where untrained is not null
+union all select 'AMBIENT_BEYOND_TRAINING', 'train ' || a || ' to ' || b || ' test ' || c || ' to ' || d from m where c < a or d > b""")
+def coverage_warnings(spark, sf_dir):
+    return split.coverage_warnings(split.by_dates(A.scada(spark, sf_dir), "timestamp", "2024-01-12", "2024-01-16"), "timestamp", "ambient_temperature")

@@ -46,6 +46,8 @@ class Result:
     evaluation: dict = field(default_factory=dict)
     main: models.NormalBehaviour | None = None
     log: list[dict] = field(default_factory=list)
+    guards: list[str] = field(default_factory=list)
+    windows: DataFrame | None = None
 
 
 def partitioned(df: DataFrame, config: Config) -> DataFrame:
@@ -74,16 +76,20 @@ def exclusions(rows: DataFrame, config: Config, windows: DataFrame | None = None
 def run(df: DataFrame, config: Config, schema: Schema, windows: DataFrame | None = None, candidates: list[dict] | None = None, faults: DataFrame | None = None, maintenance: DataFrame | None = None, alarms: DataFrame | None = None) -> Result:
     """Guards, cleaning, split, healthy rows, fits, residuals, charts, detections and metrics. Test rows stay unfiltered; statistics come from healthy rows of the configured part."""
     m, d, log, began = config.model, config.detection, [], time()
+    guards: list[str] = []  # the checks that ran
 
     def done(step: str, **more) -> None:
         log.append({"step": step, "seconds": round(time() - began, 3), **more})
 
     features = FeatureConfig(tuple(m.predictors), tuple(m.targets))
     check_features(features, schema)
+    guards.append("features")
     settings = {"timestamp": "timestamp", "targets": list(m.targets), "predictors": list(m.predictors), "bounds": schema.bounds("predictor")}
     rows, audit = quality.clean(df, ["drop_unparseable_timestamps", "drop_missing_all_targets", quality.NULLIFY, "drop_missing_any_predictor"], settings)
     rows = partitioned(rows, config)
-    h = stored(healthy.attribute(rows, exclusions(rows, config, windows, faults, maintenance, alarms), config.healthy_state.minimum_active_power_kw), "healthy")
+    guards.append("split")
+    held = stored(exclusions(rows, config, windows, faults, maintenance, alarms), "windows")
+    h = stored(healthy.attribute(rows, held, config.healthy_state.minimum_active_power_kw), "healthy")
     ok = F.col("reason").isNull()
     train, validation = h.where(ok & (F.col("partition") == "train")), h.where(ok & (F.col("partition") == "validation"))
     if train.isEmpty() or validation.isEmpty():
@@ -109,6 +115,7 @@ def run(df: DataFrame, config: Config, schema: Schema, windows: DataFrame | None
     part = PARTS[config.residual.threshold_stats_source]
     of_part = (F.col("partition") == part) & ok
     center = residuals.check_stats(residuals.NORMALIZERS[config.residual.normalization](long.where(of_part), config.residual.threshold_stats_source))
+    guards.append("threshold_source")
     normal = residuals.normalize(long, center)
     sigmas = residuals.sigmas_of(normal.where(of_part))
     state = residuals.with_limits(residuals.ewma(normal, d.lam, keys=("turbine_id", "target", "partition")), sigmas, d.lam, d.control_limit_sigma, d.time_varying)
@@ -121,7 +128,7 @@ def run(df: DataFrame, config: Config, schema: Schema, windows: DataFrame | None
     control = residuals.in_control_report(state.where((F.col("partition") == "validation") & ok), d.control_limit_sigma, ("target",))
     in_control = [r.asDict() for r in control.orderBy("target").collect()]
     done("metrics", rows=len(metrics))
-    result = Result(state, normal, predicted, audit, healthy.report(h), metrics, in_control, trials, both, main=main, log=log)
+    result = Result(state, normal, predicted, audit, healthy.report(h), metrics, in_control, trials, both, main=main, log=log, guards=guards, windows=held)
     result.detections = events.persistent_runs(state.where("partition = 'test'"), d.persistence)
     if faults is not None:
         e = config.evaluation
@@ -213,8 +220,12 @@ def check_chain(chain: list[dict]) -> None:
 MANDATORY = ("id", "created", "config_sha256", "schema_version", "schema_sha256", "source_sha256", "environment", "guards", "split", "provenance", "provisional", "note")
 
 
+#: Columns of the index of experiments.
+INDEX = "id string, created string, schema_version string, config_sha256 string, folder string, registered string"
+
+
 class Store:
-    """One folder for each experiment, EXP-YYYYMMDD-NNN, on storage that all executors share; the index is a scan of their metadata."""
+    """One folder for each experiment, EXP-YYYYMMDD-NNN, on storage that all executors share. `registered` is an append-only index of them, `index` a scan of their metadata."""
 
     def __init__(self, root: str, spark: SparkSession | None = None):
         self.folder = Folder(spark or SparkSession.active(), root)
@@ -230,6 +241,8 @@ class Store:
         try:
             result.predictions.write.parquet(f.at(f"{tmp}/predictions"))
             result.residuals.write.partitionBy("partition").parquet(f.at(f"{tmp}/residuals"))
+            if result.windows is not None:
+                result.windows.write.parquet(f.at(f"{tmp}/windows"))
             if result.main is not None:
                 result.main.save(f.at(f"{tmp}/models"))
             audit = [r.asDict() for r in result.audit.orderBy("step").collect()]  # a row for each cleaning step
@@ -239,9 +252,9 @@ class Store:
             chain = link(chain, "residuals", sha256=content_hash(f.spark.read.parquet(f.at(f"{tmp}/residuals"))))
             meta = {
                 "id": exp, "created": datetime.now(UTC).isoformat(), "config_sha256": config.sha256(), "schema_version": schema.version, "schema_sha256": schema.sha256(), "source_sha256": source_hash,
-                "environment": environment(), "guards": ["features", "split", "threshold_source"], "split": config.document()["split"], "provenance": chain, "provisional": sorted(config.provisional()), "note": note,
+                "environment": environment(), "guards": list(result.guards), "split": config.document()["split"], "provenance": chain, "provisional": sorted(config.provisional()), "note": note,
             }
-            if missing := [k for k in MANDATORY if k not in meta]:
+            if missing := [k for k in MANDATORY if meta.get(k) in (None, "", [], {}) and k not in ("provisional", "note")]:
                 raise StoreError("the metadata is incomplete", missing=missing)
             files = {"evaluation/in_control.json": result.in_control, "evaluation/events.json": result.evaluation, "evaluation/trials.json": result.trials, "evaluation/cleaning.json": audit, "metrics.json": result.metrics, "metadata.json": meta}
             for name, x in files.items():
@@ -253,6 +266,7 @@ class Store:
         except BaseException:
             f.delete(tmp)
             raise
+        self.register(meta)
         material = [r["target"] for r in result.in_control if r["material"]]
         if material:
             append_limitation(f, "LIMITATIONS.md", f"{exp}: more in-control alarms than the theory says", ", ".join(material))
@@ -273,6 +287,33 @@ class Store:
             raise StoreError("the stored residuals have changed", id=exp)
         return df
 
+    def register(self, meta: dict) -> None:
+        """Appends an experiment's pointer to the index; the latest row of an id counts."""
+        self._append([meta], "index")
+
+    def _append(self, metas: list[dict], folder: str) -> None:
+        at = datetime.now(UTC).isoformat()
+        rows = [(m["id"], m["created"], m["schema_version"], m["config_sha256"], self.folder.at(m["id"]), at) for m in metas]
+        self.folder.spark.createDataFrame(rows, INDEX).coalesce(1).write.mode("append").parquet(self.folder.at(folder))
+
+    def registered(self) -> DataFrame:
+        """The index: the latest row of each id. Read without a look at the experiments' folders."""
+        if not self.folder.exists("index"):
+            return self.folder.spark.createDataFrame([], INDEX)
+        rows = self.folder.spark.read.schema(INDEX).parquet(self.folder.at("index"))
+        latest = rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "id"]), "registered").alias("_r"))
+        return latest.select("id", "_r.*")
+
+    def reindex(self) -> int:
+        """The index anew from the experiments' folders alone; the number of them."""
+        metas, new = self.index(), f".index-{uuid.uuid4().hex}"
+        if metas:
+            self._append(metas, new)
+        self.folder.delete("index")
+        if metas and not self.folder.rename(new, "index"):
+            raise StoreError("the index can't be replaced")
+        return len(metas)
+
     def index(self) -> list[dict]:
         return [json.loads(self.folder.read(p)) for p in self.folder.names("EXP-*/metadata.json")]
 

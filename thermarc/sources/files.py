@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from thermarc.cluster import stored
 from thermarc.errors import IngestError, SchemaError
 from thermarc.functions.timeutil import get_zone
-from thermarc.operators.quality import deduplicate
+from thermarc.operators.quality import check_conflicts, deduplicate
 from thermarc.schema import Schema
+from thermarc.sources import provenance
+from thermarc.sources.provenance import Dataset
 
 #: Encodings in the order in which they are tried.
 ENCODINGS = ("utf-8", "cp1252", "latin-1")
@@ -109,19 +115,56 @@ def read_csv(spark: SparkSession, path: str, mapping: Mapping, schema: Schema) -
     )
 
 
-def ingest(spark: SparkSession, paths: list[str], mapping: Mapping, schema: Schema, start: str | None = None, end: str | None = None) -> DataFrame:
-    """All files together: the span's days (both included), one row for each turbine and time, in the files' order."""
-    from functools import reduce
-
+def _spanned(spark: SparkSession, paths: list[str], mapping: Mapping, schema: Schema, start: str | None, end: str | None) -> DataFrame:
+    """The rows of all files in the span, with the file's place in the list (_k) and name."""
     rows = reduce(DataFrame.unionByName, [read_csv(spark, p, mapping, schema).withColumn("_k", F.lit(k)) for k, p in enumerate(paths)])
     if start:
         rows = rows.where(F.col("timestamp") >= F.lit(start).cast("date"))
-    if end:
-        rows = rows.where(F.col("timestamp") < F.date_add(F.lit(end).cast("date"), 1))
+    return rows.where(F.col("timestamp") < F.date_add(F.lit(end).cast("date"), 1)) if end else rows
+
+
+def ingest(spark: SparkSession, paths: list[str], mapping: Mapping, schema: Schema, start: str | None = None, end: str | None = None) -> DataFrame:
+    """All files together: the span's days (both included), one row for each turbine and time, in the files' order."""
+    rows = _spanned(spark, paths, mapping, schema, start, end)
     # The source is no content: copies of a row in two files agree.
     return deduplicate(rows.withColumn("_order", F.struct("_k", "source_file")).drop("_k", "source_file"), ["turbine_id", "timestamp"], ["_order"]).drop("_order")
 
 
+def mapping_sha256(mapping: Mapping) -> str:
+    """Identity of a mapping."""
+    return hashlib.sha256(json.dumps(asdict(mapping), sort_keys=True, default=str).encode()).hexdigest()
+
+
+def ingest_dataset(spark: SparkSession, paths: list[str], mapping: Mapping, schema: Schema, start: str | None = None, end: str | None = None, note: str = "") -> Dataset:
+    """ingest, with the record of every file, each row's source file, and how many rows of each file were copies of earlier ones (`removed`)."""
+    rows = _spanned(spark, paths, mapping, schema, start, end)
+    keys = ["turbine_id", "timestamp"]
+    check_conflicts(rows.drop("_k", "source_file"), keys)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_k", "source_file"))
+    held = stored(rows.withColumn("_place", place), "ingested")
+    removed = held.where("_place > 1").groupBy("source_file").agg(F.count("*").alias("n_removed"))
+    records = provenance.capture(spark, paths, timezone=mapping.timezone, encoding=mapping.encoding or "utf-8", schema_version=schema.version, mapping_sha256=mapping_sha256(mapping), note=note)
+    return Dataset(held.where("_place = 1").drop("_k", "_place"), schema.version, tuple(records), removed=removed).derived(held.where("_place = 1").drop("_k", "_place"), "ingest")
+
+
+def banners(spark: SparkSession, paths: list[str], fields: dict[str, str], prefix: str = "#", strict: bool = True) -> DataFrame:
+    """source_file and the declared fields (name -> key of a '<prefix> key: value' line) of each file, one row a file. The first value of a key counts.
+
+    strict: a file without one of them is refused; else its field is null.
+    """
+    line = F.regexp_extract_all(F.col("value"), F.lit(f"^{re.escape(prefix)}\\s*([^:]+?)\\s*:\\s*(.*?)\\s*$"), 1)
+    text = spark.read.text(paths).select(F.col("_metadata.file_name").alias("source_file"), "value", F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at"))  # lines of a block are read in order
+    key = F.when(F.col("value").startswith(prefix), F.get(line, F.lit(0)))
+    value = F.regexp_extract("value", f"^{re.escape(prefix)}\\s*[^:]+?\\s*:\\s*(.*?)\\s*$", 1)
+    rows = text.select("source_file", "_at", key.alias("_key"), value.alias("_value"))
+    out = rows.groupBy("source_file").agg(*[F.min_by("_value", F.when(F.col("_key") == k, F.col("_at"))).alias(n) for n, k in fields.items()])
+    if not strict:
+        return out
+    missing = F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(k)) for n, k in fields.items()]))
+    refused = F.raise_error(F.concat(F.lit("no banner line in "), F.col("source_file"), F.lit(" for "), F.array_join(missing, ", ")))
+    return out.select(F.when(F.size(missing) > 0, refused.cast("string")).otherwise(F.col("source_file")).alias("source_file"), *fields)
+
+
 def read_status(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
     """Status rows as text, nothing taken for missing."""
     return spark.read.options(header=True, comment=comment, nullValue="\0", emptyValue="").csv(path)
