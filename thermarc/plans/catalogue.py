@@ -1035,3 +1035,30 @@ select 'SHORT_TRAINING' as code, months::varchar as detail from m where months <
 union all select 'AMBIENT_BEYOND_TRAINING', 'train ' || a || ' to ' || b || ' test ' || c || ' to ' || d from m where c < a or d > b""")
 def coverage_warnings(spark, sf_dir):
     return split.coverage_warnings(split.by_dates(A.scada(spark, sf_dir), "timestamp", "2024-01-12", "2024-01-16"), "timestamp", "ambient_temperature")
+
+
+# ---- sensitivity
+
+SENSITIVITY = {
+    "validation.step_change_window_samples": [6], "validation.step_change_min_magnitude_c": [12.0], "healthy_state.fault_pre_exclusion_days": [3], "healthy_state.maintenance_post_exclusion_days": [6],
+    "healthy_state.minimum_active_power_kw": [45.0], "healthy_state.step_change_exclusion_days": [0.25], "residual.normalization": ["sigma"], "detection.lam": [0.5],
+    "detection.control_limit_sigma": [2.0], "detection.persistence": [3], "evaluation.event_match_window_days": [1],
+}
+
+
+@query()
+def sensitivity_suite(spark, sf_dir):
+    """Every provisional setting varied by itself, with step changes switched on so that their settings act: which stage it changes, what comes of it, which conclusions flip."""
+    from thermarc.plans import staged
+
+    log = A.status_log(spark, sf_dir).where("end is not null and end > start")
+    shift = F.make_interval(years=F.lit(29))  # the log's years to those of the measurements
+    log = log.withColumns({c: (F.col(c) + shift) for c in ("start", "end")})
+    of = lambda status: log.where((F.col("status") == status) & (F.col("occurrence_id") % 97 == 0)).select(F.col("occurrence_id").cast("string").alias("event_id"), "turbine_id", "start", "end")
+    config = Config(model=Model(name="linear"))
+    for path, value in (("healthy_state.exclude_step_changes", True), ("validation.step_change_window_samples", 4), ("validation.step_change_min_magnitude_c", 8.0), ("healthy_state.fault_pre_exclusion_days", 1), ("healthy_state.minimum_active_power_kw", 30.0), ("detection.control_limit_sigma", 0.5), ("detection.persistence", 2)):
+        config = config.override(path, value)
+    source = staged.Sources("days", stored(A.scada_days(spark, sf_dir), "days"), schema_of_events(), A.exclusion_windows(spark, sf_dir).drop("window_id"), of("Stop"), of("Communication"))
+    rows = staged.suite(source, config, SENSITIVITY)
+    names = ["n_accepted", "rmse", "baseline_rmse", "n_outside", "n_detections", "n_events", "n_found", "n_false"]
+    return spark.createDataFrame([(r["parameter"], r["value"], r["stage"], *[r[n] for n in names], ", ".join(r["flips"])) for r in rows], "parameter string, value string, stage string, " + ", ".join(f"{n} double" for n in names) + ", flips string")
