@@ -68,10 +68,10 @@ def gains(target: DataFrame, source: DataFrame) -> list[int]:
     """The gain of each bucket, from two tables of totals; BUCKETS numbers, whatever the input."""
     t, s = target.withColumnRenamed("n", "t"), source.withColumnRenamed("n", "s")
     both = target.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(t, "bucket", "left").join(s, "bucket", "left").fillna(0, ["t", "s"])
-    everything = both.agg(F.sum("t").cast("double").alias("_t"), F.sum("s").cast("double").alias("_s"))
-    share = ((F.col("t") + 1).cast("double") * (F.col("_s") + BUCKETS)) / ((F.col("s") + 1).cast("double") * (F.col("_t") + BUCKETS))
-    out = both.crossJoin(F.broadcast(everything)).select("bucket", F.floor(SCALE * F.log(share)).alias("gain"))  # one row of sums
-    return [r["gain"] for r in sorted(out.collect(), key=lambda r: r["bucket"])]
+    both = stored(both, "totals")
+    all_t, all_s = both.agg(F.sum("t"), F.sum("s")).first()
+    share = ((F.col("t") + 1).cast("double") * F.lit(float(all_s + BUCKETS))) / ((F.col("s") + 1).cast("double") * F.lit(float(all_t + BUCKETS)))
+    return [r["gain"] for r in both.orderBy("bucket").select(F.floor(SCALE * F.log(share)).alias("gain")).collect()]
 
 
 def noise(key: Column, seed: int = SEED) -> Column:
