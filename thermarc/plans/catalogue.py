@@ -572,11 +572,11 @@ def coverage_sessions(spark, sf_dir):
     return sessions(spark, sf_dir)
 
 
-_JAN = ", lg as (select event_id as occurrence_id, 'T' || (user_id % 6 + 1) as turbine_id, ts as start, event_type as code from events where value > 120)"
+_JAN = ", lg as (select event_id as occurrence_id, 'T' || (user_id % 6 + 1) as turbine_id, ts as start, event_type as code from events)"
 
 
 def january(spark, sf_dir) -> DataFrame:
-    return A.table(spark, sf_dir, "events").where("value > 120").select(F.col("event_id").alias("occurrence_id"), A.turbine("user_id").alias("turbine_id"), F.col("ts").alias("start"), F.col("event_type").alias("code"))
+    return A.table(spark, sf_dir, "events").select(F.col("event_id").alias("occurrence_id"), A.turbine("user_id").alias("turbine_id"), F.col("ts").alias("start"), F.col("event_type").alias("code"))
 
 
 @query(W + A.SCADA + _COVER + _JAN + """, j as (select lg.code, case when s.start is null then 0 else date_diff('second', s.start, least(s."end", lg.start)) / 3600 end as h from lg asof left join ses s on lg.turbine_id = s.turbine_id and lg.start >= s.start)
@@ -590,16 +590,15 @@ def occurrence_gaps(spark, sf_dir):
     return rounded(census.occurrence_gaps(A.status_log(spark, sf_dir), ["occurrence_id"]).select("occurrence_id", "gap_hours"), "gap_hours")
 
 
-@query(W + A.SCADA + _JAN + """ select occurrence_id, count(s.timestamp) as n, count(s.gearbox_oil_temperature) as n_known, round(sum(s.gearbox_oil_temperature), 6) as total from lg left join scada s on s.turbine_id = lg.turbine_id and s.timestamp >= lg.start - interval 5 day and s.timestamp < lg.start group by 1""")
+@query(W + A.SCADA + _JAN + """ select occurrence_id, count(s.timestamp) as n, count(s.gearbox_oil_temperature) as n_known, round(sum(s.gearbox_oil_temperature), 6) as total from lg left join scada s on s.turbine_id = lg.turbine_id and s.timestamp >= lg.start - interval 60 day and s.timestamp < lg.start group by 1""")
 def preceding_window_stats(spark, sf_dir):
-    found = census.preceding_stats(A.scada(spark, sf_dir), january(spark, sf_dir), "gearbox_oil_temperature", 5, cell_days=5)
+    found = census.preceding_stats(A.scada(spark, sf_dir), january(spark, sf_dir), "gearbox_oil_temperature")
     return found.select("occurrence_id", "n", "n_known", F.round(F.col("mean") * F.col("n_known"), 6).alias("total"))
 
 
-@query(W + A.STATUS + """, t as (select turbine_id, min(start) - interval 20 day as a, max(start) + interval 20 day as b from log where code = '1-URGENT' and occurrence_id % 50 = 0 group by 1) select occurrence_id from log join t using (turbine_id) where start between a and b""")
+@query(W + A.STATUS + """, t as (select turbine_id, min(start) - interval 120 day as a, max(start) + interval 120 day as b from log where code = '1-URGENT' group by 1) select occurrence_id from log join t using (turbine_id) where start between a and b""")
 def surrounding_rows(spark, sf_dir):
-    log = A.status_log(spark, sf_dir).withColumn("code", F.when((F.col("code") == "1-URGENT") & (F.col("occurrence_id") % 50 == 0), "target").otherwise(F.col("code")))
-    return census.surrounding_rows(log, "target", 20).select("occurrence_id")
+    return census.surrounding_rows(A.status_log(spark, sf_dir), "1-URGENT").select("occurrence_id")
 
 
 @query(W + A.SCADA + """, b as (select turbine_id, (active_power > 40)::int + (active_power > 80)::int + (active_power > 120)::int as bin, wind_speed as x, gearbox_oil_temperature as y from scada where active_power is not null and wind_speed is not null and gearbox_oil_temperature is not null)
@@ -871,17 +870,21 @@ def pipeline_end_to_end(spark, sf_dir):
     return spark.createDataFrame([(m["role"], m["model"], m["partition"], m["target"], m["n"], m["rmse"], m["bias"]) for m in got.metrics], "role string, model string, partition string, target string, n long, rmse double, bias double")
 
 
+def _extremes(spark, sf_dir, kind: str) -> DataFrame:
+    """Six hours from each very large value of a kind on: the faults (errors) and the maintenance (purchases) of the experiments."""
+    e = A.table(spark, sf_dir, "events").where((F.col("event_type") == kind) & (F.col("value") > 320))
+    return e.select(F.col("event_id").cast("string").alias("event_id"), A.turbine("user_id").alias("turbine_id"), F.col("ts").alias("start"), (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(6))).alias("end"))
+
+
 @query()
 def experiment_report(spark, sf_dir):
     """What an experiment with joint trees says: accuracy with bootstrap intervals and the comparison with the baseline, alarms in control, events against detections, and the
-    diagnosis, as (section, item, name, value). The log's communication codes are the faults, its warnings the alarms' windows."""
+    diagnosis, as (section, item, name, value)."""
     from thermarc.plans import experiment
 
-    log = A.status_log(spark, sf_dir).where("end is not null and end > start")
-    of = lambda status: log.where(F.col("status") == status).select(F.col("occurrence_id").cast("string").alias("event_id"), "turbine_id", "start", "end")
     config = Config(model=Model(name="joint", tuning=small_search()))
     config = config.override("healthy_state.fault_pre_exclusion_days", 1).override("detection.control_limit_sigma", 1.0).override("detection.persistence", 2)
-    got = experiment.run(A.scada_days(spark, sf_dir), config, schema_of_events(), A.exclusion_windows(spark, sf_dir).drop("window_id"), faults=of("Communication"))
+    got = experiment.run(A.scada_days(spark, sf_dir), config, schema_of_events(), A.exclusion_windows(spark, sf_dir).drop("window_id"), faults=_extremes(spark, sf_dir, "error"), maintenance=_extremes(spark, sf_dir, "purchase"))
     rows = [("trial", f"{t['max_depth']}/{t['learning_rate']}/{t['subsample']}", "score", t["score"]) for t in got.trials]
     for r in experiment.accuracy(got, config, replicates=200, parts=("test",)):
         rows += [("accuracy", f"{r['role']}/{r['target']}", k, float(v)) for k, v in r.items() if isinstance(v, int | float)]
@@ -1040,8 +1043,8 @@ def coverage_warnings(spark, sf_dir):
 # ---- sensitivity
 
 SENSITIVITY = {
-    "validation.step_change_window_samples": [6], "validation.step_change_min_magnitude_c": [12.0], "healthy_state.fault_pre_exclusion_days": [3], "healthy_state.maintenance_post_exclusion_days": [6],
-    "healthy_state.minimum_active_power_kw": [45.0], "healthy_state.step_change_exclusion_days": [0.25], "residual.normalization": ["sigma"], "detection.lam": [0.5],
+    "validation.step_change_window_samples": [6], "validation.step_change_min_magnitude_c": [25.0], "healthy_state.fault_pre_exclusion_days": [0], "healthy_state.maintenance_post_exclusion_days": [0],
+    "healthy_state.minimum_active_power_kw": [10.0], "healthy_state.step_change_exclusion_days": [0.25], "residual.normalization": ["sigma"], "detection.lam": [0.5],
     "detection.control_limit_sigma": [2.0], "detection.persistence": [3], "evaluation.event_match_window_days": [1],
 }
 
@@ -1051,14 +1054,10 @@ def sensitivity_suite(spark, sf_dir):
     """Every provisional setting varied by itself, with step changes switched on so that their settings act: which stage it changes, what comes of it, which conclusions flip."""
     from thermarc.plans import staged
 
-    log = A.status_log(spark, sf_dir).where("end is not null and end > start")
-    shift = F.make_interval(years=F.lit(29))  # the log's years to those of the measurements
-    log = log.withColumns({c: (F.col(c) + shift) for c in ("start", "end")})
-    of = lambda status: log.where((F.col("status") == status) & (F.col("occurrence_id") % 97 == 0)).select(F.col("occurrence_id").cast("string").alias("event_id"), "turbine_id", "start", "end")
     config = Config(model=Model(name="linear"))
-    for path, value in (("healthy_state.exclude_step_changes", True), ("validation.step_change_window_samples", 4), ("validation.step_change_min_magnitude_c", 8.0), ("healthy_state.fault_pre_exclusion_days", 1), ("healthy_state.minimum_active_power_kw", 30.0), ("detection.control_limit_sigma", 0.5), ("detection.persistence", 2)):
+    for path, value in (("healthy_state.exclude_step_changes", True), ("validation.step_change_window_samples", 4), ("validation.step_change_min_magnitude_c", 15.0), ("healthy_state.fault_pre_exclusion_days", 1), ("healthy_state.minimum_active_power_kw", 20.0), ("healthy_state.step_change_exclusion_days", 0.5), ("detection.control_limit_sigma", 0.5), ("detection.persistence", 2)):
         config = config.override(path, value)
-    source = staged.Sources("days", stored(A.scada_days(spark, sf_dir), "days"), schema_of_events(), A.exclusion_windows(spark, sf_dir).drop("window_id"), of("Stop"), of("Communication"))
+    source = staged.Sources("days", stored(A.scada_days(spark, sf_dir), "days"), schema_of_events(), A.exclusion_windows(spark, sf_dir).drop("window_id"), _extremes(spark, sf_dir, "error"), _extremes(spark, sf_dir, "purchase"))
     rows = staged.suite(source, config, SENSITIVITY)
     names = ["n_accepted", "rmse", "baseline_rmse", "n_outside", "n_detections", "n_events", "n_found", "n_false"]
     return spark.createDataFrame([(r["parameter"], r["value"], r["stage"], *[r[n] for n in names], ", ".join(r["flips"])) for r in rows], "parameter string, value string, stage string, " + ", ".join(f"{n} double" for n in names) + ", flips string")
