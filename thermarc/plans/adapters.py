@@ -57,6 +57,26 @@ def exclusion_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("window_id"), F.when(F.col("event_id") % 9 == 0, "").otherwise(turbine("user_id")).alias("turbine_id"), (F.col("ts") - half).alias("start"), (F.col("ts") + half).alias("end"), reason.alias("reason"))
 
 
+def high_cells(spark: SparkSession, sf_dir: str, channel: str, sigmas: float) -> DataFrame:
+    """(event_id, turbine_id, timestamp, z): the six-hour cells whose channel is more than so many standard deviations above the mean of all cells.
+
+    They are at most 1 / (1 + sigmas^2) of the cells (Cantelli), however many events a cell has; single events above a fixed value would at last cover all of the time.
+    """
+    cells = scada(spark, sf_dir).select("turbine_id", "timestamp", F.col(channel).alias("_value")).where("_value is not null")
+    of_all = cells.agg(F.avg("_value").alias("_mean"), F.stddev_pop("_value").alias("_sigma"))
+    z = (F.col("_value") - F.col("_mean")) / F.nullif(F.col("_sigma"), F.lit(0.0))
+    found = cells.crossJoin(F.broadcast(of_all)).withColumn("z", z).where(F.col("z") > sigmas)
+    return found.select(F.concat_ws("/", "turbine_id", F.date_format("timestamp", "yyyy-MM-dd HH")).alias("event_id"), "turbine_id", "timestamp", "z")
+
+
+def experiment_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve hours to both sides of the middle of cells with a high oil temperature; the reason by how high it is. A ninth of them, by a hash, holds for all turbines."""
+    hours = lambda n: F.make_dt_interval(F.lit(0), F.lit(n))
+    reason = F.when(F.col("z") > 3.0, "known_fault_period").when(F.col("z") > 2.5, "pre_fault_window").otherwise("post_maintenance_window")
+    cells = high_cells(spark, sf_dir, "gearbox_oil_temperature", 2.0)
+    return cells.select(F.when(F.crc32("event_id") % 9 == 0, "").otherwise(F.col("turbine_id")).alias("turbine_id"), (F.col("timestamp") - hours(9)).alias("start"), (F.col("timestamp") + hours(15)).alias("end"), reason.alias("reason"))
+
+
 def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", turbine("l_suppkey").alias("turbine_id"), F.col("l_shipdate").cast("timestamp_ntz").alias("timestamp"), "l_quantity", "l_extendedprice", "l_discount", "l_tax")

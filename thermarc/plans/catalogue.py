@@ -856,11 +856,10 @@ def predictor_ablation(spark, sf_dir):
 
 
 def _experiment(spark, sf_dir):
-    """The experiment over days with the small search and the log's explicit windows."""
+    """The experiment over days with the small search and explicit windows."""
     from thermarc.plans import experiment
 
-    windows = A.exclusion_windows(spark, sf_dir).drop("window_id")
-    return experiment.run(A.scada_days(spark, sf_dir), Config(model=Model(tuning=small_search())), schema_of_events(), windows)
+    return experiment.run(A.scada_days(spark, sf_dir), Config(model=Model(tuning=small_search())), schema_of_events(), A.exclusion_windows(spark, sf_dir).drop("window_id"))
 
 
 @query()
@@ -870,10 +869,10 @@ def pipeline_end_to_end(spark, sf_dir):
     return spark.createDataFrame([(m["role"], m["model"], m["partition"], m["target"], m["n"], m["rmse"], m["bias"]) for m in got.metrics], "role string, model string, partition string, target string, n long, rmse double, bias double")
 
 
-def _extremes(spark, sf_dir, kind: str) -> DataFrame:
-    """Six hours from each very large value of a kind on: the faults (errors) and the maintenance (purchases) of the experiments."""
-    e = A.table(spark, sf_dir, "events").where((F.col("event_type") == kind) & (F.col("value") > 320))
-    return e.select(F.col("event_id").cast("string").alias("event_id"), A.turbine("user_id").alias("turbine_id"), F.col("ts").alias("start"), (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(6))).alias("end"))
+def _extremes(spark, sf_dir, channel: str) -> DataFrame:
+    """The six-hour cells with very high values of a channel: the faults (oil) and the maintenance (bearing) of the experiments."""
+    end = F.col("timestamp") + F.make_dt_interval(F.lit(0), F.lit(6))
+    return A.high_cells(spark, sf_dir, channel, 2.5).select("event_id", "turbine_id", F.col("timestamp").alias("start"), end.alias("end"))
 
 
 @query()
@@ -884,7 +883,7 @@ def experiment_report(spark, sf_dir):
 
     config = Config(model=Model(name="joint", tuning=small_search()))
     config = config.override("healthy_state.fault_pre_exclusion_days", 1).override("detection.control_limit_sigma", 1.0).override("detection.persistence", 2)
-    got = experiment.run(A.scada_days(spark, sf_dir), config, schema_of_events(), A.exclusion_windows(spark, sf_dir).drop("window_id"), faults=_extremes(spark, sf_dir, "error"), maintenance=_extremes(spark, sf_dir, "purchase"))
+    got = experiment.run(A.scada_days(spark, sf_dir), config, schema_of_events(), A.experiment_windows(spark, sf_dir), faults=_extremes(spark, sf_dir, A.TARGETS[0]), maintenance=_extremes(spark, sf_dir, A.TARGETS[1]))
     rows = [("trial", f"{t['max_depth']}/{t['learning_rate']}/{t['subsample']}", "score", t["score"]) for t in got.trials]
     for r in experiment.accuracy(got, config, replicates=200, parts=("test",)):
         rows += [("accuracy", f"{r['role']}/{r['target']}", k, float(v)) for k, v in r.items() if isinstance(v, int | float)]
@@ -1057,7 +1056,7 @@ def sensitivity_suite(spark, sf_dir):
     config = Config(model=Model(name="linear"))
     for path, value in (("healthy_state.exclude_step_changes", True), ("validation.step_change_window_samples", 4), ("validation.step_change_min_magnitude_c", 15.0), ("healthy_state.fault_pre_exclusion_days", 1), ("healthy_state.minimum_active_power_kw", 20.0), ("healthy_state.step_change_exclusion_days", 0.5), ("detection.control_limit_sigma", 0.5), ("detection.persistence", 2)):
         config = config.override(path, value)
-    source = staged.Sources("days", stored(A.scada_days(spark, sf_dir), "days"), schema_of_events(), A.exclusion_windows(spark, sf_dir).drop("window_id"), _extremes(spark, sf_dir, "error"), _extremes(spark, sf_dir, "purchase"))
+    source = staged.Sources("days", stored(A.scada_days(spark, sf_dir), "days"), schema_of_events(), A.exclusion_windows(spark, sf_dir).drop("window_id"), _extremes(spark, sf_dir, A.TARGETS[0]), _extremes(spark, sf_dir, A.TARGETS[1]))
     rows = staged.suite(source, config, SENSITIVITY)
     names = ["n_accepted", "rmse", "baseline_rmse", "n_outside", "n_detections", "n_events", "n_found", "n_false"]
     return spark.createDataFrame([(r["parameter"], r["value"], r["stage"], *[r[n] for n in names], ", ".join(r["flips"])) for r in rows], "parameter string, value string, stage string, " + ", ".join(f"{n} double" for n in names) + ", flips string")
