@@ -34,3 +34,9 @@ def test_windows_leave_most_of_the_time(spark, dense):
 def test_experiment_report(spark, dense):
     got = {(r["section"], r["item"], r["name"]): r["value"] for r in entry.queries()["experiment_report"](spark, dense).collect()}
     assert all(got["accuracy", f"{role}/{t}", "rmse"] > 0 for role in ("main", "baseline") for t in adapters.TARGETS)
+
+
+def test_pipeline_end_to_end(spark, dense):
+    rows = entry.queries()["pipeline_end_to_end"](spark, dense).collect()
+    assert {(r["role"], r["partition"], r["target"]) for r in rows} == {(x, p, t) for x in ("main", "baseline") for p in ("validation", "test") for t in adapters.TARGETS}
+    assert all(r["n"] > 0 for r in rows)

@@ -859,7 +859,7 @@ def _experiment(spark, sf_dir):
     """The experiment over days with the small search and explicit windows."""
     from thermarc.plans import experiment
 
-    return experiment.run(A.scada_days(spark, sf_dir), Config(model=Model(tuning=small_search())), schema_of_events(), A.exclusion_windows(spark, sf_dir).drop("window_id"))
+    return experiment.run(A.scada_days(spark, sf_dir), Config(model=Model(tuning=small_search())), schema_of_events(), A.experiment_windows(spark, sf_dir))
 
 
 @query()
