@@ -40,3 +40,8 @@ def test_pipeline_end_to_end(spark, dense):
     rows = entry.queries()["pipeline_end_to_end"](spark, dense).collect()
     assert {(r["role"], r["partition"], r["target"]) for r in rows} == {(x, p, t) for x in ("main", "baseline") for p in ("validation", "test") for t in adapters.TARGETS}
     assert all(r["n"] > 0 for r in rows)
+
+
+def test_sensitivity_suite(spark, dense):
+    (base,) = entry.queries()["sensitivity_suite"](spark, dense).collect()
+    assert base["n_accepted"] > 0 and base["rmse"] > 0

@@ -1056,7 +1056,7 @@ def sensitivity_suite(spark, sf_dir):
     config = Config(model=Model(name="linear"))
     for path, value in (("healthy_state.exclude_step_changes", True), ("validation.step_change_window_samples", 4), ("validation.step_change_min_magnitude_c", 15.0), ("healthy_state.fault_pre_exclusion_days", 1), ("healthy_state.minimum_active_power_kw", 20.0), ("healthy_state.step_change_exclusion_days", 0.5), ("detection.control_limit_sigma", 0.5), ("detection.persistence", 2)):
         config = config.override(path, value)
-    source = staged.Sources("days", stored(A.scada_days(spark, sf_dir), "days"), schema_of_events(), A.exclusion_windows(spark, sf_dir).drop("window_id"), _extremes(spark, sf_dir, A.TARGETS[0]), _extremes(spark, sf_dir, A.TARGETS[1]))
+    source = staged.Sources("days", stored(A.scada_days(spark, sf_dir), "days"), schema_of_events(), A.experiment_windows(spark, sf_dir), _extremes(spark, sf_dir, A.TARGETS[0]), _extremes(spark, sf_dir, A.TARGETS[1]))
     rows = staged.suite(source, config, SENSITIVITY)
     names = ["n_accepted", "rmse", "baseline_rmse", "n_outside", "n_detections", "n_events", "n_found", "n_false"]
     return spark.createDataFrame([(r["parameter"], r["value"], r["stage"], *[r[n] for n in names], ", ".join(r["flips"])) for r in rows], "parameter string, value string, stage string, " + ", ".join(f"{n} double" for n in names) + ", flips string")
