@@ -80,11 +80,16 @@ def step_changes(df: DataFrame, key: str, ts: str, value: str, window: int = 144
     return runs.select(key, f"_best.{ts}", *[F.round(f"_best.{c}", 4).alias(n) for c, n in (("delta", "magnitude"), ("before", "before"), ("after", "after"))])
 
 
+#: Rows that a task of dedup_conflicts groups, whatever the table's size.
+ROWS_A_TASK = 250_000
+
+
 def dedup_conflicts(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys (without nulls) whose rows differ in content."""
+    """Keys (without nulls) whose rows differ in content. Rows are counted first: they move once, by key and without the content, into as many tasks as they need."""
     rest = [c for c in df.columns if c not in keys]
     known = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-    return known.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count_distinct(F.xxhash64(*rest)).alias("n_contents")).where("n_contents > 1")
+    rows = known.select(*keys, F.xxhash64(*rest).alias("_content")).repartition(-(-known.count() // ROWS_A_TASK) or 1, *keys)
+    return rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count_distinct("_content").alias("n_contents")).where("n_contents > 1")
 
 
 def dedup_keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
