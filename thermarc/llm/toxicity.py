@@ -9,9 +9,8 @@ scored in order of the bounds these give until none can change the nearest NEARE
 weighted by distance, then calibrated on training rows that are no examples. The nearest
 examples and the heaviest words in common are the evidence.
 
-The fit takes at most about MAX_ROWS labelled rows, chosen by a hash of their id, and of these at most EXAMPLES as
-examples, half of each label where there are so many (votes count by the inverse of each label's share). Everything else
-covers all rows. The index's size is bounded by that and goes to the executors.
+The fit takes at most about MAX_ROWS labelled rows, chosen by a hash of their id. All of these that don't calibrate are
+examples, in parts of about PART that are gathered and sent to the executors one after the other; everything else covers all rows.
 
 Defined results: null and empty texts, and texts without a known term, get the calibrated rate of training
 texts without one. Without labels of both kinds every score is the rate of label 1 (0 without labels).
@@ -36,14 +35,17 @@ from thermarc.cluster import Scratch, ship
 from thermarc.llm.near_dedup import near_duplicates
 from thermarc.llm.tokens import text_slices, word_codes
 
-MAX_ROWS, EXAMPLES = 24_000, 512
+#: Labelled rows of the fit at most, and examples of a part of the index.
+MAX_ROWS, PART = 24_000, 4096
 #: A term stands in at least so many training texts, and in at least one of so many.
 LEAST_DOCS, LEAST_SHARE = 3, 1000
 #: A telling term's weight is raised from likelihood ratio RATIOS[0] on, by BOOST times from RATIOS[1] on.
 BOOST, RATIOS = 15.0, (15.0, 100.0)
-NEAREST, BLOCK, WAVE, POWER, PRIOR_VOTES = 15, 64, 8, 4, 0.25
+NEAREST, BLOCK, WAVE, POWER, PRIOR_VOTES = 15, 64, 16, 4, 0.25
 #: Terms that at least one in so many examples has are kept as whole rows of weights, not as postings.
-DENSE = 32
+DENSE = 16
+#: Texts whose frequent terms meet the examples in one matrix product.
+TOGETHER = 64
 THRESHOLD = 0.3
 #: Heaviest words of a text looked at for evidence.
 WORDS = 8
@@ -113,7 +115,8 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 @dataclass
 class Index:
     """Examples in blocks. A term's entries are the blocks that have it, with its greatest weight there; an entry's postings are the block's examples with the term, and their weights.
-    Frequent terms, which bound nothing, are rows of a matrix instead: what they give is known before the blocks are put in order."""
+    Frequent terms, which bound nothing, are rows of a matrix instead: what they give is known before the blocks are put in order.
+    `more` are further parts with the same terms; ids, labels and counts are those of all parts, places go through them."""
 
     words: dict[str, int]
     weight: np.ndarray
@@ -124,6 +127,7 @@ class Index:
     slope: float = 1.0
     shift: float = 0.0
     blocks: int = 0
+    more: list[Index] = field(default_factory=list)
 
     def vectors(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         """(terms, weights of length 1) of each text; empty without a known term."""
@@ -136,44 +140,77 @@ class Index:
 
     def build(self, examples: list[tuple]) -> None:
         """examples: (id, label, terms, weights, votes it counts for), put into an order that has similar ones in the same blocks."""
-        examples = sorted(examples, key=lambda x: (x[1], int(x[2][np.argmax(x[3])]), x[2].tolist(), str(x[0])))
+        examples = sorted(examples, key=lambda x: (x[1], int(x[2][np.argmax(x[3])]), np.asarray(x[2]).astype(">i4").tobytes(), str(x[0])))
         self.ids = np.array([x[0] for x in examples])
         self.labels, self.counts = np.array([x[1] for x in examples], float), np.array([x[4] for x in examples], float)
         self.blocks = -(-len(examples) // BLOCK)
-        at = np.repeat(np.arange(len(examples)), [len(x[2]) for x in examples])
-        term, w = (np.concatenate([x[k] for x in examples]) if examples else np.empty(0) for k in (2, 3))
-        term = term.astype(np.int64)
+        at = np.repeat(np.arange(len(examples), dtype=np.int32), [len(x[2]) for x in examples])
+        term = np.concatenate([x[2] for x in examples]).astype(np.int32) if examples else np.empty(0, np.int32)
+        w = np.concatenate([x[3] for x in examples]).astype(np.float32) if examples else np.empty(0, np.float32)
         df = np.bincount(term, minlength=len(self.words))
         frequent = np.flatnonzero(df * DENSE >= max(1, len(examples)))
-        self.row_of = np.full(len(self.words), -1)
+        self.row_of = np.full(len(self.words), -1, np.int32)
         self.row_of[frequent] = np.arange(len(frequent))
         self.dense = np.zeros((len(frequent), self.blocks * BLOCK), np.float32)
         is_frequent = self.row_of[term] >= 0
         self.dense[self.row_of[term[is_frequent]], at[is_frequent]] = w[is_frequent]
         at, w, term = at[~is_frequent], w[~is_frequent], term[~is_frequent]
-        order = np.lexsort((at, term))
-        self.example, self.value, term = at[order].astype(np.int32), w[order].astype(np.float32), term[order]
-        pair, start = np.unique(term * max(1, self.blocks) + self.example // BLOCK, return_index=True)
-        self.start = np.append(start, len(term)).astype(np.int64)
-        self.most = np.maximum.reduceat(self.value, start) * np.float32(1 + 1e-6) if len(pair) else np.empty(0, np.float32)
-        self.block_of = pair % max(1, self.blocks)
-        self.first = np.searchsorted(pair // max(1, self.blocks), np.arange(len(self.words) + 1))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of the k nearest examples with a cosine over 0; ties go to the first places."""
-        row, weights = self.row_of[terms], weights.astype(np.float32)
-        known = weights[row >= 0] @ self.dense[row[row >= 0]]
-        terms, weights = terms[row < 0], weights[row < 0]
+        order = np.argsort(term, kind="stable")  # examples ascend within a term
+        self.example, self.value, term = at[order], w[order], term[order]
+        block = self.example // BLOCK
+        self.example = self.example.astype(np.uint16 if len(examples) < 1 << 16 else np.int32)
+        start = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.empty(0, np.int64)
+        self.start = np.append(start, len(term)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.value, start) * np.float32(1 + 1e-6) if len(start) else np.empty(0, np.float32)
+        self.block_of = block[start].astype(np.int16 if self.blocks < 1 << 15 else np.int32)
+        self.first = np.searchsorted(term[start], np.arange(len(self.words) + 1)).astype(np.int32)
+
+    def add(self, part: Index) -> None:
+        """One more part, built with the same terms. The first one is the index itself."""
+        if len(self.ids):
+            if not len(part.ids):
+                return
+            self.more.append(part)
+            self.ids, self.labels, self.counts = (np.concatenate([getattr(self, n), getattr(part, n)]) for n in ("ids", "labels", "counts"))
+            return
+        for n in ("ids", "labels", "counts", "blocks", "row_of", "dense", "example", "value", "start", "most", "block_of", "first"):
+            setattr(self, n, getattr(part, n))
+
+    def parts(self) -> list[tuple[int, Index]]:
+        """(place of its first example, part) of each part."""
+        sizes = [len(p.ids) for p in self.more]
+        return list(zip([0, *(len(self.ids) - np.cumsum(sizes[::-1])[::-1] if sizes else [])], [self, *self.more], strict=True))
+
+    def known(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the part's frequent terms give to each text and example."""
+        q = np.zeros((len(vectors), len(self.dense)), np.float32)
+        for k, (t, w) in enumerate(vectors):
+            row = self.row_of[t]
+            q[k, row[row >= 0]] = w[row >= 0]
+        return q @ self.dense
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST, known: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(places, cosines) of the k nearest examples of all parts with a cosine over 0; ties go to the first places."""
+        places, cosines = np.empty(0, np.int64), np.empty(0)
+        for j, (offset, part) in enumerate(self.parts()):
+            of_frequent = part.known([(terms, weights)])[0] if known is None else known[j]
+            places, cosines = part._nearer(terms, weights.astype(np.float32), k, of_frequent, offset, places, cosines)
+        return places, cosines
+
+    def _nearer(self, terms: np.ndarray, weights: np.ndarray, k: int, known: np.ndarray, offset: int, places: np.ndarray, cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest of those found and this part's examples: blocks in order of their bounds, in waves that double, until none can change them."""
+        rare = self.row_of[terms] < 0
+        terms, weights = terms[rare], weights[rare]
         entry, of_term = _ranges(self.first[terms], self.first[terms + 1])
         w, of = weights[of_term], self.block_of[entry]
         bound = known.reshape(self.blocks, BLOCK).max(axis=1) + np.bincount(of, w * self.most[entry], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
-        order = order[: int((bound > 0).sum())]
-        places, cosines = np.empty(0, np.int64), np.empty(0)
+        order, size = order[: int((bound > 0).sum())], WAVE
         while len(order):
             least = cosines[k - 1] - 1e-5 if len(places) >= k else 0.0
-            wave, order = order[:WAVE], order[WAVE:]
-            if bound[wave[0]] < least:
+            wave, order, size = order[:size], order[size:], 2 * size
+            wave = wave[bound[wave] >= least]
+            if not len(wave):
                 break
             chosen = np.zeros(self.blocks, bool)
             chosen[wave] = True
@@ -181,16 +218,17 @@ class Index:
             posting, of_entry = _ranges(self.start[entry[here]], self.start[entry[here] + 1])
             got = known + np.bincount(self.example[posting], w[here][of_entry] * self.value[posting], minlength=len(known))
             hit = np.flatnonzero((got > least) & np.repeat(chosen, BLOCK))
-            places, cosines = np.concatenate([places, hit]), np.concatenate([cosines, got[hit]])
+            places, cosines = np.concatenate([places, hit + offset]), np.concatenate([cosines, got[hit]])
             best = np.lexsort((places, -cosines.round(6)))[:k]
             places, cosines = places[best], cosines[best]
         return places, cosines
 
     def has(self, place: int, term: int) -> bool:
         """Whether an example has a term."""
-        if self.row_of[term] >= 0:
-            return bool(self.dense[self.row_of[term], place] > 0)
-        return bool((self.example[self.start[self.first[term]] : self.start[self.first[term + 1]]] == place).any())
+        offset, part = next(x for x in reversed(self.parts()) if x[0] <= place)
+        if part.row_of[term] >= 0:
+            return bool(part.dense[part.row_of[term], place - offset] > 0)
+        return bool((part.example[part.start[part.first[term]] : part.start[part.first[term + 1]]] == place - offset).any())
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         w = cosines**POWER
@@ -199,10 +237,13 @@ class Index:
 
     def votes(self, texts: pa.Array) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
         """(vote, places of the nearest, terms, weights) of each text."""
-        out = []
-        for t, w in self.vectors(texts):
-            near = self.nearest(t, w) if len(t) and len(self.ids) else (np.empty(0, np.int64), np.empty(0))
-            out.append((self.vote(*near), near[0], t, w))
+        out, vectors = [], self.vectors(texts)
+        for k in range(0, len(vectors), TOGETHER):
+            some = vectors[k : k + TOGETHER]
+            known = [p.known(some) for _, p in self.parts()] if len(self.ids) else []
+            for j, (t, w) in enumerate(some):
+                near = self.nearest(t, w, known=[x[j] for x in known]) if len(t) and len(self.ids) else (np.empty(0, np.int64), np.empty(0))
+                out.append((self.vote(*near), near[0], t, w))
         return out
 
     def score(self, vote: float) -> float:
@@ -233,7 +274,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, train: Column, max_rows: i
     return rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "text", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, max_rows: int = MAX_ROWS, examples: int = EXAMPLES) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, max_rows: int = MAX_ROWS, part_rows: int = PART) -> Index:
     """An index and calibration from the labelled rows for which `train`, a condition on doc_id, holds."""
     spark = docs.sparkSession
     ship(spark)
@@ -256,24 +297,27 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_rows: int = MAX_R
     held = spark.sparkContext.broadcast(index)
     draw = lambda name: F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(name)), 11) / F.lit(float(2**53))
     calibrates = draw("calibrate") < 1 / CALIBRATE
-    each = {1: pos * (1 - 1 / CALIBRATE), 0: neg * (1 - 1 / CALIBRATE)}
-    most = {k: max(examples / 2, examples - each[1 - k]) for k in (0, 1)}
-    share = {k: min(1.0, most[k] / max(1.0, each[k])) for k in (0, 1)}
-    chosen = rows.where(~calibrates & (draw("example") < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])))
+    chosen = rows.where(~calibrates)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in text_slices(whole, "text"):
                 got = held.value.vectors(b.column("text"))
-                cols = [pa.array([t for t, _ in got], pa.list_(pa.int64())), pa.array([w.astype(np.float32) for _, w in got], pa.list_(pa.float32()))]
+                cols = [pa.array([t.astype(np.int32) for t, _ in got], pa.list_(pa.int32())), pa.array([w.astype(np.float32) for _, w in got], pa.list_(pa.float32()))]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *cols], names=["doc_id", "toxic", "terms", "weights"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    table = chosen.mapInArrow(vectors, f"doc_id {kind}, toxic int, terms array<long>, weights array<float>").toArrow()  # EXAMPLES vectors
-    cols = zip(table.column("doc_id").to_pylist(), table.column("toxic").to_pylist(), table.column("terms"), table.column("weights"), strict=True)
-    vectors_of = [(i, y, t.values.to_numpy(), w.values.to_numpy().astype(float), 1 / share[y]) for i, y, t, w in cols]
-    index.build([x for x in vectors_of if len(x[2])])
-    bare = [x[1] for x in vectors_of if not len(x[2])]
+    examples = scratch.put("examples", chosen.mapInArrow(vectors, f"doc_id {kind}, toxic int, terms array<int>, weights array<float>"))
+    n_parts, bare = -(-examples.count() // part_rows), []
+    for k in range(n_parts):
+        table = examples.where(F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)) == k).toArrow()  # about part_rows vectors
+        cols = zip(table.column("doc_id").to_pylist(), table.column("toxic").to_pylist(), table.column("terms"), table.column("weights"), strict=True)
+        of_part = [(i, y, t.values.to_numpy(), w.values.to_numpy(), 1.0) for i, y, t, w in cols]
+        bare += [x[1] for x in of_part if not len(x[2])]
+        part = Index(index.words, index.weight)
+        part.build([x for x in of_part if len(x[2])])
+        index.add(part)
+        del table, cols, of_part
     index.rate = (sum(bare) + index.rate) / (len(bare) + 1)
     held.destroy()
     held = spark.sparkContext.broadcast(index)
@@ -288,7 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_rows: int = MAX_R
         order = np.lexsort((check.column("toxic").to_numpy(), check.column("vote").to_numpy()))
         index.slope, index.shift = calibrate(check.column("vote").to_numpy()[order], check.column("toxic").to_numpy()[order].astype(float))
     held.destroy()
-    scratch.drop("rows", "once")
+    scratch.drop("rows", "once", "examples")
     return index
 
 
