@@ -1,5 +1,7 @@
 """All fitted rows are examples, in parts that are searched as one."""
 
+import pickle
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -52,3 +54,13 @@ def test_parts_are_searched_as_one():
             assert np.allclose(cosines, best[best > 0], atol=1e-5) and np.allclose(dense[places][:, t] @ w, cosines, atol=1e-5)
         p = int(places[0])
         assert all(index.has(p, j) == (dense[p, j] > 0) for j in range(80))
+
+
+def test_an_index_arrives_as_it_was_sent(spark):
+    docs, labels = texts(spark, 600)
+    index = toxicity.fit(docs, labels, F.lit(True), part_rows=150)
+    sent = pickle.dumps(index)
+    got = pickle.loads(sent)
+    assert len(sent) < 0.5 * sum(getattr(p, n).nbytes for _, p in index.parts() for n in toxicity.ARRANGED)
+    for (_, p), (_, q) in zip(index.parts(), got.parts(), strict=True):
+        assert all(np.array_equal(getattr(p, n), getattr(q, n)) and getattr(p, n).dtype == getattr(q, n).dtype for n in toxicity.ARRANGED)

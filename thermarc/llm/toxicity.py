@@ -112,6 +112,10 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n), of
 
 
+#: What an index makes of its examples.
+ARRANGED = ("row_of", "dense", "example", "value", "start", "most", "block_of", "first")
+
+
 @dataclass
 class Index:
     """Examples in blocks. A term's entries are the blocks that have it, with its greatest weight there; an entry's postings are the block's examples with the term, and their weights.
@@ -128,14 +132,20 @@ class Index:
     shift: float = 0.0
     blocks: int = 0
     more: list[Index] = field(default_factory=list)
+    own: int = 0
+    packed: tuple = ()
 
-    def vectors(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(terms, weights of length 1) of each text; empty without a known term."""
+    def term_counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ends of texts, terms, how often each stands in its text)."""
         row, _, term = term_places(*bare_words(texts), self.words)
         keys, n = np.unique(row * max(1, len(self.words)) + term, return_counts=True)
         row, term = np.divmod(keys, max(1, len(self.words)))
+        return np.searchsorted(row, np.arange(len(texts) + 1)), term, n
+
+    def vectors(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms, weights of length 1) of each text; empty without a known term."""
+        ends, term, n = self.term_counts(texts)
         w = (1 + np.log(n)) * self.weight[term] if len(term) else np.empty(0)
-        ends = np.searchsorted(row, np.arange(len(texts) + 1))
         return [(term[a:b], w[a:b] / max(1e-12, float(np.sqrt(w[a:b] @ w[a:b])))) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def build(self, examples: list[tuple]) -> None:
@@ -143,28 +153,55 @@ class Index:
         examples = sorted(examples, key=lambda x: (x[1], int(x[2][np.argmax(x[3])]), np.asarray(x[2]).astype(">i4").tobytes(), str(x[0])))
         self.ids = np.array([x[0] for x in examples])
         self.labels, self.counts = np.array([x[1] for x in examples], float), np.array([x[4] for x in examples], float)
-        self.blocks = -(-len(examples) // BLOCK)
+        self.own, self.blocks = len(examples), -(-len(examples) // BLOCK)
         at = np.repeat(np.arange(len(examples), dtype=np.int32), [len(x[2]) for x in examples])
         term = np.concatenate([x[2] for x in examples]).astype(np.int32) if examples else np.empty(0, np.int32)
-        w = np.concatenate([x[3] for x in examples]).astype(np.float32) if examples else np.empty(0, np.float32)
-        df = np.bincount(term, minlength=len(self.words))
-        frequent = np.flatnonzero(df * DENSE >= max(1, len(examples)))
+        order = np.argsort(term, kind="stable")  # examples ascend within a term
+        at, term = at[order], term[order]
+        times = np.concatenate([x[5] for x in examples])[order] if examples and len(examples[0]) > 5 else None
+        if times is None:
+            self._arrange(at, term, np.concatenate([x[3] for x in examples]).astype(np.float32)[order] if examples else np.empty(0, np.float32))
+            return
+        norm = self._norms(at, term, times)
+        gaps = np.diff(at, prepend=np.int32(0)).astype(np.int32)
+        self.packed = (len(at), norm, *(bytes(pa.compress(x.astype(np.int32).tobytes(), "zstd", asbytes=True)) for x in (np.bincount(term, minlength=len(self.words)), gaps, times)))
+        self._arrange(at, term, self._values(at, term, times, norm))
+
+    def _norms(self, at: np.ndarray, term: np.ndarray, times: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.bincount(at, np.square((1 + np.log(times)) * self.weight[term]), minlength=len(self.ids)))
+
+    def _values(self, at: np.ndarray, term: np.ndarray, times: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        return ((1 + np.log(times)) * self.weight[term] / np.maximum(1e-12, norm[at])).astype(np.float32)
+
+    def _arrange(self, at: np.ndarray, term: np.ndarray, w: np.ndarray) -> None:
+        """Matrix, postings and entries from (example, term, weight), ordered by term and example."""
+        n = self.blocks * BLOCK
+        frequent = np.flatnonzero(np.bincount(term, minlength=len(self.words)) * DENSE >= max(1, self.own))
         self.row_of = np.full(len(self.words), -1, np.int32)
         self.row_of[frequent] = np.arange(len(frequent))
-        self.dense = np.zeros((len(frequent), self.blocks * BLOCK), np.float32)
+        self.dense = np.zeros((len(frequent), n), np.float32)
         is_frequent = self.row_of[term] >= 0
         self.dense[self.row_of[term[is_frequent]], at[is_frequent]] = w[is_frequent]
-        at, w, term = at[~is_frequent], w[~is_frequent], term[~is_frequent]
-        order = np.argsort(term, kind="stable")  # examples ascend within a term
-        self.example, self.value, term = at[order], w[order], term[order]
-        block = self.example // BLOCK
-        self.example = self.example.astype(np.uint16 if len(examples) < 1 << 16 else np.int32)
+        at, self.value, term = at[~is_frequent], w[~is_frequent], term[~is_frequent]
+        self.example, block = at.astype(np.uint16 if n < 1 << 16 else np.int32), at // BLOCK
         start = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.empty(0, np.int64)
         self.start = np.append(start, len(term)).astype(np.int32)
         self.most = np.maximum.reduceat(self.value, start) * np.float32(1 + 1e-6) if len(start) else np.empty(0, np.float32)
         self.block_of = block[start].astype(np.int16 if self.blocks < 1 << 15 else np.int32)
         self.first = np.searchsorted(term[start], np.arange(len(self.words) + 1)).astype(np.int32)
 
+    def __getstate__(self) -> dict:
+        """What goes to the executors: counts of terms and gaps between examples, compressed, in place of the arrays made of them."""
+        return {k: v for k, v in self.__dict__.items() if not self.packed or k not in ARRANGED}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        if self.packed:
+            n, norm, *packed = self.packed
+            df, gaps, times = (np.frombuffer(pa.decompress(x, 4 * m, "zstd"), np.int32) for x, m in zip(packed, (len(self.words), n, n), strict=True))
+            at, term = np.cumsum(gaps, dtype=np.int32), np.repeat(np.arange(len(df), dtype=np.int32), df)
+            self._arrange(at, term, self._values(at, term, times, norm))
+
     def add(self, part: Index) -> None:
         """One more part, built with the same terms. The first one is the index itself."""
         if len(self.ids):
@@ -173,7 +210,7 @@ class Index:
             self.more.append(part)
             self.ids, self.labels, self.counts = (np.concatenate([getattr(self, n), getattr(part, n)]) for n in ("ids", "labels", "counts"))
             return
-        for n in ("ids", "labels", "counts", "blocks", "row_of", "dense", "example", "value", "start", "most", "block_of", "first"):
+        for n in ("ids", "labels", "counts", "blocks", "own", "packed", *ARRANGED):
             setattr(self, n, getattr(part, n))
 
     def parts(self) -> list[tuple[int, Index]]:
@@ -302,17 +339,17 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, max_rows: int = MAX_R
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in text_slices(whole, "text"):
-                got = held.value.vectors(b.column("text"))
-                cols = [pa.array([t.astype(np.int32) for t, _ in got], pa.list_(pa.int32())), pa.array([w.astype(np.float32) for _, w in got], pa.list_(pa.float32()))]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *cols], names=["doc_id", "toxic", "terms", "weights"])
+                ends, term, n = held.value.term_counts(b.column("text"))
+                cols = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (term, n)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *cols], names=["doc_id", "toxic", "terms", "times"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    examples = scratch.put("examples", chosen.mapInArrow(vectors, f"doc_id {kind}, toxic int, terms array<int>, weights array<float>"))
+    examples = scratch.put("examples", chosen.mapInArrow(vectors, f"doc_id {kind}, toxic int, terms array<int>, times array<int>"))
     n_parts, bare = -(-examples.count() // part_rows), []
     for k in range(n_parts):
         table = examples.where(F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)) == k).toArrow()  # about part_rows vectors
-        cols = zip(table.column("doc_id").to_pylist(), table.column("toxic").to_pylist(), table.column("terms"), table.column("weights"), strict=True)
-        of_part = [(i, y, t.values.to_numpy(), w.values.to_numpy(), 1.0) for i, y, t, w in cols]
+        cols = zip(table.column("doc_id").to_pylist(), table.column("toxic").to_pylist(), table.column("terms"), table.column("times"), strict=True)
+        of_part = [(i, y, t.values.to_numpy(), (1 + np.log(n.values.to_numpy())) * index.weight[t.values.to_numpy()], 1.0, n.values.to_numpy()) for i, y, t, n in cols]
         bare += [x[1] for x in of_part if not len(x[2])]
         part = Index(index.words, index.weight)
         part.build([x for x in of_part if len(x[2])])
