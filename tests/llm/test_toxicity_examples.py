@@ -3,6 +3,7 @@
 import pickle
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from thermarc.llm import toxicity
@@ -64,3 +65,41 @@ def test_an_index_arrives_as_it_was_sent(spark):
     assert len(sent) < 0.5 * sum(getattr(p, n).nbytes for _, p in index.parts() for n in toxicity.ARRANGED)
     for (_, p), (_, q) in zip(index.parts(), got.parts(), strict=True):
         assert all(np.array_equal(getattr(p, n), getattr(q, n)) and getattr(p, n).dtype == getattr(q, n).dtype for n in toxicity.ARRANGED)
+
+
+def test_the_driver_holds_no_part_unpacked(spark):
+    docs, labels = texts(spark, 600)
+    index = toxicity.fit(docs, labels, F.lit(True), part_rows=150)
+    assert len(index.parts()) > 1
+    assert all(p.packed and not set(toxicity.ARRANGED) & set(p.__dict__) for _, p in index.parts())
+
+
+@pytest.mark.parametrize("cells", [0, toxicity.CELLS])  # 0: postings and bounds alone, no matrix
+def test_groups_give_the_nearest_of_all_parts(monkeypatch, cells):
+    monkeypatch.setattr(toxicity, "CELLS", cells)
+    r = np.random.default_rng(7)
+
+    def vector(low):
+        t = np.unique(r.integers(low, low + 60, r.integers(1, 9)))
+        w = r.random(len(t)) + 0.1
+        return t.astype(np.int32), w / np.sqrt(w @ w)
+
+    index = toxicity.Index({f"w{k}": k for k in range(100)}, r.random(100) + 0.5)
+    for k in range(3):
+        part = toxicity.Index(index.words, index.weight)
+        examples = [(1000 * k + j, j % 2, *vector(40 * (j % 2)), 1.0) for j in range(900)]
+        part.build([(*x, r.integers(1, 4, len(x[2])).astype(np.int32)) for x in examples])
+        index.add(part)
+    found = index.grouped()
+    assert len(found.groups) > 1 and sorted(np.concatenate(found.places).tolist()) == list(range(2700))
+    queries = [vector(40 * (k % 2)) for k in range(300)] + [(np.empty(0, np.int32), np.empty(0))]
+    dense = np.zeros((2700, 100))
+    for offset, part in index.parts():
+        at, term, times, norm = part._unpacked()
+        dense[offset + at, term] = (1 + np.log(times)) * index.weight[term] / norm[at]
+    for (t, w), (places, cosines) in zip(queries, found.nearest(queries), strict=True):
+        all_of = dense[:, t] @ w
+        best = np.sort(all_of)[::-1][: toxicity.NEAREST]
+        assert np.allclose(cosines, best[best > 0], atol=1e-5) and np.allclose(all_of[places], cosines, atol=1e-5)
+        if len(places):
+            assert found.shared(int(places[0]), np.arange(100)) == set(np.flatnonzero(dense[places[0]]).tolist())
