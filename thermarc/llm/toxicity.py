@@ -48,8 +48,10 @@ NEAREST, BLOCK, WAVE, POWER, PRIOR_VOTES = 15, 256, 4, 4, 0.25
 DENSE = 16
 #: Groups of similar examples, found in FEATURES frequent terms. Terms whose postings give a first bound of the nearest.
 GROUPS, FEATURES, HEAVIEST = 2, 256, 16
+#: Postings and entries arranged at a time.
+RUN = 1 << 19
 #: Texts looked up together. A term is a row of their matrix product with a group if it saves more postings than it has cells, at so many cells a posting; rows at a time.
-TOGETHER, CELLS, ROWS = 256, 400, 256
+TOGETHER, CELLS, ROWS = 512, 400, 256
 THRESHOLD = 0.3
 #: Heaviest words of a text looked at for evidence.
 WORDS = 8
@@ -221,10 +223,13 @@ class Index:
 
     def _bound(self, of_entry: np.ndarray) -> None:
         """Where entries start, and their greatest weights, from the number of postings of each."""
-        self.start = np.concatenate([[0], np.cumsum(of_entry)]).astype(np.int32)
-        self.most, full = np.zeros(len(of_entry), np.float32), np.flatnonzero(of_entry)
-        if len(full):
-            self.most[full] = np.maximum.reduceat(self.value, self.start[full]) * np.float32(1 + 1e-6)
+        self.start, self.most = np.zeros(len(of_entry) + 1, np.int32), np.zeros(len(of_entry), np.float32)
+        np.cumsum(of_entry, out=self.start[1:])
+        for a in range(0, len(of_entry), RUN):
+            full = a + np.flatnonzero(of_entry[a : a + RUN])
+            if len(full):
+                here = slice(self.start[full[0]], self.start[full[-1] + 1])
+                self.most[full] = np.maximum.reduceat(self.value[here], self.start[full] - here.start) * np.float32(1 + 1e-6)
         self.first = np.arange(len(self.words) + 1, dtype=np.int64) * self.blocks
 
     def __getattr__(self, name: str) -> np.ndarray:
@@ -241,6 +246,14 @@ class Index:
         df, gaps, times = (np.frombuffer(pa.decompress(x, 4 * m, "zstd"), np.int32) for x, m in zip(packed, (len(self.words), n, n), strict=True))
         return np.cumsum(gaps, dtype=np.int32), np.repeat(np.arange(len(df), dtype=np.int32), df), times, norm
 
+    def runs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place, term, weight) of all parts' postings, part by part, by term and example, some at a time."""
+        for offset, part in self.parts():
+            at, term, times, norm = part._unpacked()
+            for a in range(0, len(at), RUN):
+                here = slice(a, a + RUN)
+                yield at[here] + np.int32(offset), term[here], part._values(at[here], term[here], times[here], norm)
+
     def __getstate__(self) -> dict:
         """What goes to the executors: counts of terms and gaps between examples, compressed, in place of the arrays made of them."""
         return {k: v for k, v in self.__dict__.items() if k not in ("_sets", "_grouped", "_sent") and not (self.packed and k in ARRANGED)}
@@ -281,10 +294,16 @@ class Index:
         for j, (offset, part) in enumerate(self.parts()):
             of_frequent = part.known([(terms, weights)])[0] if known is None else known[j]
             rare = part.row_of[terms] < 0
-            places, cosines = part._nearer(terms[rare], weights[rare].astype(np.float32), k, of_frequent, np.arange(offset, offset + part.own), places, cosines)
+            lists = part._lists(terms[rare])
+            places, cosines = part._nearer(terms[rare], *lists, weights[rare].astype(np.float32), k, of_frequent, np.arange(offset, offset + part.own), places, cosines)
         return places, cosines
 
-    def _nearer(self, terms: np.ndarray, weights: np.ndarray, k: int, known: np.ndarray, place_of: np.ndarray, places: np.ndarray, cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _lists(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each term's postings start, and their number."""
+        start = self.start[self.first[terms]].astype(np.int64)
+        return start, self.start[self.first[terms + 1]] - start
+
+    def _nearer(self, terms: np.ndarray, start: np.ndarray, times: np.ndarray, weights: np.ndarray, k: int, known: np.ndarray, place_of: np.ndarray, places: np.ndarray, cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest of those found and this part's examples: blocks in order of their bounds, in waves, until none can change them."""
         if not self.blocks:
             return places, cosines
@@ -294,7 +313,7 @@ class Index:
             return places, cosines
         if not len(places):
             heavy = np.argpartition(-weights, HEAVIEST)[:HEAVIEST] if len(weights) > HEAVIEST else np.arange(len(weights))
-            least = _kth_at_least(self._added(terms[heavy], weights[heavy], known), k) - 1e-5  # what some terms give is a lower bound
+            least = _kth_at_least(self._added(start[heavy], times[heavy], weights[heavy], known), k) - 1e-5  # what some terms give is a lower bound
         order, size = np.argsort(-bound, kind="stable"), WAVE
         order = order[bound[order] > 0]
         while True:
@@ -305,7 +324,7 @@ class Index:
                 size = self.blocks
             wave, order, size = order[:size], order[size:], 2 * size
             if 3 * len(wave) > self.blocks:
-                got = self._added(terms, weights, known)
+                got = self._added(start, times, weights, known)
             else:
                 got = self._added_of(wave, terms, weights, known)
             least = max(least, _kth_at_least(got, k) - 2e-6)
@@ -316,14 +335,12 @@ class Index:
             if len(places) >= k:
                 least = max(least, cosines[k - 1] - 1e-5)
 
-    def _added(self, terms: np.ndarray, weights: np.ndarray, known: np.ndarray) -> np.ndarray:
-        """What is known of each example's cosine and what these terms give to it."""
-        lo, hi = self.start[self.first[terms]].astype(np.int64), self.start[self.first[terms + 1]]
-        n = hi - lo
-        posting = np.repeat(lo - (np.cumsum(n) - n), n)
+    def _added(self, start: np.ndarray, times: np.ndarray, weights: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """What is known of each example's cosine and what these lists of postings give to it."""
+        posting = np.repeat(start - (np.cumsum(times) - times), times)
         posting += np.arange(len(posting))
         w = self.value.take(posting)
-        w *= np.repeat(weights, n)
+        w *= np.repeat(weights, times)
         return known + np.bincount(self.example.take(posting), w, minlength=len(known))
 
     def _added_of(self, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -374,9 +391,8 @@ class Grouped:
         n_groups = int(of_example.max()) + 1
         places = [np.flatnonzero(of_example == g) for g in range(n_groups)]
         local, df = np.zeros(len(of_example), np.int32), np.zeros((n_groups, n_terms), np.int64)
-        for offset, part in index.parts():
-            at, term, *_ = part._unpacked()
-            df += np.bincount(of_example[offset + at] * n_terms + term, minlength=df.size).reshape(df.shape)
+        for at, term, _ in index.runs():
+            df += np.bincount(of_example[at] * n_terms + term, minlength=df.size).reshape(df.shape)
         found = cls(places, [], np.zeros((n_terms, n_groups), np.float32))
         for g, p in enumerate(places):
             local[p] = np.arange(len(p))
@@ -385,18 +401,17 @@ class Grouped:
             group.example, group.value = np.empty(df[g].sum(), np.uint16 if len(p) < 1 << 16 else np.int32), np.empty(df[g].sum(), np.float32)
             found.groups.append(group)
         free, of_entry = np.cumsum(df, axis=1) - df, [np.zeros(n_terms * g.blocks, np.int32) for g in found.groups]
-        for offset, part in index.parts():  # one after the other: no second copy of all
-            at, term, times, norm = part._unpacked()
-            w, in_group = part._values(at, term, times, norm), of_example[offset + at]
+        for at, term, w in index.runs():
+            in_group = of_example[at]
             for g, group in enumerate(found.groups):
                 here = np.flatnonzero(in_group == g)
-                t, example, v = term[here], local[offset + at[here]], w[here]
+                t, example, v = term[here], local[at[here]], w[here]
                 n = np.bincount(t, minlength=n_terms)
                 to = np.repeat(free[g] - (np.cumsum(n) - n), n)
                 to += np.arange(len(t))
                 group.example[to], group.value[to] = example, v
                 free[g] += n
-                of_entry[g] += np.bincount(t.astype(np.int64) * group.blocks + example // BLOCK, minlength=len(of_entry[g])).astype(np.int32)
+                np.add.at(of_entry[g], t.astype(np.int64) * group.blocks + example // BLOCK, 1)
                 found.like[:, g] += np.bincount(t, v, minlength=n_terms) / group.own
         for group, n in zip(found.groups, of_entry, strict=True):
             group._bound(n)
@@ -420,13 +435,12 @@ class Grouped:
             met = [self._meet(g, row, term, w, len(some)) for g in self.groups]
             for n, j in enumerate(some):
                 for g in np.argsort(-likes[j], kind="stable").tolist() if long[j] else []:
-                    known, ends, rest, weights = met[g]
-                    here = slice(ends[n], ends[n + 1])
-                    out[j] = self.groups[g]._nearer(rest[here], weights[here], k, known[n], self.places[g], *out[j])
+                    known, ends, *rest = met[g]
+                    out[j] = self.groups[g]._nearer(*(x[ends[n] : ends[n + 1]] for x in rest), k, known[n], self.places[g], *out[j])
         return out
 
-    def _meet(self, group: Index, row: np.ndarray, term: np.ndarray, w: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(what the terms that pay as rows of a matrix give to each text and example; ends of the texts, terms and weights of the others)."""
+    def _meet(self, group: Index, row: np.ndarray, term: np.ndarray, w: np.ndarray, n_rows: int) -> tuple[np.ndarray, ...]:
+        """(what the terms that pay as rows of a matrix give to each text and example; ends of the texts, terms, their lists and weights of the others)."""
         n, n_terms = group.blocks * BLOCK, len(group.words)
         df = np.diff(group.start[group.first])
         times = np.bincount(term, minlength=n_terms)
@@ -444,22 +458,21 @@ class Grouped:
             rows[r, group.example[posting]] = group.value[posting]
             known += q[a : a + ROWS].T @ rows
         rest = (of < 0) & (df[term] > 0)
-        return known, np.searchsorted(row[rest], np.arange(n_rows + 1)), term[rest], w[rest]
+        return known, np.searchsorted(row[rest], np.arange(n_rows + 1)), term[rest], *group._lists(term[rest]), w[rest]
 
 
 def _similar(index: Index, rounds: int = 8) -> np.ndarray:
     """A group of each example, by k-means over its most frequent terms. What is found depends on no group."""
     n, df = len(index.ids), np.zeros(len(index.words), np.int64)
     for _, part in index.parts():
-        df += np.bincount(part._unpacked()[1], minlength=len(df))
+        df += np.frombuffer(pa.decompress(part.packed[2], 4 * len(df), "zstd"), np.int32)
     column = np.full(len(df), -1)
     frequent = np.argsort(-df, kind="stable")[:FEATURES]
     column[frequent] = np.arange(len(frequent))
     x = np.zeros((n, len(frequent)), np.float32)
-    for offset, part in index.parts():
-        at, term, *_ = part._unpacked()
+    for at, term, _ in index.runs():
         has = np.flatnonzero(column[term] >= 0)
-        x[offset + at[has], column[term[has]]] = np.log1p(n / df[term[has]])
+        x[at[has], column[term[has]]] = np.log1p(n / df[term[has]])
     x /= np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True))
     draw, centres = np.random.default_rng(0), x[:1]
     while len(centres) < min(GROUPS, n // (4 * BLOCK)):
