@@ -10,7 +10,8 @@ weighted by distance, then calibrated on training rows that are no examples. The
 examples and the heaviest words in common are the evidence.
 
 The fit takes at most about MAX_ROWS labelled rows, chosen by a hash of their id. All of these that don't calibrate are
-examples, in parts of about PART that are gathered and sent to the executors one after the other; everything else covers all rows.
+examples, in parts of about PART, each packed by the task that builds it; the driver holds them packed and sends them to the executors, which
+arrange them in groups of similar examples. Everything else covers all rows.
 
 Defined results: null and empty texts, and texts without a known term, get the calibrated rate of training
 texts without one. Without labels of both kinds every score is the rate of label 1 (0 without labels).
