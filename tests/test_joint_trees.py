@@ -130,3 +130,20 @@ def test_search_keeps_the_first_of_the_lowest(spark):
     assert [t["score"] for t in trials] == sorted((t["score"] for t in trials), reverse=True) and trials[1]["score"] == trials[2]["score"]
     assert best.settings["max_depth"] == 3 and len(best.joint.trees) == 8
     assert models.selection_score(models.target_rmse(best.predict(held), tuple(Y), "prediction"), None, "pooled_rmse") == pytest.approx(trials[1]["score"], abs=1e-6)
+
+
+def test_tasks_of_a_candidate_grow_the_trees_of_the_jobs(spark, monkeypatch):
+    """The whole search over few rows is one job, and gives the trees and scores of the jobs by level."""
+    noisy = table(50, 1)
+    noisy[:, 3:] += np.random.default_rng(2).normal(0, 3, (50, 2))
+    train, held = frame(spark, table(150)), frame(spark, noisy)
+    grid = [Settings(26, 3, 0.9, 0.8, 0.67, early_stopping=3), Settings(23, 2, 0.1, early_stopping=50), Settings(3, 4, 0.9)]
+    monkeypatch.setattr(joint_trees, "_sums", lambda *_: pytest.fail("a job for a level"))
+    apart = joint_trees.fit(train, X, Y, grid, 7, held, bins=16)
+    monkeypatch.undo()
+    monkeypatch.setattr(joint_trees, "FEW_ROWS", 199)
+    jobs = joint_trees.fit(train, X, Y, grid, 7, held, bins=16)
+    for a, b in zip(apart, jobs, strict=True):
+        assert len(a.trees) == len(b.trees) and a.best_iteration == b.best_iteration and a.scores == pytest.approx(b.scores, rel=1e-12)
+        assert all(np.array_equal(getattr(x, k), getattr(y, k)) for x, y in zip(a.trees, b.trees, strict=True) for k in ("predictor", "bin", "value"))
+    assert len(apart[0].trees) < 26 and len(apart[1].trees) == len(apart[1].scores) == 23  # one stops early, one has margins stored

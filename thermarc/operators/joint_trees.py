@@ -4,6 +4,9 @@ A level of a tree is one Spark job: every task sums the gradients of its rows by
 and the sums are added. What comes to the driver are these sums: 2**depth nodes, predictors and bins for each model, whatever the rows.
 All candidates of a search grow side by side in the same jobs, so a search costs the levels of its largest candidate.
 
+Up to `FEW_ROWS` rows the starting of such jobs would be nearly all of the work. Then the candidates are what is dealt out: a task grows all trees of one, over
+a copy of the rows. Both ways call the same code on sums that are equal to the bit, so they give the same trees.
+
 Squared error: a leaf is -G / (n + L2) for each target, a split's gain the sum over targets of G^2 / (n + L2) of both sides less that of the node. Gradients are summed up
 as whole numbers in small steps, so no order of tasks changes a sum, and a fit can be repeated to the bit.
 
@@ -16,7 +19,7 @@ from __future__ import annotations
 import json
 import math
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -33,6 +36,8 @@ BINS = 64
 L2, FEWEST = 1.0, 1
 #: Trees that tasks score anew before the margins are stored again.
 HELD_TREES = 20
+#: The most rows (training and validation) of which a task takes a copy, to grow a candidate by itself: some 3 MB with three predictors and two targets.
+FEW_ROWS = 65_536
 
 
 @dataclass(frozen=True)
@@ -194,10 +199,35 @@ def _margins(batch: pa.RecordBatch, n_models: int, n_targets: int) -> np.ndarray
     return batch.column("m").flatten().to_numpy().reshape(batch.num_rows, n_models, n_targets)
 
 
+def _part(g: _Growing) -> tuple:
+    """What tasks need of a growing tree: it, its open nodes, the share of rows that it sees, its number and seed."""
+    return g.tree(), g.open, g.model.settings.subsample, len(g.model.trees), g.model.seed
+
+
+def _node_sums(part: tuple, bins: np.ndarray, residuals: np.ndarray, check: np.ndarray, u: np.ndarray, unit: np.ndarray, n_bins: int) -> np.ndarray:
+    """Counts and gradients, as whole numbers of units, of the training rows in the open nodes: (node, predictor, bin) x (count, gradient of each target)."""
+    tree, nodes, share, number, seed = part
+    n_p, n_t = bins.shape[1], residuals.shape[1]
+    g = np.rint(residuals / unit).astype(np.int64)
+    seen = ~check & (_drawn(u, share, number, seed) if share < 1 else True)
+    slot = np.full(len(tree.predictor), -1)
+    slot[nodes] = np.arange(len(nodes))
+    at = slot[tree.leaves(bins)]
+    here = np.flatnonzero(seen & (at >= 0))
+    size = len(nodes) * n_p * n_bins
+    h = np.zeros((size, n_t + 1), np.int64)
+    for p in range(n_p):
+        place = (at[here] * n_p + p) * n_bins + bins[here, p]
+        h[:, 0] += np.bincount(place, minlength=size)
+        for k in range(n_t):
+            h[:, k + 1] += np.bincount(place, g[here, k], size).astype(np.int64)  # whole numbers, exact in doubles within a batch
+    return h
+
+
 def _sums(rows: DataFrame, growing: list[_Growing], held: list[list[Tree]], live: list[int], n_bins: int, unit: np.ndarray, score: bool) -> tuple[dict[int, dict[int, np.ndarray]], dict[int, tuple[float, int]]]:
     """The gradient sums of the open nodes of the live models, and with `score` their squared errors on validation rows."""
     n_p, n_t, n_m = len(growing[0].model.predictors), len(growing[0].model.targets), len(growing)
-    parts = {i: (growing[i].tree(), growing[i].open, growing[i].model.settings.subsample, len(growing[i].model.trees), growing[i].model.seed) for i in live}
+    parts = {i: _part(growing[i]) for i in live}
     names = ["n", *[f"g{k}" for k in range(n_t)]]
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,24 +239,13 @@ def _sums(rows: DataFrame, growing: list[_Growing], held: list[list[Tree]], live
             bins, y = _bins_and_targets(batch, n_p, n_t)
             margins, check = _margins(batch, n_m, n_t), batch.column("v").to_numpy(zero_copy_only=False)
             u = batch.column("u").to_numpy()
-            for i, (tree, nodes, share, number, seed) in parts.items():
+            for i, part in parts.items():
                 m = margins[:, i] + sum((t.value[t.leaves(bins)] for t in held[i]), np.zeros((1, n_t)))
-                g = np.rint((m - y) / unit).astype(np.int64)
                 if score and check.any():
                     e = ((m - y)[check] ** 2).sum()
                     errors[i] = errors.get(i, np.zeros(2)) + [e, check.sum() * n_t]
-                seen = ~check & (_drawn(u, share, number, seed) if share < 1 else True)
-                slot = np.full(len(tree.predictor), -1)
-                slot[nodes] = np.arange(len(nodes))
-                at = slot[tree.leaves(bins)]
-                here = np.flatnonzero(seen & (at >= 0))
-                size = len(nodes) * n_p * n_bins
-                h = acc.setdefault(i, np.zeros((size, n_t + 1), np.int64))
-                for p in range(n_p):
-                    place = (at[here] * n_p + p) * n_bins + bins[here, p]
-                    h[:, 0] += np.bincount(place, minlength=size)
-                    for k in range(n_t):
-                        h[:, k + 1] += np.bincount(place, g[here, k], size).astype(np.int64)  # whole numbers, exact in doubles within a batch
+                h = _node_sums(part, bins, m - y, check, u, unit, n_bins)
+                acc[i] = acc[i] + h if i in acc else h
         out: dict[str, list[np.ndarray]] = {k: [] for k in ("model", "node", "place", *names)}
         for i, h in acc.items():
             full = np.flatnonzero(h[:, 0])
@@ -254,6 +273,92 @@ def _sums(rows: DataFrame, growing: list[_Growing], held: list[list[Tree]], live
     return sums, errors
 
 
+def _grow(growing: list[_Growing], sums: Callable[[list[int], bool], tuple[dict, dict]], added: Callable[[list[int]], None], validated: bool) -> None:
+    """Grows all trees. sums(models, score): the gradient sums of their open nodes, and with `score` their squared errors on validation rows; added(models): each of them has one more tree."""
+    while live := [i for i, g in enumerate(growing) if not g.model.stopped()]:
+        for i in live:
+            growing[i].plant()
+        depth = 0
+        while level := [i for i in live if growing[i].open]:
+            want = validated and depth == 0 and any(growing[i].model.settings.early_stopping for i in level)
+            found, errors = sums(level, want)
+            if depth == 0:  # the errors are of the trees before this one
+                scored = {i for i in level if growing[i].model.settings.early_stopping and growing[i].model.trees and i in errors}
+                for i in scored:
+                    growing[i].model.scores.append((errors[i][0] / errors[i][1]) ** 0.5)
+                level = [i for i in level if i not in scored or not growing[i].model.stopped()]
+                live = [i for i in live if i in level]
+            for i in level:
+                growing[i].split(found[i], depth)
+            depth += 1
+        for i in live:
+            growing[i].model.trees.append(growing[i].tree())
+        if live:
+            added(live)
+    last = [i for i, g in enumerate(growing) if g.model.settings.early_stopping and len(g.model.scores) < len(g.model.trees)]
+    if last and validated:
+        for i in last:
+            growing[i].plant()
+            growing[i].open = []
+        _, errors = sums(last, True)
+        for i in last:
+            if i in errors:
+                growing[i].model.scores.append((errors[i][0] / errors[i][1]) ** 0.5)
+
+
+def _grow_here(g: _Growing, bins: np.ndarray, y: np.ndarray, check: np.ndarray, u: np.ndarray, n_bins: int, unit: np.ndarray) -> None:
+    """Grows all trees of one model over these rows. The order of additions is that of the jobs by level: trees are held and now and then join the margins."""
+    n_p, n_t = bins.shape[1], y.shape[1]
+    margins = np.tile(np.array(g.model.base), (len(y), 1))
+    held, later, many = np.zeros_like(margins), margins.copy(), 0
+    scale = np.concatenate([[1.0], unit])
+
+    def sums(_: list[int], score: bool) -> tuple[dict[int, dict[int, np.ndarray]], dict[int, tuple[float, int]]]:
+        r, errors = margins + held - y, {}
+        if score and check.any():
+            errors[0] = (math.fsum((r[check] ** 2).ravel()), int(check.sum()) * n_t)  # in no order of rows
+        h = _node_sums(_part(g), bins, r, check, u, unit, n_bins).reshape(len(g.open), n_p, n_bins, n_t + 1)
+        return {0: {node: x * scale for node, x in zip(g.open, h, strict=True) if x[0, :, 0].any()}}, errors
+
+    def added(_: list[int]) -> None:
+        nonlocal margins, held, many
+        values = g.model.trees[-1].value[g.model.trees[-1].leaves(bins)]
+        held += values
+        later[:] += values
+        many += 1
+        if many == HELD_TREES:
+            margins, held, many = later.copy(), np.zeros_like(held), 0
+
+    _grow([g], sums, added, bool(check.any()))
+
+
+def _grow_apart(rows: DataFrame, growing: list[_Growing], n_bins: int, unit: np.ndarray) -> None:
+    """Few rows: each model takes a copy of them into a task of its own. Trees and scores come back a row for each tree."""
+    n_p, n_t = len(growing[0].model.predictors), len(growing[0].model.targets)
+
+    def grown(table: pa.Table) -> pa.Table:
+        batch = table.combine_chunks().to_batches()[0]
+        g = growing[batch.column("model")[0].as_py()]
+        bins, y = _bins_and_targets(batch, n_p, n_t)
+        _grow_here(g, bins, y, batch.column("v").to_numpy(zero_copy_only=False), batch.column("u").to_numpy(), n_bins, unit)
+        m = g.model
+        out = {
+            "model": pa.array([batch.column("model")[0].as_py()] * len(m.trees), pa.int32()), "number": pa.array(range(len(m.trees)), pa.int32()),
+            "score": pa.array([m.scores[k] if k < len(m.scores) else None for k in range(len(m.trees))], pa.float64()),
+            "predictor": pa.array([t.predictor for t in m.trees], pa.list_(pa.int32())), "bin": pa.array([t.bin for t in m.trees], pa.list_(pa.int32())),
+            "value": pa.array([t.value.ravel() for t in m.trees], pa.list_(pa.float64())),
+        }
+        return pa.table(out)
+
+    each = rows.select(F.explode(F.sequence(F.lit(0), F.lit(len(growing) - 1))).alias("model"), *rows.columns)
+    trees = each.repartitionByRange(len(growing), "model").groupBy("model").applyInArrow(grown, "model int, number int, score double, predictor array<int>, bin array<int>, value array<double>").toArrow()
+    for r in np.lexsort((trees.column("number").to_numpy(), trees.column("model").to_numpy())):
+        i, score, predictor, at, value = (trees.column(c)[int(r)] for c in ("model", "score", "predictor", "bin", "value"))
+        m = growing[i.as_py()].model
+        m.trees.append(Tree(*(x.values.to_numpy().astype(np.int64) for x in (predictor, at)), value.values.to_numpy().reshape(-1, n_t)))
+        m.scores += [score.as_py()] if score.is_valid else []
+
+
 def _stored_margins(scratch: Scratch, name: str, rows: DataFrame, held: list[list[Tree]], n_p: int, n_t: int) -> DataFrame:
     n_m = len(held)
 
@@ -289,7 +394,8 @@ def fit(train: DataFrame, predictors: list[str], targets: list[str], candidates:
     scratch = Scratch(spark)
     raw = scratch.put("rows", rows)
     shares = [k / bins for k in range(1, bins)]
-    known = raw.where("not v").agg(F.count("*").alias("n"), *[F.percentile_approx(p, shares, 100 * bins).alias(f"q{k}") for k, p in enumerate(predictors)], *[x.alias(f"{n}{k}") for k, t in enumerate(targets) for n, x in (("a", F.avg(t)), ("s", F.stddev_pop(t)))]).first()
+    train_of = lambda c: F.when(~F.col("v"), F.col(c))
+    known = raw.agg(F.count("*").alias("n_all"), F.count_if(~F.col("v")).alias("n"), *[F.percentile_approx(train_of(p), shares, 100 * bins).alias(f"q{k}") for k, p in enumerate(predictors)], *[x.alias(f"{n}{k}") for k, t in enumerate(targets) for n, x in (("a", F.avg(train_of(t))), ("s", F.stddev_pop(train_of(t))))]).first()
     if not known["n"]:
         raise FitError("no row has all predictors and targets")
     edges = [sorted(set(known[f"q{k}"])) for k in range(len(predictors))]
@@ -301,46 +407,32 @@ def fit(train: DataFrame, predictors: list[str], targets: list[str], candidates:
         """The number of edges below the value."""
         return F.size(F.filter(F.lit(edges[k]) if edges[k] else F.array().cast("array<double>"), lambda e: e < F.col(predictors[k]))).alias(f"b{k}")
 
+    names = [*[f"b{k}" for k in range(len(predictors))], *[f"y{k}" for k in range(len(targets))], "v", "u"]
+    started = raw.select(*[bin_of(k) for k in range(len(predictors))], *[F.col(t).alias(f"y{k}") for k, t in enumerate(targets)], "v", F.xxhash64(*predictors, *targets).alias("u"))
+    growing = [_Growing(JointTrees(predictors, targets, s, seed, edges, base), random.Random(seed)) for s in candidates]
+    n_bins = max((len(e) for e in edges), default=0) + 1
+    if known["n_all"] <= FEW_ROWS:
+        _grow_apart(started.select(names), growing, n_bins, unit)
+        scratch.drop("rows")
+        return [g.model for g in growing]
     margin = F.array(*[F.lit(b) for _ in candidates for b in base]).alias("m")
-    started = raw.select(*[bin_of(k) for k in range(len(predictors))], *[F.col(t).alias(f"y{k}") for k, t in enumerate(targets)], "v", F.xxhash64(*names).alias("u"), margin)
-    at, stored = scratch.put("margins-0", started), 0
+    at, stored = scratch.put("margins-0", started.select(*names, margin)), 0
     scratch.drop("rows")
-    growing = [_Growing(JointTrees(predictors, targets, s, seed, edges, base), random.Random(seed)) for s in candidates]
     held: list[list[Tree]] = [[] for _ in candidates]
-    n_bins = max((len(e) for e in edges), default=0) + 1
-    while live := [i for i, g in enumerate(growing) if not g.model.stopped()]:
-        for i in live:
-            growing[i].plant()
-        depth, scored = 0, set()
-        while level := [i for i in live if growing[i].open]:
-            want = depth == 0 and any(candidates[i].early_stopping for i in level)
-            sums, errors = _sums(at, growing, held, level, n_bins, unit, want)
-            if depth == 0:  # the errors are of the trees before this one
-                scored = {i for i in level if candidates[i].early_stopping and growing[i].model.trees and i in errors}
-                for i in scored:
-                    growing[i].model.scores.append((errors[i][0] / errors[i][1]) ** 0.5)
-                level = [i for i in level if i not in scored or not growing[i].model.stopped()]
-                live = [i for i in live if i in level]
-            for i in level:
-                growing[i].split(sums[i], depth)
-            depth += 1
+
+    def sums(level: list[int], score: bool) -> tuple[dict[int, dict[int, np.ndarray]], dict[int, tuple[float, int]]]:
+        return _sums(at, growing, held, level, n_bins, unit, score)
+
+    def added(live: list[int]) -> None:
+        nonlocal at, stored, held
         for i in live:
-            tree = growing[i].tree()
-            growing[i].model.trees.append(tree)
-            held[i].append(tree)
+            held[i].append(growing[i].model.trees[-1])
         if max(map(len, held)) >= HELD_TREES:
             stored += 1
             at = _stored_margins(scratch, f"margins-{stored}", at, held, len(predictors), len(targets))
             scratch.drop(f"margins-{stored - 1}")
             held = [[] for _ in candidates]
-    last = [i for i, g in enumerate(growing) if g.model.settings.early_stopping and len(g.model.scores) < len(g.model.trees)]
-    if last and validation is not None:
-        for i in last:
-            growing[i].plant()
-            growing[i].open = []
-        _, errors = _sums(at, growing, held, last, n_bins, unit, True)
-        for i in last:
-            if i in errors:
-                growing[i].model.scores.append((errors[i][0] / errors[i][1]) ** 0.5)
+
+    _grow(growing, sums, added, validation is not None)
     scratch.drop(f"margins-{stored}")
     return [g.model for g in growing]
