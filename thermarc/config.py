@@ -51,7 +51,7 @@ class Tuning:
     rates: tuple[float, ...] = (0.03, 0.05)
     subsamples: tuple[float, ...] = (0.8, 1.0)
     n_estimators: int = 600
-    #: 0: all trees; else trees are added until one makes the validation error worse (Spark's rule, which has no patience).
+    #: 0: all trees; else trees are added until the validation error hasn't improved for so many, and those up to the best one predict.
     early_stopping: int = 50
     colsample: float = 0.8
     selection: str = "baseline_normalized_mean_rmse"

@@ -1,22 +1,22 @@
-"""Normal-behaviour models on Spark ML: least squares as the baseline, boosted trees as the main one."""
+"""Normal-behaviour models: least squares of Spark ML as the baseline, boosted trees as the main one."""
 
 from __future__ import annotations
 
+import dataclasses
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermarc.cluster import shared_folder
 from thermarc.errors import FitError
 from thermarc.guards import FeatureConfig, check_features
 from thermarc.operators import joint_trees
 from thermarc.schema import Schema
 
-FEATURES, VALIDATES = "_features", "_validates"
+FEATURES = "_features"
 
 
 def known_rows(df: DataFrame, *names: str) -> DataFrame:
@@ -34,8 +34,11 @@ class NormalBehaviour:
     def regressor(self, target: str, seed: int):
         raise NotImplementedError
 
-    def rows_of(self, train: DataFrame, validation: DataFrame | None) -> DataFrame:
-        return train
+    @classmethod
+    def fit_all(cls, made: list, train: DataFrame, config: FeatureConfig, schema: Schema, seed: int = 42, validation: DataFrame | None = None) -> None:
+        """Fits models of this kind with other settings on the same rows."""
+        for m in made:
+            m.fit(train, config, schema, seed, validation)
 
     def fit(self, train: DataFrame, config: FeatureConfig, schema: Schema, seed: int = 42, validation: DataFrame | None = None) -> NormalBehaviour:
         check_features(config, schema)
@@ -43,9 +46,8 @@ class NormalBehaviour:
         train = known_rows(train, *inputs, *config.targets)
         if train.isEmpty():
             raise FitError("no row has all predictors and targets")
-        rows = self.rows_of(train, None if validation is None else known_rows(validation, *inputs, *config.targets))
         for t in config.targets:
-            self.fitted[t] = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol=FEATURES), self.regressor(t, seed)]).fit(rows)
+            self.fitted[t] = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol=FEATURES), self.regressor(t, seed)]).fit(train)
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -76,25 +78,53 @@ class LeastSquares(NormalBehaviour):
         return LinearRegression(featuresCol=FEATURES, labelCol=target, predictionCol=f"_raw_{target}", solver="normal", regParam=0.0)
 
 
+class TreesOfTarget(Model):
+    """One target's trees as a stage of a pipeline. getNumTrees: those that predict."""
+
+    def __init__(self, trees: joint_trees.JointTrees, prefix: str):
+        super().__init__()
+        self.trees, self.prefix = trees, prefix
+
+    @property
+    def getNumTrees(self) -> int:
+        return len(self.trees.used())
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return self.trees.predict(dataset, self.prefix)
+
+
 class BoostedTrees(NormalBehaviour):
-    """Trees are added one after the other. With `early_stopping` and validation rows, until one makes their error worse."""
+    """A set of trees for each target, grown as joint trees of one target are: with patience, and the trees up to the best one predict."""
 
-    validated = False
+    @classmethod
+    def fit_all(cls, made: list, train: DataFrame, config: FeatureConfig, schema: Schema, seed: int = 42, validation: DataFrame | None = None) -> None:
+        names = [*config.predictors, *(f.name for f in config.features), *config.targets]
+        train, validation = known_rows(train, *names), None if validation is None else known_rows(validation, *names)
+        for t in config.targets:
+            found = joint_search(train, dataclasses.replace(config, targets=(t,)), schema, [m.settings for m in made], seed, validation)
+            for m, trees in zip(made, found, strict=True):
+                m.fitted[t] = PipelineModel([TreesOfTarget(trees, m.prefix)])
 
-    def rows_of(self, train: DataFrame, validation: DataFrame | None) -> DataFrame:
-        self.validated = bool(self.settings.get("early_stopping")) and validation is not None and not validation.isEmpty()
-        if not self.validated:
-            return train
-        return train.withColumn(VALIDATES, F.lit(False)).unionByName(validation.withColumn(VALIDATES, F.lit(True)))
+    def fit(self, train: DataFrame, config: FeatureConfig, schema: Schema, seed: int = 42, validation: DataFrame | None = None) -> BoostedTrees:
+        self.fit_all([self], train, config, schema, seed, validation)
+        return self
 
-    def fit(self, train: DataFrame, config: FeatureConfig, schema: Schema, seed: int = 42, validation: DataFrame | None = None) -> NormalBehaviour:
-        shared_folder(train.sparkSession)  # each tree lengthens the lineage, which Spark cuts only with a checkpoint folder
-        return super().fit(train, config, schema, seed, validation)
+    def predict(self, df: DataFrame) -> DataFrame:
+        if not self.fitted:
+            raise FitError("predict before fit")
+        for m in self.fitted.values():
+            df = m.transform(df)
+        return df
 
-    def regressor(self, target: str, seed: int):
-        s = self.settings
-        stop = {"validationIndicatorCol": VALIDATES, "validationTol": 0.0} if self.validated else {}
-        return GBTRegressor(featuresCol=FEATURES, labelCol=target, predictionCol=f"_raw_{target}", maxIter=s.get("n_estimators", 20), maxDepth=s.get("max_depth", 4), stepSize=s.get("learning_rate", 0.1), subsamplingRate=s.get("subsample", 1.0), featureSubsetStrategy=str(s.get("colsample", "auto")), seed=seed, **stop)
+    def save(self, path: str) -> None:
+        if not self.fitted:
+            raise FitError("save before fit")
+        for t, m in self.fitted.items():
+            joint_trees.save(m.stages[0].trees, f"{path}/{t}")
+
+    def load(self, path: str, targets: list[str]) -> BoostedTrees:
+        self.fitted = {t: PipelineModel([TreesOfTarget(joint_trees.load(f"{path}/{t}"), self.prefix)]) for t in targets}
+        return self
 
 
 class JointTrees(NormalBehaviour):
@@ -106,8 +136,13 @@ class JointTrees(NormalBehaviour):
     def best_iteration(self) -> int | None:
         return None if self.joint is None else self.joint.best_iteration
 
+    @classmethod
+    def fit_all(cls, made: list, train: DataFrame, config: FeatureConfig, schema: Schema, seed: int = 42, validation: DataFrame | None = None) -> None:
+        for m, trees in zip(made, joint_search(train, config, schema, [m.settings for m in made], seed, validation), strict=True):
+            m.joint = trees
+
     def fit(self, train: DataFrame, config: FeatureConfig, schema: Schema, seed: int = 42, validation: DataFrame | None = None) -> JointTrees:
-        self.joint = joint_search(train, config, schema, [self.settings], seed, validation)[0]
+        self.fit_all([self], train, config, schema, seed, validation)
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -128,7 +163,7 @@ class JointTrees(NormalBehaviour):
 
 
 def joint_search(train: DataFrame, config: FeatureConfig, schema: Schema, candidates: list[dict], seed: int = 42, validation: DataFrame | None = None) -> list[joint_trees.JointTrees]:
-    """All candidates' joint trees, grown side by side in the same jobs."""
+    """All candidates' joint trees, grown side by side."""
     check_features(config, schema)
     inputs = [*config.predictors, *(f.name for f in config.features)]
     return joint_trees.fit(train, inputs, list(config.targets), [joint_trees.Settings(**c) for c in candidates], seed, validation)
@@ -158,19 +193,15 @@ def selection_score(rmse: dict[str, float], baseline: dict[str, float] | None, h
 
 
 def tune(train: DataFrame, validation: DataFrame, config: FeatureConfig, schema: Schema, candidates: list[dict], baseline: dict[str, float] | None, how: str = "baseline_normalized_mean_rmse", seed: int = 42, kind: str = "gbt", **fixed) -> tuple[NormalBehaviour, list[dict]]:
-    """Fits every candidate on train, scores it on validation; the first of the lowest wins and keeps its trees. Joint trees of all candidates grow together."""
+    """Fits every candidate on train, scores it on validation; the first of the lowest wins and keeps its trees. Trees of all candidates grow together."""
     if not candidates:
         raise FitError("no candidates")
     best, trials = None, []
-    together = joint_search(train, config, schema, [{**fixed, **c} for c in candidates], seed, validation) if kind == "joint" else None
-    for k, c in enumerate(candidates):
-        m = create(kind, **{**fixed, **c})
-        if together is None:
-            m.fit(train, config, schema, seed, validation)
-        else:
-            m.joint = together[k]
+    made = [create(kind, **{**fixed, **c}) for c in candidates]
+    made[0].fit_all(made, train, config, schema, seed, validation)
+    for c, m in zip(candidates, made, strict=True):
         score = round(selection_score(target_rmse(m.predict(validation), config.targets, m.prefix), baseline, how), 6)
-        trials.append({**c, "score": score} | ({} if together is None else {"best_iteration": m.best_iteration}))
+        trials.append({**c, "score": score} | ({"best_iteration": m.best_iteration} if kind == "joint" else {}))
         if best is None or score < best[0]:
             best = (score, m)
     return best[1], trials

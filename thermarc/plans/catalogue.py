@@ -789,16 +789,11 @@ def ols_baseline_multi(spark, sf_dir):
     return m.predict(A.scada_days(spark, sf_dir)).select("turbine_id", "timestamp", *[(F.round(f"baseline_{t}", 5) + F.lit(0.0)).alias(f"baseline_{t}") for t in A.TARGETS])
 
 
-def search() -> Tuning:
-    """The search as configured: twelve candidates of up to 600 trees, with a patience of 50."""
+def small_search() -> Tuning:
+    """The whole search as configured: twelve candidates of up to 600 trees. It has its name from when it was smaller; tests replace it by one that is."""
     return Tuning()
 
 
-def small_search():
-    """Four of the twelve configured candidates, with 10 of 600 trees: a tree is a Spark job a level, whatever the rows (README has the times)."""
-    return Tuning(depths=(4,), n_estimators=10)
-
-
 def _parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = stored(split.by_fractions(complete(spark, sf_dir), "timestamp", ["turbine_id"]), "parts")
     return rows.where("partition = 'train'").drop("partition"), rows.where("partition = 'validation'").drop("partition")
@@ -806,7 +801,7 @@ def _parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def gbt_nbm(spark, sf_dir):
-    """The first candidate of the small search, with as many trees as the validation rows allow."""
+    """The first candidate of the search, with as many trees as the validation rows allow."""
     t = small_search()
     train, validation = _parts(spark, sf_dir)
     m = models.create("gbt", **t.fixed(), **t.candidates()[0]).fit(train, _features(), schema_of_events(), validation=validation)
@@ -826,7 +821,7 @@ def tuning_grid(spark, sf_dir):
 @query()
 def joint_nbm(spark, sf_dir):
     """Joint trees of both targets: the first candidate of the search, with all of its trees and patience."""
-    t = search()
+    t = small_search()
     train, validation = _parts(spark, sf_dir)
     m = models.create("joint", **t.fixed(), **t.candidates()[0]).fit(train, _features(), schema_of_events(), validation=validation)
     return m.predict(A.scada_days(spark, sf_dir)).select("turbine_id", "timestamp", *[F.round(f"prediction_{t}", 5).alias(f"prediction_{t}") for t in A.TARGETS])
@@ -835,7 +830,7 @@ def joint_nbm(spark, sf_dir):
 @query()
 def joint_tuning_grid(spark, sf_dir):
     """All configured candidates of joint trees."""
-    t = search()
+    t = small_search()
     train, validation = _parts(spark, sf_dir)
     base = models.create("linear", "baseline").fit(train, _features(), schema_of_events())
     errors = models.target_rmse(base.predict(validation), tuple(A.TARGETS), "baseline")
@@ -860,7 +855,7 @@ def predictor_ablation(spark, sf_dir):
 
 
 def _experiment(spark, sf_dir):
-    """The experiment over days with the small search and explicit windows."""
+    """The experiment over days with the whole search and explicit windows."""
     from thermarc.plans import experiment
 
     return experiment.run(A.scada_days(spark, sf_dir), Config(model=Model(tuning=small_search())), schema_of_events(), A.experiment_windows(spark, sf_dir))
@@ -885,7 +880,7 @@ def experiment_report(spark, sf_dir):
     diagnosis, as (section, item, name, value)."""
     from thermarc.plans import experiment
 
-    config = Config(model=Model(name="joint", tuning=search()))
+    config = Config(model=Model(name="joint", tuning=small_search()))
     config = config.override("healthy_state.fault_pre_exclusion_days", 1).override("detection.control_limit_sigma", 1.0).override("detection.persistence", 2)
     got = experiment.run(A.scada_days(spark, sf_dir), config, schema_of_events(), A.experiment_windows(spark, sf_dir), faults=_extremes(spark, sf_dir, A.TARGETS[0]), maintenance=_extremes(spark, sf_dir, A.TARGETS[1]))
     rows = [("trial", f"{t['max_depth']}/{t['learning_rate']}/{t['subsample']}", "score", t["score"]) for t in got.trials]
