@@ -3,8 +3,11 @@
 from itertools import product
 
 import __spark_entry__ as entry
-from thermarc.config import Config, Tuning
+from tests.test_reference_operators import synthetic
+from thermarc.config import Config, Model, Tuning
 from thermarc.operators import joint_trees
+from thermarc.plans import experiment
+from thermarc.schema import DEFAULT
 
 SF = "/root/testdata/sf0.01"
 
@@ -27,3 +30,10 @@ def test_end_to_end_searches_all_candidates_of_each_target_to_their_end(spark, m
     assert [m[0].targets for m in grown] == [[t] for t in Config().model.targets] and [len(m) for m in grown] == [12, 12]
     assert all(m.settings == joint_trees.Settings(600, d, r, s, 0.8, 50) for models in grown for m, (d, r, s) in zip(models, product((4, 6, 8), (0.03, 0.05), (0.8, 1.0)), strict=True))
     assert all(len(m.trees) == min(600, m.best_iteration + 51) for models in grown for m in models)
+
+
+def test_a_run_leaves_tables_and_not_plans(spark):
+    """Plans that hold all steps so far took the report beyond the driver's memory."""
+    got = experiment.run(synthetic(spark, 300), Config(model=Model(name="linear")), DEFAULT)
+    for df, name in ((got.residuals, "residuals"), (got.states, "states"), (got.detections, "detections")):
+        assert df.inputFiles() and all(f"/{name}-" in f for f in df.inputFiles())

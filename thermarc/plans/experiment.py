@@ -116,9 +116,9 @@ def run(df: DataFrame, config: Config, schema: Schema, windows: DataFrame | None
     of_part = (F.col("partition") == part) & ok
     center = residuals.check_stats(residuals.NORMALIZERS[config.residual.normalization](long.where(of_part), config.residual.threshold_stats_source))
     guards.append("threshold_source")
-    normal = residuals.normalize(long, center)
+    normal = stored(residuals.normalize(long, center), "residuals")  # what follows reads tables: plans that hold all steps so far fill the driver's memory
     sigmas = residuals.sigmas_of(normal.where(of_part))
-    state = residuals.with_limits(residuals.ewma(normal, d.lam, keys=("turbine_id", "target", "partition")), sigmas, d.lam, d.control_limit_sigma, d.time_varying)
+    state = stored(residuals.with_limits(residuals.ewma(normal, d.lam, keys=("turbine_id", "target", "partition")), sigmas, d.lam, d.control_limit_sigma, d.time_varying), "states")
     both = long.withColumns({"role": F.lit("main"), "model": F.lit(m.name)})
     if m.include_baseline:
         of_base = residuals.unpivot(with_base, ids, list(m.targets), "baseline_{}").where("raw_residual is not null")
@@ -129,12 +129,12 @@ def run(df: DataFrame, config: Config, schema: Schema, windows: DataFrame | None
     in_control = [r.asDict() for r in control.orderBy("target").collect()]
     done("metrics", rows=len(metrics))
     result = Result(state, normal, predicted, audit, healthy.report(h), metrics, in_control, trials, both, main=main, log=log, guards=guards, windows=held)
-    result.detections = events.persistent_runs(state.where("partition = 'test'"), d.persistence)
+    result.detections = stored(events.persistent_runs(state.where("partition = 'test'"), d.persistence), "detections")
     if faults is not None:
-        e = config.evaluation
+        faults, e = stored(faults, "faults"), config.evaluation
         first = state.where("partition = 'test'").agg(F.min("timestamp")).first()[0]
         known = faults.where(F.col("start") >= F.lit(first))
-        result.matched = events.match_events(known, result.detections, e.event_match_window_days)
+        result.matched = stored(events.match_events(known, result.detections, e.event_match_window_days), "matched")
         false = events.false_alarms(result.detections, known, e.event_match_window_days)
         result.evaluation = events.evaluate(result.matched, false, e.min_events_for_inferential).first().asDict()
         done("events", **result.evaluation)
